@@ -257,8 +257,8 @@ def centroids(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
-def contexts(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Numbered context text of each question's ranked hits (top-k rows per question)."""
+def contexts(hits: DataFrame, docs: DataFrame, snippet: int = 200) -> DataFrame:
+    """Numbered context text and shortened sources of each question's ranked hits (top-k rows per question)."""
     return (
         hits.join(docs.select("doc_id", "text"), "doc_id")
         .groupBy("q_id")
@@ -269,5 +269,8 @@ def contexts(hits: DataFrame, docs: DataFrame) -> DataFrame:
                 F.transform("_rows", lambda r: F.concat(F.lit("["), r["rank"].cast("string"), F.lit("] "), r["text"])),
                 "\n\n",
             ).alias("context"),
+            F.array_join(
+                F.transform("_rows", lambda r: F.concat(F.substring(r["text"], 1, snippet), F.lit("..."))), "|"
+            ).alias("snippets"),
         )
     )

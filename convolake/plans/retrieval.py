@@ -10,6 +10,7 @@ from convolake.functions.text import SPACE_RE2, keywords, text_hash, token_estim
 from convolake.functions.vectors import cosine, dot, norm, with_hashed_vector
 from convolake.operators import retrieve as R
 from convolake.plans.registry import query
+from convolake.session import spread
 
 _WORD = f"a-zA-Z0-9_{fixed.TURKISH_LETTERS}"
 
@@ -102,12 +103,12 @@ def questions(t):
 def vector_hits(t):
     return R.nearest(
         with_hashed_vector(questions(t), "q_id", "text"),
-        with_hashed_vector(t.documents, "doc_id", "text"),
+        with_hashed_vector(spread(t.documents.select("doc_id", "text")), "doc_id", "text"),
     )
 
 
 def keyword_hits_top(t):
-    return R.keyword_top(questions(t), t.documents.select("doc_id", "text"))
+    return R.keyword_top(questions(t), spread(t.documents.select("doc_id", "text")))
 
 
 def hybrid(t):
@@ -164,7 +165,7 @@ def _(t):
 )
 def _(t):
     return (
-        with_hashed_vector(t.documents, "doc_id", "text")
+        with_hashed_vector(spread(t.documents.select("doc_id", "text")), "doc_id", "text")
         .select("doc_id", F.posexplode("vector").alias("dim", "w"))
         .filter("w <> 0")
         .select("doc_id", "dim", F.round("w", 9).alias("weight"))
@@ -207,7 +208,7 @@ def _(t):
     f"WITH {KEYWORD_SQL} SELECT q_id, doc_id, hits FROM khits",
 )
 def _(t):
-    return R.keyword_hits(questions(t), t.documents.select("doc_id", "text"))
+    return R.keyword_hits(questions(t), spread(t.documents.select("doc_id", "text")))
 
 
 @query("k5_keyword_top", f"WITH {KEYWORD_SQL} SELECT q_id, doc_id, score, rank FROM ktop")
@@ -297,20 +298,7 @@ SELECT q_id, string_agg('[' || rank || '] ' || text, E'\\n\\n' ORDER BY rank) AS
 FROM hybrid JOIN documents USING (doc_id) GROUP BY q_id""",
 )
 def _(t):
-    hits = hybrid(t)
-    docs = t.documents.select("doc_id", "text")
-    snippets = (
-        hits.join(docs, "doc_id")
-        .groupBy("q_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 200).alias("s")))).alias("r"))
-        .select("q_id", F.array_join(F.transform("r", lambda x: F.concat(x["s"], F.lit("..."))), "|").alias("snippets"))
-    )
-    return (
-        R.contexts(hits, docs)
-        .withColumn("context_tokens", token_estimate(F.col("context")))
-        .join(snippets, "q_id")
-        .select("q_id", "context", "context_tokens", "snippets")
-    )
+    return R.contexts(hybrid(t), t.documents).withColumn("context_tokens", token_estimate(F.col("context")))
 
 
 @query(
