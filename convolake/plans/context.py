@@ -1 +1,132 @@
+"""Context windows over the given conversations."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from convolake.functions.text import token_estimate
+from convolake.operators import context as C
+from convolake.operators import scan
+from convolake.plans.registry import query
+from convolake.plans.text import PARTS_SQL, part_rows
+from convolake.sources.tables import MSG_SQL
+
+_SUFFIX = """sfx AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY msg DESC) AS suffix FROM msg)"""
+
+
+@query(
+    "w5_context_window",
+    f"""WITH {MSG_SQL}, {_SUFFIX}, k AS (SELECT *, 3 + suffix <= 300 AND 3 + suffix - tokens < 300 AS in_context FROM sfx)
+        SELECT conv_id, msg, in_context, CAST(297 - sum(CASE WHEN in_context THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS BIGINT)
+          AS remaining FROM k""",
+)
+def _(t):
+    return C.within_limit(t.messages(), 300).select("conv_id", "msg", "in_context", "remaining")
+
+
+@query(
+    "w5_context_with_instructions",
+    f"""WITH {MSG_SQL}, {_SUFFIX}, k AS (SELECT *, 3 + suffix <= 280 AND 3 + suffix - tokens < 280 AS fits FROM sfx)
+        SELECT conv_id, msg, fits OR msg = 0 AS in_context, CAST(277 - sum(CASE WHEN fits AND msg > 0 THEN tokens ELSE 0 END)
+          OVER (PARTITION BY conv_id) AS BIGINT) AS remaining FROM k""",
+)
+def _(t):
+    return C.within_limit(t.messages(), 300, instructions=20).select("conv_id", "msg", "in_context", "remaining")
+
+
+@query(
+    "w10_omit_tool_outputs",
+    f"""WITH {PARTS_SQL}, {MSG_SQL}, {_SUFFIX}, p AS (SELECT conv_id, turn AS msg, bool_or(type = 'tool_call' AND x <> '') AS has,
+          string_agg(CASE WHEN type = 'tool_call' THEN replace(x, 'a', 'b') END, '|' ORDER BY i) AS outputs,
+          string_agg(CASE WHEN type = 'tool_call' THEN CASE WHEN x <> '' THEN '{C.OMITTED}' ELSE '' END END, '|' ORDER BY i) AS omitted
+          FROM parts GROUP BY conv_id, turn)
+        SELECT conv_id, msg, suffix + 3 >= 200 AND has AS edited, coalesce(CASE WHEN suffix + 3 >= 200 AND has THEN omitted ELSE outputs END, '')
+          AS outputs FROM sfx JOIN p USING (conv_id, msg)""",
+)
+def _(t):
+    rows = part_rows(t).select("conv_id", F.col("turn").alias("msg"), token_estimate(F.col("text")).alias("tokens"), "parts")
+    out = F.transform(F.filter("parts", lambda p: p["type"] == "tool_call"), lambda p: p["output"])
+    return C.omit_tool_outputs(rows, 400).select("conv_id", "msg", "edited", F.array_join(out, "|").alias("outputs"))
+
+
+@query(
+    "w14_token_backfill",
+    f"""WITH {MSG_SQL} SELECT conv_id, msg, tokens FROM msg JOIN (SELECT conv_id, max(msg) AS last FROM msg GROUP BY 1) USING (conv_id)
+        WHERE msg < last AND msg % 3 <> 0""",
+)
+def _(t):
+    m = t.messages().withColumn("tokens", F.when(F.col("msg") % 3 == 0, F.col("tokens")))
+    return C.token_backfill(m, token_estimate(F.col("text")))
+
+
+_THREAD = """th AS (SELECT conv_id, turn AS msg, CASE WHEN turn % 4 = 0 THEN 'user' ELSE 'assistant' END AS role, turn % 6 = 5 AS known, text
+                     FROM conversations),
+st AS (SELECT *, CASE WHEN NOT known AND role = 'assistant' AND lag(role) OVER (PARTITION BY conv_id ORDER BY msg) = 'assistant' THEN 0 ELSE 1 END
+       AS start FROM th),
+isl AS (SELECT *, sum(start) OVER (PARTITION BY conv_id ORDER BY msg) AS island FROM st)"""
+
+
+@query(
+    "w15_fold_turns",
+    f"""WITH {_THREAD} SELECT conv_id, CAST(island AS BIGINT) AS island, msg // 64 AS block, any_value(role) AS role, min(msg) AS first,
+          string_agg(msg, ',' ORDER BY msg) AS members, string_agg(text, chr(10) ORDER BY msg) AS text, bool_or(known) AS known,
+          CASE WHEN island = 1 THEN -1 ELSE CAST(island - 1 AS BIGINT) END AS parent
+        FROM isl GROUP BY conv_id, island, msg // 64""",
+)
+def _(t):
+    turn = F.col("turn")
+    thread = t.conversations.select(
+        "conv_id",
+        turn.alias("msg"),
+        F.when(turn % 4 == 0, "user").otherwise("assistant").alias("role"),
+        (turn % 6 == 5).alias("known"),
+        "text",
+    )
+    # a resulting row is kept in blocks of 64 messages, so none grows without bound
+    folded = C.fold_turns(thread).withColumn("block", C.block(64))
+    return (
+        folded.groupBy("conv_id", "island", "block")
+        .agg(
+            F.first("role").alias("role"),
+            F.min("msg").alias("first"),
+            F.bool_or("known").alias("known"),
+            F.array_sort(F.collect_list(F.struct("msg", "text"))).alias("m"),
+        )
+        .select(
+            "conv_id", "island", "block", "role", "first",
+            F.array_join(F.transform("m", lambda x: x["msg"].cast("string")), ",").alias("members"),
+            F.array_join(F.transform("m", lambda x: x["text"]), "\n").alias("text"),
+            "known",
+            F.when(F.col("island") == 1, F.lit(-1)).otherwise(F.col("island") - 1).alias("parent"),
+        )
+    )
+
+
+@query(
+    "w16_gap_fill",
+    """WITH step AS (SELECT o_orderkey AS conv, l_linenumber AS step, l_partkey AS part, l_quantity AS qty, l_suppkey FROM orders
+         JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'),
+       n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY step, part, l_suppkey, qty) AS rn FROM step),
+       cur AS (SELECT conv, (rn - 1) // 100 AS block, string_agg(part, ',' ORDER BY rn) AS content, 'synced' AS origin FROM n GROUP BY ALL),
+       stored AS (SELECT o_orderkey AS conv, 0 AS block, 'stored' AS content, 'stored' AS origin FROM orders WHERE o_orderstatus <> 'F')
+       SELECT conv, block, arg_max(content, CASE origin WHEN 'synced' THEN 1 ELSE 0 END) AS content, max(CASE origin WHEN 'synced' THEN 1 ELSE 0 END)
+         AS synced FROM (SELECT * FROM cur UNION ALL SELECT * FROM stored) GROUP BY conv, block""",
+)
+def _(t):
+    wanted = t.orders.filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
+    steps = t.lineitem.join(wanted, "l_orderkey", "left_semi").select(
+        F.col("l_orderkey").alias("conv"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
+    )
+    current = scan.packed_lists(
+        steps, ["conv"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.col("l_linenumber"), F.col("l_partkey"), 100
+    ).select(
+        "conv", "block", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("content"), F.lit(1).alias("synced")
+    )
+    stored = t.orders.filter("o_orderstatus <> 'F'").select(
+        F.col("o_orderkey").alias("conv"), F.lit(0).cast("bigint").alias("block"), F.lit("stored").alias("content"), F.lit(0).alias("synced")
+    )
+    return (
+        current.unionByName(stored)
+        .groupBy("conv", "block")
+        .agg(F.max_by("content", "synced").alias("content"), F.max("synced").alias("synced"))
+    )

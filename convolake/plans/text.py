@@ -79,7 +79,7 @@ def part_rows(t):
         F.when(i % 4 == 1, x).alias("think"),
         F.when(i % 4 == 2, "search").alias("name"),
         F.when(i % 4 == 2, x).alias("args"),
-        F.when(i % 4 == 2, F.upper(x)).alias("output"),
+        F.when(i % 4 == 2, F.replace(x, F.lit("a"), F.lit("b"))).alias("output"),
         (i % 8 == 0).alias("announces"),
     )
     return t.conversations.select(
