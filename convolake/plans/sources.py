@@ -1 +1,301 @@
+"""Sources and sinks: files and documents written by Spark from the given tables, then read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from convolake.functions.text import clean_text
+from convolake.plans.registry import query
+from convolake.plans.text import clean_sql
+from convolake.plans.trees import LINEAR_SQL
+from convolake.session import fresh_path
+from convolake.sources import exports as E
+from convolake.sources import files as S
+from convolake.sources import imports as I
+
+
+@query(
+    "s1_question_answers",
+    """SELECT 'SORU: ' || q || chr(10) || chr(10) || 'CEVAP: ' || a AS content, coalesce(nullif(c, ''), 'genel') AS category, '' AS keywords, 'qa_pair' AS type
+       FROM (SELECT source || ' "' || doc_id || '"' AS q, CASE WHEN doc_id % 5 <> 0 THEN text END AS a, CASE WHEN doc_id % 2 = 0 THEN lang END AS c FROM documents)
+       WHERE a IS NOT NULL AND a <> ''""",
+)
+def _(t):
+    path, k = fresh_path(t.spark, "qa"), F.col("doc_id")
+    t.documents.select(
+        F.concat("source", F.lit(' "'), k.cast("string"), F.lit('"')).alias("soru"),
+        F.when(k % 5 != 0, F.col("text")).alias("cevap"),
+        F.when(k % 2 == 0, F.col("lang")).alias("kategori"),
+        F.lit("").alias("anahtar_kelimeler"),
+    ).write.csv(path, header=True, quoteAll=True, escape='"')
+    return S.read_qa_csv(t.spark, path)
+
+
+def text_folder(t) -> str:
+    """Documents as text files below one folder per source, at most 100 documents in a file."""
+    path = fresh_path(t.spark, "texts")
+    t.documents.select("source", "text").write.option("maxRecordsPerFile", 100).partitionBy("source").text(path)
+    return path
+
+
+@query(
+    "s2_whole_texts",
+    "SELECT source, sum(length(text) + 1) AS chars, 'text_document' AS type FROM documents GROUP BY source",
+)
+def _(t):
+    texts = S.read_texts(t.spark, text_folder(t) + "/*/*.txt")
+    return texts.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "type").agg(
+        F.sum(F.length("content")).cast("bigint").alias("chars")
+    )
+
+
+@query("s3_list_files", "SELECT DISTINCT source, TRUE AS accepted FROM documents")
+def _(t):
+    files = S.list_files(t.spark, text_folder(t))
+    return files.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(
+        F.bool_and(F.col("length") > 0).alias("accepted")
+    )
+
+
+@query(
+    "s4_new_files",
+    """SELECT doc_id, source || '/' || doc_id || '.txt' AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+)
+def _(t):
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = t.documents.select("doc_id", name.alias("name"))
+    loaded = files.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    return S.new_files(files, loaded).select("doc_id", "name")
+
+
+_PAGE_TEXT = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
+
+
+def page_text():
+    return F.regexp_replace("html", "<[^>]*>", " ")
+
+
+@query(
+    "s6_page_rows",
+    f"SELECT page_id, url, {clean_sql('t')} AS text FROM (SELECT page_id, url, {_PAGE_TEXT} AS t FROM pages) WHERE length(t) > 10",
+)
+def _(t):
+    return S.page_rows(t.pages.select("page_id", "url", page_text().alias("text")), "text")
+
+
+@query(
+    "s7_page_routing",
+    f"""SELECT page_id, n_images > 0 OR length(trim(t)) < 50 AS needs_ocr FROM (SELECT page_id,
+          CAST(length(html) - length(replace(html, '<nav', '<na')) AS INTEGER) AS n_images, {_PAGE_TEXT} AS t FROM pages)""",
+)
+def _(t):
+    marks = F.length("html") - F.length(F.replace("html", F.lit("<nav"), F.lit("<na")))
+    return t.pages.select("page_id", S.needs_ocr(marks, page_text()).alias("needs_ocr"))
+
+
+@query("s8_image_only", f"SELECT doc_id, length({clean_sql('text')}) < 10 AS image_only FROM documents")
+def _(t):
+    return t.documents.select("doc_id", (F.length(clean_text(F.col("text"))) < 10).alias("image_only"))
+
+
+@query(
+    "s9_json_format",
+    """SELECT doc_id, ['node_map', 'history', 'tree', 'unsupported', 'unsupported'][CAST(doc_id % 5 + 1 AS INTEGER)] AS format FROM documents""",
+)
+def _(t):
+    text = F.to_json(F.struct(F.col("text").alias("t")))
+    k = F.col("doc_id") % 5
+    wrap = lambda a, b: F.concat(F.lit(a), text, F.lit(b))
+    document = (
+        F.when(k == 0, wrap("[", "]"))
+        .when(k == 1, wrap('{"version":4,"history":[', "]}"))
+        .when(k == 2, wrap('{"conversationId":"c","messages":[', "]}"))
+        .when(k == 3, wrap('{"version":4,"other":', "}"))
+        .otherwise(F.concat(F.lit("{broken "), "text"))
+    )
+    return t.documents.select("doc_id", I.json_format(document).alias("format"))
+
+
+BLOCK = 64  # messages per written document
+
+
+def node_documents(t):
+    """Node-map exports of conversation blocks."""
+    turn = F.col("turn")
+    ident = lambda n: F.concat(F.lit("n"), n.cast("string"))
+    message = F.struct(
+        F.struct(F.col("role").alias("role")).alias("author"),
+        F.struct(F.lit("text").alias("content_type"), F.split("text", r"\. ").alias("parts")).alias("content"),
+        F.struct(F.when(turn % 3 == 0, "gpt-4-turbo").when(turn % 3 == 1, "text-model").alias("model_slug")).alias("metadata"),
+    )
+    node = F.struct(ident(turn).alias("id"), message.alias("message"), F.when(turn > 0, ident(turn - 1)).alias("parent"))
+    docs = t.conversations.groupBy("conv_id", F.floor(turn / BLOCK).alias("block")).agg(
+        F.map_from_entries(F.collect_list(F.struct(ident(turn), node))).alias("mapping")
+    )
+    document = F.to_json(
+        F.array(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("title"), F.lit(1700000000.5).alias("create_time"), "mapping"))
+    )
+    return docs.select(F.concat_ws("-", "conv_id", "block").alias("doc"), document.alias("json"))
+
+
+@query(
+    "s10_import_node_map",
+    f"""SELECT conv_id || '-' || turn // {BLOCK} AS doc, 'n' || turn AS source_id,
+          CASE WHEN EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role <> 'system'
+            AND p.turn // {BLOCK} = c.turn // {BLOCK}) THEN 'n' || (turn - 1) END AS source_parent,
+          CASE WHEN turn % 3 <> 1 THEN 'GPT-4' WHEN role = 'user' THEN 'user' ELSE 'GPT-3.5' END AS sender,
+          ['gpt-4-turbo', 'text-model', 'gpt-4o-mini'][CAST(turn % 3 + 1 AS INTEGER)] AS model, replace(text, '. ', ' ') AS text,
+          CAST('2023-11-14 22:13:20.5' AS VARCHAR) AS created
+        FROM conversations c WHERE role <> 'system'""",
+)
+def _(t):
+    rows = I.import_node_map(node_documents(t), "doc", "json")
+    return rows.select(
+        "doc", "source_id", "source_parent", "sender", "model", "text", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.S").alias("created")
+    )
+
+
+@query(
+    "s11_import_history",
+    f"""WITH s AS (SELECT conv_id, turn // {BLOCK} AS b, role, text, row_number() OVER (PARTITION BY conv_id, turn // {BLOCK} ORDER BY turn) - 1 AS pos
+          FROM conversations WHERE role IN ('user', 'assistant'))
+        SELECT conv_id || '-' || b AS doc, pos, conv_id || '-' || b || '-0-' || pos AS message_id,
+          CASE WHEN pos = 0 THEN '{I.NO_PARENT}' ELSE conv_id || '-' || b || '-0-' || (pos - 1) END AS parent_id, role, text FROM s""",
+)
+def _(t):
+    turns = t.conversations.groupBy("conv_id", F.floor(F.col("turn") / BLOCK).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m")
+    )
+    messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    item = F.struct(F.lit("h").alias("id"), F.lit("n").alias("name"), messages.alias("messages"))
+    docs = turns.select(
+        F.concat_ws("-", "conv_id", "block").alias("doc"),
+        F.to_json(F.struct(F.lit(4).alias("version"), F.array(item).alias("history"))).alias("json"),
+    )
+    return I.import_history(docs, "doc", "json").select("doc", "pos", "message_id", "parent_id", "role", "text")
+
+
+def tree_documents(t):
+    nested = E.nested_documents(t.messages().drop("summary", "tokens"), F.floor(F.col("msg") / BLOCK))
+    return nested.select(
+        F.concat_ws("-", "conv_id", "block").alias("doc"),
+        F.concat(F.lit('{"conversationId":"c","title":"t","messagesTree":'), "json", F.lit("}")).alias("json"),
+    )
+
+
+@query(
+    "g6_flatten_tree",
+    f"""WITH RECURSIVE {LINEAR_SQL} SELECT m.conv_id || '-0' AS doc, CAST(m.msg AS VARCHAR) AS message_id,
+          CASE WHEN m.parent = -1 THEN '{I.NO_PARENT}' ELSE CAST(m.parent AS VARCHAR) END AS parent_id, m.role AS sender, m.text, len(p.path) - 1 AS depth
+        FROM msg m JOIN pre p USING (conv_id, msg)""",
+)
+def _(t):
+    docs = tree_documents(t)
+    _, messages = I.import_tree(docs, "doc", "json")
+    return messages.select("doc", "message_id", "parent_id", "sender", "text", (F.size("path") - 1).cast("bigint").alias("depth"))
+
+
+@query("s12_import_tree", f"SELECT DISTINCT conv_id || '-' || turn // {BLOCK} AS doc, 't' AS title FROM conversations")
+def _(t):
+    head, _ = I.import_tree(tree_documents(t), "doc", "json")
+    return head.select("doc", "title")
+
+
+@query(
+    "s13_append_sink",
+    "SELECT doc_id, count(*) AS n, max(content) AS content FROM (SELECT doc_id, text AS content FROM documents UNION ALL SELECT doc_id, '' FROM labels) GROUP BY doc_id",
+)
+def _(t):
+    path = fresh_path(t.spark, "knowledge")
+    S.append(t.documents.select("doc_id", F.col("text").alias("content")), path)
+    S.append(t.labels.select("doc_id", F.lit("").alias("content")), path)
+    return t.spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("content").alias("content"))
+
+
+@query("s14_truncate_sink", "SELECT doc_id, text FROM documents WHERE FALSE")
+def _(t):
+    path = fresh_path(t.spark, "knowledge")
+    rows = t.documents.select("doc_id", "text")
+    S.append(rows, path)
+    S.truncate(t.spark, rows, path)
+    return t.spark.read.parquet(path)
+
+
+@query(
+    "s15_csv_export",
+    f"""WITH RECURSIVE {LINEAR_SQL} SELECT conv_id, role AS sender, text, role = 'user' AS "isCreatedByUser", FALSE AS error, FALSE AS unfinished,
+          msg AS "messageId", parent AS "parentMessageId" FROM msg""",
+)
+def _(t):
+    path = fresh_path(t.spark, "csv")
+    E.write_csv(t.messages(), path)
+    shape = (
+        "conv_id BIGINT, sender STRING, text STRING, isCreatedByUser BOOLEAN, error BOOLEAN, unfinished BOOLEAN, "
+        "messageId BIGINT, parentMessageId BIGINT, createdAt STRING"
+    )
+    return t.spark.read.csv(path, schema=shape, header=True, multiLine=True, escape='"').drop("createdAt")
+
+
+@query(
+    "s16_json_export",
+    f"""WITH RECURSIVE {LINEAR_SQL} SELECT conv_id, position, msg, parent, role FROM msg JOIN lin USING (conv_id, msg)""",
+)
+def _(t):
+    lines = E.json_lines(t.messages(), ["msg", "parent", "role", "text"])
+    shape = "struct<msg:bigint,parent:bigint,role:string>"
+    return lines.select("conv_id", "position", F.from_json("json", shape).alias("j")).select("conv_id", "position", "j.*")
+
+
+@query("s16_json_nested")
+def _(t):
+    return E.nested_documents(t.messages(), F.floor(F.col("msg") / BLOCK))
+
+
+def transcript_sql(head: str, body: str) -> str:
+    return f"""WITH RECURSIVE {LINEAR_SQL} SELECT conv_id, position, {body} AS line FROM msg JOIN lin USING (conv_id, msg) WHERE on_last_branch
+      UNION ALL SELECT DISTINCT conv_id, -1, {head} FROM msg"""
+
+
+@query(
+    "s17_markdown_transcript",
+    transcript_sql(
+        "'# Conversation' || chr(10) || '- conversationId: ' || conv_id || chr(10) || chr(10) || '## History'",
+        "'**' || role || '**' || chr(10) || text",
+    ),
+)
+def _(t):
+    return E.transcript(t.messages())
+
+
+@query(
+    "s17_text_transcript",
+    transcript_sql(
+        "'Conversation' || chr(10) || repeat('#', 24) || chr(10) || 'conversationId: ' || conv_id || chr(10) || chr(10) || 'History' || chr(10) || repeat('#', 24)",
+        "'>> ' || role || ':' || chr(10) || text",
+    ),
+)
+def _(t):
+    return E.transcript(t.messages(), "text")
+
+
+@query(
+    "s20_ocr_document",
+    f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '# PAGE 1' || chr(10) || t || chr(10) || chr(10) || '# PAGE 2' || chr(10) || url || chr(10) || chr(10)
+          ELSE t || chr(10) || chr(10) END AS text, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS n_images,
+          4 * CASE WHEN page_id % 2 = 0 THEN length(t) + length(url) + 22 ELSE length(t) + 2 END AS bytes
+        FROM (SELECT page_id, url, {_PAGE_TEXT} AS t FROM pages)""",
+)
+def _(t):
+    page = lambda text, images: F.struct(text.alias("markdown"), images.alias("images"))
+    none = F.array().cast("array<string>")
+    pages = F.when(
+        F.col("page_id") % 2 == 0,
+        F.array(page(F.col("t"), none), page(F.col("url"), F.array(F.col("url"), F.lit("")))),
+    ).otherwise(F.array(page(F.col("t"), none)))
+    return (
+        t.pages.select("page_id", "url", page_text().alias("t"))
+        .select("page_id", S.ocr_document(pages).alias("d"))
+        .select(
+            "page_id", "d.text", F.size("d.images").cast("bigint").alias("n_images"), F.col("d.bytes").cast("bigint").alias("bytes")
+        )
+    )

@@ -34,7 +34,7 @@ def read_qa_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files, one row each."""
     return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("source"), F.col("value").alias("content"), F.lit("text_document").alias("type")
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source"), F.col("value").alias("content"), F.lit("text_document").alias("type")
     )
 
 
