@@ -15,6 +15,7 @@ REFERENCE_WHOLE = r"\\ue202turn\d+(?:search|image|news|video|ref|file)\d+"
 COMPOSITE = r"\\ue200.*?\\ue201"
 INVALID = r"\s*\\ue202turn\d+(?:search|news|image|video|ref|file)\d+"
 CLEANUP = r"\\ue200|\\ue201|\\ue202|\\ue203|\\ue204|\\ue206"
+TRAILING = r"\n\s*\[\d+\](?:\[\d+\])*\s*\z"
 ARTIFACT = r"(?s):::artifact.*?(?::::|\z)"
 VARIABLE = r"\{\{(.*?)\}\}"
 OWN_VARIABLE = r"(?i)\{\{([^{}]+?)\}\}"
@@ -47,21 +48,26 @@ def number_citations(texts: DataFrame, sources: DataFrame, key: str) -> DataFram
         found.join(numbers, [key, "link"])
         .groupBy(key)
         .agg(
-            F.map_from_entries(F.collect_set(F.struct("marker", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]"))))).alias("m"),
+            F.map_from_entries(F.collect_set(F.struct("marker", "n"))).alias("m"),
             F.array_sort(F.collect_set(F.struct("n", "link"))).alias("links"),
         )
     )
     marks = matches_with_offsets(F.col("text"), f"{COMPOSITE}|{REFERENCE_WHOLE}")
 
     def text_of(m: Column, match: Column) -> Column:
+        """Numbers of the references, ascending and without repeats; unknown markers stay for the clean-up."""
         inner = F.regexp_extract_all(match, F.lit(f"({REFERENCE_WHOLE})"), F.lit(1))
-        return F.array_join(F.filter(F.transform(inner, lambda r: F.try_element_at(m, r)), lambda x: x.isNotNull()), "")
+        ns = F.array_sort(F.array_distinct(F.array_compact(F.transform(inner, lambda r: F.try_element_at(m, r)))))
+        marks_ = F.array_join(F.transform(ns, lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), "")
+        return F.when(F.size(ns) > 0, marks_).otherwise(match)
 
-    joined = bold.join(known, key, "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<string,string>")))
+    joined = bold.join(known, key, "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<string,int>")))
     edits = F.transform(
         marks, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), text_of(F.col("m"), e["match"]).alias("text"))
     )
-    clean = F.regexp_replace(F.regexp_replace(splice(F.col("text"), edits), INVALID, ""), CLEANUP, "")
+    clean = splice(F.col("text"), edits)
+    for pattern in (TRAILING, INVALID, CLEANUP):
+        clean = F.regexp_replace(clean, pattern, "")
     return joined.select(
         key,
         clean.alias("text"),

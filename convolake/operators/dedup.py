@@ -7,8 +7,84 @@ from pyspark.sql import functions as F
 
 from convolake.functions import fixed
 from convolake.functions.text import jaccard, trim_space, word_set
+from convolake.operators.retrieve import top_per
 from convolake.session import cut_lineage
 
+FRONT = 256  # texts of one index word that are compared among each other in one round
+
+
+def word_sets(df: DataFrame, group: str, key: str, text: str, min_chars: int) -> DataFrame:
+    """(group, key, words, n): one row per distinct word set of a group, under its first key."""
+    return (
+        df.filter(F.length(trim_space(F.col(text))) >= min_chars)
+        .select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_sort(word_set(F.col(text))).alias("words"))
+        # texts without words are similar to nothing, so each of them stays a row of its own
+        .groupBy("g", "words", F.when(F.size("words") == 0, F.col("k")).alias("_own"))
+        .agg(F.min("k").alias("k"))
+        .select("g", "k", "words", F.size("words").alias("n"))
+    )
+
+
+def prefix_index(sets: DataFrame, threshold: float) -> DataFrame:
+    """(g, k, n, word, pos): the rarest words of each set, enough that two similar sets share at least one."""
+    words = sets.select("g", "k", "n", F.explode("words").alias("word"))
+    rarity = words.groupBy("g", "word").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("g", "k").orderBy("df", "word")
+    return (
+        words.join(rarity, ["g", "word"])
+        .withColumn("pos", F.row_number().over(order))
+        .filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+        .select("g", "k", "n", "word", "pos")
+    )
+
+
+def _candidates(first: DataFrame, second: DataFrame, threshold: float) -> DataFrame:
+    """(g, k, first): pairs that share an index word and can still reach the threshold by size and position."""
+    a = first.select("g", "word", F.col("k").alias("first"), F.col("n").alias("_n"), F.col("pos").alias("_pos"))
+    need = F.ceil((F.col("n") + F.col("_n")) * (threshold / (1 + threshold)) - 1e-9)
+    room = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) + 1
+    fits = (F.least("n", "_n") >= F.greatest("n", "_n") * threshold - 1e-9) & (room >= need)
+    return second.join(a, ["g", "word"]).filter((F.col("first") < F.col("k")) & fits).select("g", "k", "first").distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    other = sets.select("g", F.col("k").alias("first"), F.col("words").alias("_words"))
+    return (
+        pairs.join(sets.select("g", "k", "words"), ["g", "k"])
+        .join(other, ["g", "first"])
+        .filter(jaccard(F.col("words"), F.col("_words")) >= threshold)
+        .select("g", "k", "first")
+    )
+
+
+def _settle(edges: DataFrame, waiting: DataFrame) -> DataFrame:
+    """(g, k, kept) for all texts the edges decide; ``waiting`` is (g, k, ready).
+
+    A ready text without an earlier similar text that is kept or undecided is kept; a text with a kept earlier similar
+    text is dropped. Repeats until nothing changes; a round is a few joins over the similar pairs only.
+    """
+    touched = edges.select("g", "k").distinct()
+    free = waiting.filter("ready").join(touched, ["g", "k"], "left_anti").select("g", "k", F.lit(True).alias("kept"))
+    decided = cut_lineage(free)
+    open_edges = edges
+    while True:
+        state = decided.select("g", F.col("k").alias("first"), "kept")
+        seen = open_edges.join(state, ["g", "first"], "left")
+        verdict = seen.groupBy("g", "k").agg(
+            F.coalesce(F.bool_or("kept"), F.lit(False)).alias("hit"),
+            F.count_if(F.col("kept").isNull()).alias("pending"),
+        )
+        new = (
+            verdict.join(waiting, ["g", "k"])
+            .filter(F.col("hit") | (F.col("ready") & (F.col("pending") == 0)))
+            .select("g", "k", (~F.col("hit")).alias("kept"))
+        )
+        new = cut_lineage(new)
+        if new.isEmpty():
+            return decided
+        decided = decided.unionByName(new)
+        open_edges = open_edges.join(new.select("g", "k"), ["g", "k"], "left_anti")
+
 
 def keep_first_similar(
     df: DataFrame,
@@ -17,58 +93,35 @@ def keep_first_similar(
     text: str,
     threshold: float = fixed.DUPLICATE_THRESHOLD,
     min_chars: int = fixed.DUPLICATE_MIN_CHARS,
+    front: int = FRONT,
 ) -> DataFrame:
-    """(group, key) of the kept texts, exact, in the order of ``key`` inside each group.
+    """(group, key) of the kept texts: exact greedy result in the order of ``key`` inside each group.
 
-    Texts with equal word sets collapse to their first one. The others are indexed under their rarest words: two sets
-    that reach the threshold must share one of the first ``n - ceil(threshold * n) + 1`` words in rarity order. Each
-    round keeps the texts that come first under all of their index words, and compares only those with the texts below
-    the same words, so a word shared by many texts costs one comparison per text and round instead of all pairs.
+    Equal word sets collapse to their first text. The rest is indexed under its rarest words. Each round compares the
+    first ``front`` texts of every index word, decides those whose earlier candidates are all in view, and compares the
+    newly kept ones with the texts further down. A word shared by many near copies therefore costs one comparison per
+    text and kept text, never all pairs, and no candidate is left out.
     """
-    sets = (
-        df.filter(F.length(trim_space(F.col(text))) >= min_chars)
-        .select(group, key, F.array_sort(word_set(F.col(text))).alias("words"))
-        .groupBy(group, "words")
-        .agg(F.min(key).alias(key))
-    )
-    # an empty word set has similarity 0 to everything, itself included
-    blank = (
-        df.filter(F.length(trim_space(F.col(text))) >= min_chars)
-        .select(group, key, F.size(word_set(F.col(text))).alias("n"))
-        .filter("n = 0")
-        .select(group, key)
-    )
-    sets = cut_lineage(sets.filter(F.size("words") > 0).withColumn("n", F.size("words")))
-    words = sets.select(group, key, "n", F.explode("words").alias("word"))
-    rarity = words.groupBy(group, "word").agg(F.count("*").alias("df"))
-    index = (
-        words.join(rarity, [group, "word"])
-        .withColumn("rn", F.row_number().over(Window.partitionBy(group, key).orderBy("df", "word")))
-        .filter(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-        .select(group, key, "word")
-    )
-    index = cut_lineage(index)
-    kept = None
+    sets = cut_lineage(word_sets(df, group, key, text, min_chars))
+    index = cut_lineage(prefix_index(sets.filter("n > 0"), threshold))
+    kept = sets.filter("n = 0").select("g", "k")
     while not index.isEmpty():
-        first = index.groupBy(group, "word").agg(F.min(key).alias("first"))
-        below = index.join(first, [group, "word"])
-        leaders = (
-            below.groupBy(group, key).agg(F.bool_and(F.col(key) == F.col("first")).alias("ok")).filter("ok").drop("ok")
-        )
-        leaders = cut_lineage(leaders)
-        pairs = (
-            below.filter(F.col(key) != F.col("first"))
-            .join(leaders.withColumnRenamed(key, "first"), [group, "first"], "left_semi")
-            .select(group, key, "first")
-            .distinct()
-        )
-        close = (
-            pairs.join(sets.select(group, key, "words"), [group, key])
-            .join(sets.select(group, F.col(key).alias("first"), F.col("words").alias("first_words")), [group, "first"])
-            .filter(jaccard(F.col("words"), F.col("first_words")) >= threshold)
-            .select(group, key)
+        head = cut_lineage(top_per(index, ["g", "word"], [F.asc("k")], front, "_rank"))
+        edges = cut_lineage(_similar(_candidates(head, head, threshold), sets, threshold))
+        in_head = head.groupBy("g", "k").agg(F.count("*").alias("_h"))
+        waiting = cut_lineage(
+            index.groupBy("g", "k")
+            .agg(F.count("*").alias("_n"))
+            .join(in_head, ["g", "k"])
+            .select("g", "k", (F.col("_n") == F.col("_h")).alias("ready"))
         )
-        kept = leaders if kept is None else kept.unionByName(leaders)
-        done = leaders.unionByName(close).distinct()
-        index = cut_lineage(index.join(done, [group, key], "left_anti"))
-    return blank if kept is None else kept.unionByName(blank)
+        decided = cut_lineage(_settle(edges, waiting))
+        new = decided.filter("kept").select("g", "k")
+        kept = kept.unionByName(new)
+        rest = cut_lineage(index.join(decided.select("g", "k"), ["g", "k"], "left_anti"))
+        if rest.isEmpty():
+            break
+        pivots = index.join(new, ["g", "k"], "left_semi")
+        close = _similar(_candidates(pivots, rest, threshold), sets, threshold).select("g", "k").distinct()
+        index = cut_lineage(rest.join(close, ["g", "k"], "left_anti"))
+    return kept.select(F.col("g").alias(group), F.col("k").alias(key))

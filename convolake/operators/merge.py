@@ -110,11 +110,11 @@ def version_rows(history: DataFrame, keys: list[str], order: list[str], bucket:
     """Rows of a change stream that differ from the version before them, numbered from 1."""
     from convolake.operators import scan
 
-    state = history.withColumn("_hash", F.sha2(F.to_json(F.struct(*fields)), 256))
-    changed = scan.with_previous(state, keys, order, bucket, {"_before": "_hash"}).filter(
-        ~F.col("_before").eqNullSafe(F.col("_hash"))
+    state = history.withColumn("_state", F.struct(*fields))
+    changed = scan.with_previous(state, keys, order, bucket, {"_before": "_state"}).filter(
+        ~F.col("_before").eqNullSafe(F.col("_state"))
     )
-    return scan.with_number(changed.drop("_before", "_hash"), keys, order, bucket, "version")
+    return scan.with_number(changed.drop("_before", "_state"), keys, order, bucket, "version")
 
 
 def repaired_pointer(parents: DataFrame, children: DataFrame, key: str, child: str, order: str) -> DataFrame:
