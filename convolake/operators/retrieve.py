@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from convolake.functions import fixed
 from convolake.functions.text import SPACE, keywords
 
+try:
+    import ahocorasick
+except ImportError:  # the join form needs no library
+    ahocorasick = None
+
 # Bounds of the two ways to find nearest vectors: a question set up to this size is sent to every task, a larger one
 # is met block by block; the block sizes bound what one task holds.
 BROADCAST_QUESTIONS = 2000
+BROADCAST_KEYWORDS = 200_000
+BROADCAST_KEYWORD_CHARS = 4_000_000
 DOCUMENT_BLOCK = 20000
 SCORE_DIGITS = 9
 
@@ -164,28 +171,78 @@ def question_keywords(questions: DataFrame) -> DataFrame:
 
 
 def keyword_hits(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q_id, doc_id, hits) for documents that contain at least one non-empty keyword of the question."""
+    """(q_id, doc_id, hits, is_long) for documents that contain at least one non-empty keyword of the question.
+
+    A keyword set of bounded size goes to every task, which scans each document once and emits finished counts, so no
+    token is shuffled. A larger set, or one without the automaton library, is met by an equi-join on tokens.
+    """
     words = question_keywords(questions).filter(F.col("keyword") != "")
+    size = words.agg(F.count("*"), F.coalesce(F.sum(F.length("keyword")), F.lit(0))).first()
+    if ahocorasick is not None and size[0] <= BROADCAST_KEYWORDS and size[1] <= BROADCAST_KEYWORD_CHARS:
+        return keyword_hits_by_scan(words, docs)
+    return keyword_hits_by_join(words, docs)
+
+
+def keyword_hits_by_scan(words: DataFrame, docs: DataFrame) -> DataFrame:
+    """One pass over the documents with an automaton over all keywords (bounded by the caller)."""
+    table = {}
+    for r in words.limit(BROADCAST_KEYWORDS).collect():
+        table.setdefault(r["keyword"], []).append((r["q_id"], r["times"]))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def scan(batches):
+        automaton = ahocorasick.Automaton()
+        for keyword, asked in shared.value.items():
+            automaton.add_word(keyword, (keyword, asked))
+        if len(automaton):
+            automaton.make_automaton()
+        for pdf in batches:
+            q_ids, doc_ids, hits, long = [], [], [], []
+            for doc, text, is_long in zip(pdf["doc_id"], pdf["text"], pdf["is_long"]):
+                found = {k: asked for _, (k, asked) in automaton.iter(text)} if len(automaton) and text else {}
+                counts = {}
+                for asked in found.values():
+                    for q, times in asked:
+                        counts[q] = counts.get(q, 0) + times
+                q_ids.extend(counts.keys())
+                hits.extend(counts.values())
+                doc_ids.extend([doc] * len(counts))
+                long.extend([is_long] * len(counts))
+            yield pd.DataFrame({"q_id": q_ids, "doc_id": doc_ids, "hits": hits, "is_long": long})
+
+    return docs.select("doc_id", F.lower("text").alias("text"), _is_long().alias("is_long")).mapInPandas(
+        scan, "q_id bigint, doc_id bigint, hits bigint, is_long boolean"
+    )
+
+
+def keyword_hits_by_join(words: DataFrame, docs: DataFrame) -> DataFrame:
+    """The same by joins: distinct tokens meet keywords by short substrings, then documents by token."""
     tokens = docs.select(
-        "doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), f"[{SPACE}]+"))).alias("token")
+        "doc_id",
+        _is_long().alias("is_long"),
+        F.explode(F.array_distinct(F.split(F.lower("text"), f"[{SPACE}]+"))).alias("token"),
     )
     pairs = containing(tokens, "token", words, "keyword")
-    found = tokens.join(pairs, "token").select("doc_id", "keyword").distinct()
-    return found.join(words, "keyword").groupBy("q_id", "doc_id").agg(F.sum("times").alias("hits"))
+    found = tokens.join(pairs, "token").select("doc_id", "is_long", "keyword").distinct()
+    return found.join(words, "keyword").groupBy("q_id", "doc_id", "is_long").agg(F.sum("times").alias("hits")).select(
+        "q_id", "doc_id", "hits", "is_long"
+    )
+
+
+def _is_long() -> Column:
+    return F.length("text") > fixed.LONG_TEXT_CHARS
 
 
 def keyword_top(questions: DataFrame, docs: DataFrame, k: int = fixed.TOP_K) -> DataFrame:
     """Top-k documents per question by keyword score (hits, blank keywords, bonus for long texts), score > 0.
 
     Documents without a hit all score the same within their length class, so the k smallest ids of each class stand
-    for the rest of them.
+    for the rest of them. Hits are cut to k per question before they meet those; a document with hits that was cut
+    scores less than k others either way.
     """
-    length = docs.select("doc_id", (F.length("text") > fixed.LONG_TEXT_CHARS).alias("is_long"))
-    blanks = (
-        questions.select("q_id", F.size(F.filter(keywords(F.col("text")), lambda w: w == "")).alias("blanks"))
-    )
-    filler = top_per(length, ["is_long"], [F.asc("doc_id")], k, "_n").select("doc_id", "is_long")
-    hits = keyword_hits(questions, docs).join(length, "doc_id").select("q_id", "doc_id", "hits", "is_long")
+    bonus = F.when(F.col("is_long"), fixed.LONG_TEXT_BONUS).otherwise(0.0)
+    best = top_per(keyword_hits(questions, docs), ["q_id"], [F.desc(F.col("hits") + bonus), F.asc("doc_id")], k, "_n")
+    filler = top_per(docs.select("doc_id", _is_long().alias("is_long")), ["is_long"], [F.asc("doc_id")], k, "_n")
     # at most 2k filler rows: packed into one row and handed to every question
     packed = filler.agg(F.collect_list(F.struct("doc_id", "is_long")).alias("rows")).withColumn("one", F.lit(1))
     fill = (
@@ -194,18 +251,16 @@ def keyword_top(questions: DataFrame, docs: DataFrame, k: int = fixed.TOP_K) ->
         .select("q_id", F.explode("rows").alias("r"))
         .select("q_id", "r.doc_id", F.lit(0).cast("bigint").alias("hits"), "r.is_long")
     )
+    blanks = questions.select(
+        "q_id", F.size(F.filter(keywords(F.col("text")), lambda w: w == "")).alias("blanks")
+    )
     scored = (
-        hits.unionByName(fill)
-        .groupBy("q_id", "doc_id")
-        .agg(F.max("hits").alias("hits"), F.first("is_long").alias("is_long"))
+        best.drop("_n")
+        .unionByName(fill)
+        .groupBy("q_id", "doc_id", "is_long")
+        .agg(F.max("hits").alias("hits"))
         .join(blanks, "q_id")
-        .select(
-            "q_id",
-            "doc_id",
-            (F.col("hits") + F.col("blanks") + F.when(F.col("is_long"), fixed.LONG_TEXT_BONUS).otherwise(0.0)).alias(
-                "score"
-            ),
-        )
+        .select("q_id", "doc_id", (F.col("hits") + F.col("blanks") + bonus).alias("score"))
         .filter("score > 0")
     )
     return top_per(scored, ["q_id"], [F.desc("score"), F.asc("doc_id")], k)

@@ -208,7 +208,16 @@ def _(t):
     f"WITH {KEYWORD_SQL} SELECT q_id, doc_id, hits FROM khits",
 )
 def _(t):
-    return R.keyword_hits(questions(t), spread(t.documents.select("doc_id", "text")))
+    return R.keyword_hits(questions(t), spread(t.documents.select("doc_id", "text"))).drop("is_long")
+
+
+@query(
+    "j17_keyword_hits_join",
+    f"WITH {KEYWORD_SQL} SELECT q_id, doc_id, hits FROM khits",
+)
+def _(t):
+    words = R.question_keywords(questions(t)).filter("keyword <> ''")
+    return R.keyword_hits_by_join(words, spread(t.documents.select("doc_id", "text"))).drop("is_long")
 
 
 @query("k5_keyword_top", f"WITH {KEYWORD_SQL} SELECT q_id, doc_id, score, rank FROM ktop")
