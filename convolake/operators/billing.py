@@ -1,35 +1,19 @@
 """Model prices, usage ledgers and balances.
 
-Prices are resolved on the distinct models of the facts and joined back by equality. Pattern containment is an
-equi-join on short substrings (``retrieve.containing``), so neither side is paired with all rows of the other.
+Prices are resolved on the distinct models of the facts and joined back by equality. Patterns from a table meet the
+models by an equi-join on short substrings (``retrieve.containing``), fixed lists by expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolake.functions import fixed, rates
+from convolake.functions.text import let
 from convolake.operators import scan
 from convolake.operators.retrieve import containing
-
-
-def price_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, float(p), float(c), i) for i, (k, (p, c)) in enumerate(rates.PRICES.items())]
-    return spark.createDataFrame(rows, "pattern string, prompt double, completion double, ord int")
-
-
-def cache_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, float(w), float(r), i) for i, (k, (w, r)) in enumerate(rates.CACHE_PRICES.items())]
-    return spark.createDataFrame(rows, "pattern string, write double, read double, ord int")
-
-
-def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, k, i) for i, (p, k) in enumerate(rates.KEY_RULES)], "pattern string, key string, ord int")
-
-
-def limit_table(spark: SparkSession, limits: dict[str, int] = rates.CONTEXT_LIMITS) -> DataFrame:
-    return spark.createDataFrame([(p, v, i) for i, (p, v) in enumerate(limits.items())], "pattern string, tokens int, ord int")
+from convolake.session import broadcast_if_small
 
 
 def match_patterns(models: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -41,44 +25,53 @@ def match_patterns(models: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
-def billing_keys(models: DataFrame, limits: DataFrame, rules: DataFrame, prices: DataFrame) -> DataFrame:
-    """(model, key): the first rule contained in the resolved model name, else the name itself if it has a price."""
-    names = (
-        models.select("model")
-        .filter("model IS NOT NULL")
-        .distinct()
-        .join(match_patterns(models, limits), "model", "left")
-        .select("model", F.coalesce("pattern", "model").alias("name"))
-    )
-    hits = (
-        containing(names, "name", rules, "pattern")
-        .join(rules, "pattern")
-        .groupBy("name")
-        .agg(F.min_by("key", "ord").alias("rule_key"))
-    )
-    priced = prices.select(F.col("pattern").alias("name"), F.lit(True).alias("priced"))
-    return (
-        names.join(hits, "name", "left")
-        .join(priced, "name", "left")
-        .select("model", F.coalesce("rule_key", F.when(F.col("priced"), F.col("name"))).alias("key"))
+def contained(text: Column, patterns: list[str]) -> Column:
+    """The equal pattern, else the last one of a fixed list that the text contains, else null."""
+    hits = F.filter(F.array(*map(F.lit, patterns)), lambda p: text.contains(p))
+    return F.when(text.isin(patterns), text).otherwise(F.get(F.reverse(hits), F.lit(0)))
+
+
+def looked_up(key: Column, table: dict[str, float]) -> Column:
+    """Value of a fixed table, null for an unknown key."""
+    cells = [c for k, v in table.items() for c in (F.lit(k), F.lit(v))]
+    return F.try_element_at(F.create_map(*cells), F.coalesce(key, F.lit("")))
+
+
+def billing_key(model: Column) -> Column:
+    """The first rule contained in the resolved model name, else the name itself if it has a price, else null."""
+    rules = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(k).alias("key")) for p, k in rates.KEY_RULES])
+    name = F.coalesce(contained(model, list(rates.CONTEXT_LIMITS)), model)
+    return let(
+        name,
+        lambda n: F.coalesce(
+            F.get(F.filter(rules, lambda r: n.contains(r["part"])), F.lit(0))["key"], F.when(n.isin(list(rates.PRICES)), n)
+        ),
     )
 
 
-def model_rates(models: DataFrame, spark: SparkSession) -> DataFrame:
-    """(model, prompt, completion, write, read) with defaults for unknown models; cache rates may be null."""
-    prices, cache = price_table(spark), cache_table(spark)
-    keys = billing_keys(models, limit_table(spark), rule_table(spark), prices)
-    return (
-        keys.join(prices.drop("ord").withColumnRenamed("pattern", "key"), "key", "left")
-        .join(cache.drop("ord").withColumnRenamed("pattern", "key"), "key", "left")
+def model_rates(models: DataFrame) -> DataFrame:
+    """(model, key, prompt, completion, write, read) with defaults for unknown models; cache rates may be null.
+
+    The tables are fixed lists, so a distinct model is priced by expressions alone. The result has one row per model and
+    is handed to every task while it is small, so facts stay where they are.
+    """
+    side = lambda table, i: {k: float(v[i]) for k, v in table.items()}
+    key, default = F.col("key"), F.lit(fixed.DEFAULT_RATE)
+    priced = (
+        models.select("model")
+        .filter("model IS NOT NULL")
+        .distinct()
+        .withColumn("key", billing_key(F.col("model")))
         .select(
             "model",
-            F.coalesce("prompt", F.lit(fixed.DEFAULT_RATE)).alias("prompt"),
-            F.coalesce("completion", F.lit(fixed.DEFAULT_RATE)).alias("completion"),
-            "write",
-            "read",
+            "key",
+            F.coalesce(looked_up(key, side(rates.PRICES, 0)), default).alias("prompt"),
+            F.coalesce(looked_up(key, side(rates.PRICES, 1)), default).alias("completion"),
+            looked_up(key, side(rates.CACHE_PRICES, 0)).alias("write"),
+            looked_up(key, side(rates.CACHE_PRICES, 1)).alias("read"),
         )
     )
+    return broadcast_if_small(priced)
 
 
 def resolve_rate(config_present: Column, config_rate: Column, key_rate: Column, token_type: Column, model: Column, model_rate: Column) -> Column:

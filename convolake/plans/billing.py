@@ -82,8 +82,7 @@ def _(t):
 
 @query("j16_billing_key", f"WITH {DIMS_SQL} SELECT model, key FROM keys")
 def _(t):
-    s = t.spark
-    return B.billing_keys(models(t), B.limit_table(s), B.rule_table(s), B.price_table(s))
+    return B.model_rates(models(t)).select("model", "key")
 
 
 @query(
@@ -94,7 +93,7 @@ def _(t):
         FROM use LEFT JOIN rate USING (model)""",
 )
 def _(t):
-    u = usage(t).join(B.model_rates(models(t), t.spark), "model", "left")
+    u = usage(t).join(B.model_rates(models(t)), "model", "left")
     line = F.col("line") % 5
     none = F.lit(None).cast("double")
     rate = B.resolve_rate(
@@ -110,7 +109,7 @@ def _(t):
 
 @query("b2_cache_rates", f"WITH {DIMS_SQL} SELECT model, prompt, completion, write, read FROM rate")
 def _(t):
-    return B.model_rates(models(t), t.spark)
+    return B.model_rates(models(t)).drop("key")
 
 
 _TX = """tx AS (SELECT "user", conversation_id, line, l_partkey, context, model, 'prompt' AS token_type, -greatest(prompt_tokens, 0) AS raw_amount,
@@ -128,7 +127,7 @@ ledger AS (SELECT *, CASE WHEN token_type = 'completion' AND context = 'incomple
         FROM ledger WHERE token_type = 'completion' GROUP BY ALL""",
 )
 def _(t):
-    tx = B.usage_transactions(usage(t), B.model_rates(models(t), t.spark))
+    tx = B.usage_transactions(usage(t), B.model_rates(models(t)))
     return (
         tx.filter("token_type = 'completion'")
         .groupBy("model", "context")
@@ -150,7 +149,7 @@ def _(t):
         FROM use JOIN rate USING (model)""",
 )
 def _(t):
-    u = usage(t).join(B.model_rates(models(t), t.spark), "model")
+    u = usage(t).join(B.model_rates(models(t)), "model")
     value, raw, rate = B.structured_prompt(
         F.col("prompt_tokens"), (F.col("line") * 10).cast("double"), F.col("completion_tokens"),
         F.col("prompt"), F.col("write"), F.col("read"),
@@ -167,7 +166,7 @@ def _(t):
           round(rate, 6) AS rate, round(token_value, 6) AS token_value FROM ledger""",
 )
 def _(t):
-    tx = B.usage_transactions(usage(t), B.model_rates(models(t), t.spark))
+    tx = B.usage_transactions(usage(t), B.model_rates(models(t)))
     return tx.withColumns({"rate": F.round("rate", 6), "token_value": F.round("token_value", 6)})
 
 
@@ -263,16 +262,15 @@ def _(t):
           FROM outs WHERE contains(model, pattern)), {rates.OUTPUT_DEFAULT}) AS output FROM lim LEFT JOIN limits ON limits.pattern = hit""",
 )
 def _(t):
-    names = models(t).distinct()
-
-    def limits(table, name):
-        hit = B.match_patterns(names, table).join(table.drop("ord"), "pattern")
-        return hit.select("model", F.col("tokens").alias(name))
-
+    limit = lambda table: B.looked_up(B.contained(F.col("model"), list(table)), table)
     return (
-        names.join(limits(B.limit_table(t.spark), "context"), "model", "left")
-        .join(limits(B.limit_table(t.spark, rates.OUTPUT_LIMITS), "output"), "model", "left")
-        .withColumn("output", F.coalesce("output", F.lit(rates.OUTPUT_DEFAULT)))
+        models(t)
+        .distinct()
+        .select(
+            "model",
+            limit(rates.CONTEXT_LIMITS).alias("context"),
+            F.coalesce(limit(rates.OUTPUT_LIMITS), F.lit(rates.OUTPUT_DEFAULT)).alias("output"),
+        )
     )
 
 

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "8", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -60,3 +61,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal the rows over all cores when a scan yields fewer partitions than that; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The frame, computed once, with a broadcast hint if it has no more than ``rows`` rows; else as it is."""
+    fixed = cut_lineage(df)
+    return F.broadcast(fixed) if fixed.limit(rows + 1).count() <= rows else fixed
