@@ -124,14 +124,10 @@ def usage_transactions(usage: DataFrame, rates_: DataFrame) -> DataFrame:
 def running_balance(ledger: DataFrame, opening: float, bucket: Column) -> DataFrame:
     """Balance after each entry, never below zero; ``ledger`` is (user, ts, id, delta).
 
-    Clamping at zero equals subtracting the deepest shortfall so far, so two running aggregates are enough.
+    Clamping at zero equals subtracting the deepest shortfall so far.
     """
-    order = ["ts", "id"]
-    summed = scan.with_running(ledger, ["user"], order, bucket, {"_s": ("sum", F.col("delta"))}).withColumn(
-        "_s", F.col("_s") + F.lit(opening)
-    )
-    low = scan.with_running(summed, ["user"], order, bucket, {"_low": ("min", F.col("_s"))})
-    return low.withColumn("balance", F.col("_s") - F.least(F.lit(0.0), F.col("_low"))).drop("_s", "_low")
+    rows = scan.with_clamped(ledger, ["user"], ["ts", "id"], bucket, F.col("delta"), opening)
+    return rows.withColumn("balance", F.col("raw") - F.least(F.lit(0.0), F.col("low"))).drop("raw", "low")
 
 
 def final_balance(ledger: DataFrame, opening: float, bucket: Column) -> DataFrame:

@@ -18,6 +18,25 @@ _FOLD = {
 _CARRIED = {"sum": lambda c: F.coalesce(c, F.lit(0)), "min": lambda c: c, "max": lambda c: c}
 
 
+def _cut(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """``_key``: key columns and bucket as one struct; equal structs meet even where a key column is null, and the scan
+    and the join back share one partitioning."""
+    return df.withColumn("_key", F.struct(*keys, bucket.alias("_bucket")))
+
+
+def _earlier(keys: list[str], desc: bool):
+    at = F.col("_key")["_bucket"]
+    return Window.partitionBy(*[F.col("_key")[k] for k in keys]).orderBy(at.desc() if desc else at.asc())
+
+
+def _in_order(order: list[str], desc: bool) -> list[Column]:
+    return [F.col(c).desc() if desc else F.col(c).asc() for c in order]
+
+
+def _join_back(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    return rows.join(carry.withColumnRenamed("_key", "_carried"), F.col("_key") == F.col("_carried")).drop("_carried")
+
+
 def with_running(
     df: DataFrame,
     keys: list[str],
@@ -30,30 +49,54 @@ def with_running(
 
     ``running`` maps a new column to (``sum`` | ``min`` | ``max``, expression).
     """
-    way = (lambda c: F.col(c).desc()) if desc else (lambda c: F.col(c).asc())
-    local = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*[way(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    before = Window.partitionBy(*keys).orderBy(way("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    cut = df.withColumn("_bucket", bucket)
-    totals = cut.groupBy(*keys, "_bucket").agg(
-        *[_FOLD[kind][0](expr).alias(name) for name, (kind, expr) in running.items()]
-    )
+    local = Window.partitionBy("_key").orderBy(*_in_order(order, desc)).rowsBetween(Window.unboundedPreceding, 0)
+    before = _earlier(keys, desc).rowsBetween(Window.unboundedPreceding, -1)
+    cut = _cut(df, keys, bucket)
+    totals = cut.groupBy("_key").agg(*[_FOLD[kind][0](expr).alias(name) for name, (kind, expr) in running.items()])
     carry = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_k_bucket"),
-        *[_FOLD[kind][0](name).over(before).alias(f"_c_{name}") for name, (kind, _) in running.items()],
+        "_key", *[_FOLD[kind][0](name).over(before).alias(f"_c_{name}") for name, (kind, _) in running.items()]
     )
     rows = cut.withColumns({name: _FOLD[kind][0](expr).over(local) for name, (kind, expr) in running.items()})
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket").eqNullSafe(F.col("_k_bucket"))]
-    joined = rows.join(carry, on, "left")
     merged = {
         name: F.coalesce(
             _FOLD[kind][1](F.col(name), _CARRIED[kind](F.col(f"_c_{name}"))), F.col(name), F.col(f"_c_{name}")
         )
         for name, (kind, _) in running.items()
     }
-    return joined.withColumns(merged).select(*df.columns, *running)
+    return _join_back(rows, carry).withColumns(merged).select(*df.columns, *running)
+
+
+def with_clamped(
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, delta: Column, opening: Column | float = 0.0
+) -> DataFrame:
+    """Add ``raw`` (opening value plus running sum) and ``low`` (its least value so far).
+
+    A running value that never falls below zero is ``raw - least(0, low)``: what is missing to zero at the deepest point
+    stays added. One scan of the rows and one row per bucket give both columns.
+    """
+    local = Window.partitionBy("_key").orderBy(*_in_order(order, False)).rowsBetween(Window.unboundedPreceding, 0)
+    ordered = _earlier(keys, False)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    rows = (
+        _cut(df, keys, bucket)
+        .withColumn("_delta", delta)
+        .withColumn("_s", F.sum("_delta").over(local))
+        .withColumn("_m", F.min("_s").over(local))
+    )
+    start = opening if isinstance(opening, Column) else F.lit(float(opening))
+    carry = (
+        rows.groupBy("_key")
+        .agg(F.sum("_delta").alias("_total"), F.min("_m").alias("_least"))
+        .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
+        .withColumn("_floor", F.min(F.col("_base") + F.col("_least")).over(before))
+        .select("_key", "_base", "_floor")
+    )
+    return (
+        _join_back(rows, carry)
+        .withColumn("raw", start + F.col("_base") + F.col("_s"))
+        .withColumn("low", start + F.least(F.col("_floor"), F.col("_base") + F.col("_m")))
+        .select(*df.columns, "raw", "low")
+    )
 
 
 def with_number(
@@ -67,30 +110,19 @@ def with_previous(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, previous: dict[str, str], desc: bool = False
 ) -> DataFrame:
     """Value of the row before this one inside the key; ``previous`` maps new column to source column."""
-    way = (lambda c: F.col(c).desc()) if desc else (lambda c: F.col(c).asc())
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*[way(c) for c in order])
-    cut = df.withColumn("_bucket", bucket)
+    local = Window.partitionBy("_key").orderBy(*_in_order(order, desc))
+    cut = _cut(df, keys, bucket)
     last = F.min_by if desc else F.max_by
-    ends = cut.groupBy(*keys, "_bucket").agg(
+    ends = cut.groupBy("_key").agg(
         last(F.struct(*[F.col(src).alias(name) for name, src in previous.items()]), F.struct(*order)).alias("_last")
     )
-    carry = ends.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_k_bucket"),
-        F.lag("_last").over(Window.partitionBy(*keys).orderBy(way("_bucket"))).alias("_carry"),
-    )
+    carry = ends.select("_key", F.lag("_last").over(_earlier(keys, desc)).alias("_carry_row"))
     rows = cut.withColumns(
         {"_first": F.row_number().over(local) == 1}
         | {name: F.lag(src).over(local) for name, src in previous.items()}
     )
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket").eqNullSafe(F.col("_k_bucket"))]
-    return (
-        rows.join(carry, on, "left")
-        .withColumns(
-            {name: F.when(F.col("_first"), F.col(f"_carry.{name}")).otherwise(F.col(name)) for name in previous}
-        )
-        .select(*df.columns, *previous)
-    )
+    merged = {name: F.when(F.col("_first"), F.col("_carry_row")[name]).otherwise(F.col(name)) for name in previous}
+    return _join_back(rows, carry).withColumns(merged).select(*df.columns, *previous)
 
 
 def packed_lists(

@@ -36,16 +36,15 @@ def clamped_ledger(batch: DataFrame, bucket: Column, carried: DataFrame | None =
 
     ``batch`` is (key, ts, id, delta); ``carried`` (key, raw, low) is where earlier rows ended.
     """
-    order = ["ts", "id"]
-    rows = scan.with_running(batch, ["key"], order, bucket, {"raw": ("sum", F.col("delta"))})
+    rows = scan.with_clamped(batch, ["key"], ["ts", "id"], bucket, F.col("delta"))
     if carried is not None:
         before = carried.select("key", F.col("raw").alias("_raw"), F.col("low").alias("_low"))
-        rows = rows.join(before, "key", "left").withColumn("raw", F.col("raw") + F.coalesce("_raw", F.lit(0.0)))
-    else:
-        rows = rows.withColumn("_low", F.lit(None).cast("double"))
-    lows = scan.with_running(rows, ["key"], order, bucket, {"low": ("min", F.col("raw"))})
-    low = F.least(F.lit(0.0), F.coalesce("_low", F.lit(0.0)), F.col("low"))
-    return lows.withColumn("low", low).withColumn("value", F.col("raw") - F.col("low")).drop("_raw", "_low")
+        base = F.coalesce("_raw", F.lit(0.0))
+        rows = rows.join(before, "key", "left").withColumns(
+            {"raw": F.col("raw") + base, "low": F.least(F.coalesce("_low", F.lit(0.0)), F.col("low") + base)}
+        )
+    low = F.least(F.lit(0.0), F.col("low"))
+    return rows.select(*batch.columns, "raw", low.alias("low")).withColumn("value", F.col("raw") - F.col("low"))
 
 
 def stream_ledger(stream: DataFrame, bucket: Column, name: str) -> DataFrame:

@@ -290,6 +290,14 @@ def test_number_and_previous_across_buckets(spark):
     assert all(r["rn"] == 50 - r["v"] // 2 for r in down)
 
 
+def test_null_keys_form_one_group(spark):
+    df = spark.range(60).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    rows = scan.with_number(df, ["k"], ["v"], F.floor(F.col("v") / 8), "rn").collect()
+    assert len(rows) == 60 and all(r["rn"] == r["v"] // 3 + 1 for r in rows)
+    rows = scan.with_previous(df, ["k"], ["v"], F.floor(F.col("v") / 8), {"p": "v"}).collect()
+    assert all(r["p"] == (r["v"] - 3 if r["v"] >= 3 else None) for r in rows)
+
+
 def test_published_billing_cases(spark):
     usage = spark.createDataFrame([(1, "gpt-3.5-turbo", 100.0, 50.0, "message")], "user int, model string, prompt_tokens double, completion_tokens double, context string")
     rates = billing.model_rates(usage)
