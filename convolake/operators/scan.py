@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 _FOLD = {
     "sum": (F.sum, lambda a, b: a + b),
@@ -18,25 +19,31 @@ _FOLD = {
 _CARRIED = {"sum": lambda c: F.coalesce(c, F.lit(0)), "min": lambda c: c, "max": lambda c: c}
 
 
-def _cut(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
-    """``_key``: key columns and bucket as one struct; equal structs meet even where a key column is null, and the scan
-    and the join back share one partitioning."""
-    return df.withColumn("_key", F.struct(*keys, bucket.alias("_bucket")))
+def _cut(df: DataFrame, keys: list[str], bucket: Column) -> tuple[DataFrame, list[str], list[str]]:
+    """Rows with plain key columns and the bucket, and the names of both: (frame, key columns, key columns + bucket).
+
+    A null key is replaced by a zero of its type and a flag, so plain equality meets it and the scan and the join back
+    share one partitioning. The bucket must not be null.
+    """
+    columns, names = {}, []
+    for i, key in enumerate(keys):
+        kind = df.schema[key].dataType
+        zero = F.lit("") if isinstance(kind, StringType) else F.lit(0).cast(kind) if isinstance(kind, NumericType) else None
+        value = F.col(key).cast("string") if zero is None else F.col(key)
+        columns[f"_k{i}"] = F.coalesce(value, F.lit("") if zero is None else zero)
+        columns[f"_z{i}"] = F.col(key).isNull()
+        names += [f"_k{i}", f"_z{i}"]
+    return df.withColumns(columns | {"_bucket": bucket}), names, [*names, "_bucket"]
 
 
-def _earlier(keys: list[str], desc: bool):
-    at = F.col("_key")["_bucket"]
-    return Window.partitionBy(*[F.col("_key")[k] for k in keys]).orderBy(at.desc() if desc else at.asc())
+def _earlier(names: list[str], desc: bool):
+    return Window.partitionBy(*names).orderBy(F.col("_bucket").desc() if desc else F.col("_bucket").asc())
 
 
 def _in_order(order: list[str], desc: bool) -> list[Column]:
     return [F.col(c).desc() if desc else F.col(c).asc() for c in order]
 
 
-def _join_back(rows: DataFrame, carry: DataFrame) -> DataFrame:
-    return rows.join(carry.withColumnRenamed("_key", "_carried"), F.col("_key") == F.col("_carried")).drop("_carried")
-
-
 def with_running(
     df: DataFrame,
     keys: list[str],
@@ -49,12 +56,12 @@ def with_running(
 
     ``running`` maps a new column to (``sum`` | ``min`` | ``max``, expression).
     """
-    local = Window.partitionBy("_key").orderBy(*_in_order(order, desc)).rowsBetween(Window.unboundedPreceding, 0)
-    before = _earlier(keys, desc).rowsBetween(Window.unboundedPreceding, -1)
-    cut = _cut(df, keys, bucket)
-    totals = cut.groupBy("_key").agg(*[_FOLD[kind][0](expr).alias(name) for name, (kind, expr) in running.items()])
+    cut, names, cell = _cut(df, keys, bucket)
+    local = Window.partitionBy(*cell).orderBy(*_in_order(order, desc)).rowsBetween(Window.unboundedPreceding, 0)
+    before = _earlier(names, desc).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*cell).agg(*[_FOLD[kind][0](expr).alias(name) for name, (kind, expr) in running.items()])
     carry = totals.select(
-        "_key", *[_FOLD[kind][0](name).over(before).alias(f"_c_{name}") for name, (kind, _) in running.items()]
+        *cell, *[_FOLD[kind][0](name).over(before).alias(f"_c_{name}") for name, (kind, _) in running.items()]
     )
     rows = cut.withColumns({name: _FOLD[kind][0](expr).over(local) for name, (kind, expr) in running.items()})
     merged = {
@@ -63,7 +70,7 @@ def with_running(
         )
         for name, (kind, _) in running.items()
     }
-    return _join_back(rows, carry).withColumns(merged).select(*df.columns, *running)
+    return rows.join(carry, cell).withColumns(merged).select(*df.columns, *running)
 
 
 def with_clamped(
@@ -74,25 +81,24 @@ def with_clamped(
     A running value that never falls below zero is ``raw - least(0, low)``: what is missing to zero at the deepest point
     stays added. One scan of the rows and one row per bucket give both columns.
     """
-    local = Window.partitionBy("_key").orderBy(*_in_order(order, False)).rowsBetween(Window.unboundedPreceding, 0)
-    ordered = _earlier(keys, False)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    cut, names, cell = _cut(df, keys, bucket)
+    local = Window.partitionBy(*cell).orderBy(*_in_order(order, False)).rowsBetween(Window.unboundedPreceding, 0)
+    before = _earlier(names, False).rowsBetween(Window.unboundedPreceding, -1)
     rows = (
-        _cut(df, keys, bucket)
-        .withColumn("_delta", delta)
+        cut.withColumn("_delta", delta)
         .withColumn("_s", F.sum("_delta").over(local))
         .withColumn("_m", F.min("_s").over(local))
     )
     start = opening if isinstance(opening, Column) else F.lit(float(opening))
     carry = (
-        rows.groupBy("_key")
+        rows.groupBy(*cell)
         .agg(F.sum("_delta").alias("_total"), F.min("_m").alias("_least"))
         .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
         .withColumn("_floor", F.min(F.col("_base") + F.col("_least")).over(before))
-        .select("_key", "_base", "_floor")
+        .select(*cell, "_base", "_floor")
     )
     return (
-        _join_back(rows, carry)
+        rows.join(carry, cell)
         .withColumn("raw", start + F.col("_base") + F.col("_s"))
         .withColumn("low", start + F.least(F.col("_floor"), F.col("_base") + F.col("_m")))
         .select(*df.columns, "raw", "low")
@@ -110,19 +116,19 @@ def with_previous(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, previous: dict[str, str], desc: bool = False
 ) -> DataFrame:
     """Value of the row before this one inside the key; ``previous`` maps new column to source column."""
-    local = Window.partitionBy("_key").orderBy(*_in_order(order, desc))
-    cut = _cut(df, keys, bucket)
+    cut, names, cell = _cut(df, keys, bucket)
+    local = Window.partitionBy(*cell).orderBy(*_in_order(order, desc))
     last = F.min_by if desc else F.max_by
-    ends = cut.groupBy("_key").agg(
+    ends = cut.groupBy(*cell).agg(
         last(F.struct(*[F.col(src).alias(name) for name, src in previous.items()]), F.struct(*order)).alias("_last")
     )
-    carry = ends.select("_key", F.lag("_last").over(_earlier(keys, desc)).alias("_carry_row"))
+    carry = ends.select(*cell, F.lag("_last").over(_earlier(names, desc)).alias("_carry_row"))
     rows = cut.withColumns(
         {"_first": F.row_number().over(local) == 1}
         | {name: F.lag(src).over(local) for name, src in previous.items()}
     )
     merged = {name: F.when(F.col("_first"), F.col("_carry_row")[name]).otherwise(F.col(name)) for name in previous}
-    return _join_back(rows, carry).withColumns(merged).select(*df.columns, *previous)
+    return rows.join(carry, cell).withColumns(merged).select(*df.columns, *previous)
 
 
 def packed_lists(
