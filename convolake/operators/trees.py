@@ -259,9 +259,9 @@ def fork(df: DataFrame, targets: DataFrame, option: str, fork_id: str, split_lat
     With ``split_latest`` the conversation is first split at the target's level and then followed to those messages.
     """
     if split_latest is not None:
-        df, targets = split_at_target_level(df, targets).drop("target"), split_latest
+        df, targets = cut_lineage(split_at_target_level(df, targets).select(*df.columns)), split_latest
     pick = {"direct_path": path_to_root, "include_branches": path_with_siblings, "target_level": up_to_target_level}
-    return cloned(pick[option](df, targets).select(*df.columns), fork_id)
+    return cloned(cut_lineage(pick[option](df, targets).select(*df.columns)), fork_id)
 
 
 def audit(df: DataFrame) -> DataFrame:

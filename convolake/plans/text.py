@@ -97,7 +97,24 @@ def _(t):
     return part_rows(t).select("conv_id", "turn", C.message_tokens(F.col("role"), F.col("parts")).alias("tokens"))
 
 
-@query("t5_chunks")
+_CHUNKS_SQL = f"""WITH RECURSIVE s AS (SELECT doc_id, {SENTENCES_SQL} AS ss FROM documents),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS emit, '' AS cur, CAST(0 AS BIGINT) AS tok FROM s
+  UNION ALL SELECT doc_id, i + 1,
+    CASE WHEN n > 750 THEN list_concat(CASE WHEN cur <> '' THEN [cur] ELSE CAST([] AS VARCHAR[]) END, list_transform(
+        range(0, CAST((len(w) - 1) // 375 + 1 AS BIGINT)), lambda j: array_to_string(w[j * 375 + 1 : j * 375 + 375], ' ')))
+      WHEN tok + n > 750 THEN [cur] ELSE CAST([] AS VARCHAR[]) END,
+    CASE WHEN n > 750 THEN '' WHEN tok + n > 750 THEN tail || ' ' || x WHEN cur <> '' THEN cur || ' ' || x ELSE x END,
+    CASE WHEN n > 750 THEN 0 WHEN tok + n > 750 THEN {tokens_sql("tail || ' ' || x")} ELSE tok + n END
+  FROM (SELECT *, {tokens_sql('x')} AS n, string_split(x, ' ') AS w, CASE WHEN {tokens_sql('cur')} <= 100 THEN cur
+          ELSE array_to_string(string_split(cur, ' ')[-77:], ' ') END AS tail
+        FROM (SELECT r.*, ss[i + 1] AS x FROM r JOIN s USING (doc_id) WHERE i < len(ss)))),
+e AS (SELECT doc_id, i, unnest(emit) AS c, generate_subscripts(emit, 1) AS p FROM r
+  UNION ALL SELECT doc_id, 1000000000, arg_max(cur, i), 1 FROM r GROUP BY doc_id)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, p) - 1 AS chunk_index, content, {tokens_sql('content')} AS tokens
+FROM (SELECT doc_id, i, p, {trim_sql('c')} AS content FROM e) WHERE content <> ''"""
+
+
+@query("t5_chunks", _CHUNKS_SQL)
 def _(t):
     return docs(t, "text").select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "content")).withColumn(
         "tokens", X.token_estimate(F.col("content"))
@@ -251,7 +268,12 @@ def _(t):
     return docs(t, "text", "source").select("doc_id", cite(F.col("text"), citations).alias("text"))
 
 
-@query("t17_citation_markers")
+@query(
+    "t17_citation_markers",
+    """SELECT doc_id, '**' || source || '** ' || text || '[1] and [1][2] end' AS text,
+         CASE WHEN doc_id % 3 = 1 THEN '[1] ' || source || chr(10) || '[2] ' || lang ELSE '[1] ' || lang || chr(10) || '[2] ' || source END
+         AS citations FROM documents""",
+)
 def _(t):
     from convolake.operators.citations import number_citations
 
@@ -514,7 +536,13 @@ def _(t):
     )
 
 
-@query("t39_annotations")
+@query(
+    "t39_annotations",
+    """SELECT doc_id, left(text, a) || '^2^' || substr(text, a + 2, b - a - 1) || '^1^' || substr(text, b + 2, c - b - 1) || '/f'
+         || substr(text, c + 2) || chr(10) || chr(10) || '^1.^ ' || source || chr(10) || '^2.^ ' || lang AS text
+       FROM (SELECT *, CAST(floor(length(text) * 0.25) AS BIGINT) AS a, CAST(floor(length(text) * 0.5) AS BIGINT) AS b,
+         CAST(floor(length(text) * 0.75) AS BIGINT) AS c FROM documents)""",
+)
 def _(t):
     from convolake.operators.citations import apply_annotations
 

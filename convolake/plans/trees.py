@@ -164,7 +164,17 @@ def _(t):
     return T.fork(m, middles(m), "target_level", "f3")
 
 
-@query("g8_fork_split_latest")
+_SPLIT = f"""l AS ({LEVEL_SQL}), sp AS (SELECT l.conv_id, l.msg, CASE WHEN l.depth = x.depth THEN -1 ELSE l.parent END AS parent FROM l
+  JOIN middle t USING (conv_id) JOIN l x ON x.conv_id = l.conv_id AND x.msg = t.target WHERE l.depth >= x.depth),
+up2 AS (SELECT conv_id, target AS msg FROM target UNION ALL SELECT u.conv_id, s.parent FROM up2 u JOIN sp s ON s.conv_id = u.conv_id
+  AND s.msg = u.msg WHERE s.parent <> -1)"""
+
+
+@query(
+    "g8_fork_split_latest",
+    f"""WITH RECURSIVE {WALK_SQL}, {_FIXED}, {_SPLIT}, {clone_sql('f4', 'SELECT s.conv_id, s.msg, s.parent, f.t, m.text FROM sp s '
+        'JOIN up2 USING (conv_id, msg) JOIN fix f USING (conv_id, msg) JOIN msg m USING (conv_id, msg)')}""",
+)
 def _(t):
     m = untidy(t)
     return T.fork(m, middles(m), "direct_path", "f4", split_latest=targets(m))

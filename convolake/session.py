@@ -52,7 +52,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of executors."""
+    """Reliable checkpoint in the shared folder: the rows are computed once and survive the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
