@@ -163,7 +163,7 @@ def test_artifact_without_end(spark):
     assert one(spark, citations.replace_in_artifact(F.lit("x"), 0, F.lit("a"), F.lit("b"))) is None
 
 
-def test_citation_splice_is_linear_on_nested_brackets(spark):
+def test_citation_splice_on_nested_brackets(spark):
     text = "[" * 2000 + "x"
     c = F.array(F.struct(F.lit("webpage").alias("type"), F.lit(0).alias("start_ix"), F.lit(2000).alias("end_ix"), F.lit("t").alias("title"), F.lit("u").alias("url")))
     assert one(spark, imports.cite(F.lit(text), c)) == " ([t](u))x"
