@@ -1,7 +1,8 @@
 """Exact duplicates by a content sort, with DataFrame operations only.
 
-Normalised texts are range-partitioned by sampled splitters and sorted inside their partitions, so that equal texts are
-neighbours; a window over neighbours compares whole texts and elects the row that stays. Texts with so many copies that
+Normalised texts are range-partitioned by sampled splitters (their first characters and a hash, so that the sample stays
+small whatever the texts) and sorted inside their partitions by the whole text, so that equal texts are neighbours; a
+window over neighbours compares whole texts and elects the row that stays. Texts with so many copies that
 one task would get a large share (at least ``1 / hot_texts`` of all rows, hence no more than ``hot_texts`` such texts)
 are left out of the sort: their copies are pre-aggregated where they are read and meet as one row per text and task.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from convolake.llm.common import without_white, written
 
+LEAD = 64  # characters of a text in a sampled splitter; the hash behind them parts texts with a common beginning
 HOT_TEXTS = 10_000
 HOT_LEAST = 1_000
 
@@ -30,7 +32,7 @@ def exact_groups(docs: DataFrame, hot_texts: int = HOT_TEXTS, hot_least: int = H
         F.length(text).alias("_points"),
         without_white(text).alias("_norm"),
         F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("_none")]).alias("_row"),
-    ).withColumn("_hash", F.xxhash64("_norm"))
+    ).withColumns({"_hash": F.xxhash64("_norm"), "_lead": F.substring("_norm", 1, LEAD)})
 
     total = docs.count()
     least = max(hot_least, -(-total // hot_texts))
@@ -38,10 +40,10 @@ def exact_groups(docs: DataFrame, hot_texts: int = HOT_TEXTS, hot_least: int = H
 
     # The sort: every text that is not hot.
     order = (F.col("_points").desc(), F.col("doc_id").asc_nulls_last())
-    group = Window.partitionBy("_norm")
+    group = Window.partitionBy("_lead", "_hash", "_norm")
     cold = (
         rows.join(F.broadcast(hot), "_hash", "left_anti")
-        .repartitionByRange("_norm")
+        .repartitionByRange("_lead", "_hash")
         .withColumn("keep_id", F.first("doc_id").over(group.orderBy(*order)))
         .withColumn("_rank", F.row_number().over(group.orderBy(*order)))
         .withColumn("group_size", F.count(F.lit(1)).over(group))
@@ -53,7 +55,7 @@ def exact_groups(docs: DataFrame, hot_texts: int = HOT_TEXTS, hot_least: int = H
         rows.join(F.broadcast(hot), "_hash", "left_semi")
         .withColumn("text_sha256", F.sha2("_norm", 256))
         .withColumn("_order", F.struct(-F.col("_points"), F.col("doc_id").isNull(), F.col("doc_id")))
-        .drop("_norm", "_hash")
+        .drop("_norm", "_hash", "_lead")
     )
     best = written(
         many.groupBy("text_sha256").agg(
