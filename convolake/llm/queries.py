@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.llm import exact, pack, tokens
+from convolake.llm import exact, pack, quality, tokens
 
 
 def tokenizer_file(name: str) -> str:
@@ -30,7 +30,14 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op6_exact_dedup)}
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rated = quality.quality(_documents(spark, folder))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rated.select(*base, failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "quality")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op6_exact_dedup, op9_quality_rules)}
 
 SQL = {
     "op6_exact_dedup": r"""
