@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.llm import exact, pack, quality, tokens
+from convolake.llm import exact, minhash, pack, quality, tokens
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,6 +22,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack.packed_documents(_documents(spark, folder), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, folder))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded_digests(_documents(spark, folder), tokenizer_file("byte_bpe_50k.tiktoken"))
 
@@ -37,7 +41,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select(*base, failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op6_exact_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_byte_bpe, op6_exact_dedup, op9_quality_rules)}
 
 SQL = {
     "op6_exact_dedup": r"""
