@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.llm import exact, minhash, pack, quality, tokens
+from convolake.llm import exact, minhash, pack, quality, substrings, tokens
 
 
 def tokenizer_file(name: str) -> str:
@@ -30,6 +30,10 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded_digests(_documents(spark, folder), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digest(substrings.dedup_substrings(_documents(spark, folder)))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, folder))
 
@@ -41,7 +45,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select(*base, failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_byte_bpe, op6_exact_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_byte_bpe, op4_substring_dedup, op6_exact_dedup, op9_quality_rules)}
 
 SQL = {
     "op6_exact_dedup": r"""
