@@ -151,26 +151,29 @@ def posteriors(model: Model) -> dict[str, Column]:
 def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> Model:
     """How each rule votes on texts of each class, and the share of each class, from all rows.
 
-    An empty table leaves the starting values.
+    The rows are counted by vote pattern; the iterations run over those counts, at most 3 ** rules of them. An empty
+    table leaves the starting values.
     """
-    patterns = written(votes.groupBy(*names).count().coalesce(1), "vote-patterns")
+    patterns = [([r[m] for m in names], r["count"]) for r in votes.groupBy(*names).count().orderBy(*names).collect()]
     model, first = start(names), start(names)[0]
-    for _ in range(rounds):
-        sums = [F.sum("count").alias("all")]
-        for c in model[0]:
-            sums.append(F.sum(F.col("count") * F.col(f"_{c}")).alias(c))
-            for m in names:
-                sums += [F.sum(F.when(F.col(m) == v, F.col("count") * F.col(f"_{c}"))).alias(f"{c} {m} {v}") for v in START_GOOD]
-        s = patterns.withColumns({f"_{c}": x for c, x in posteriors(model).items()}).agg(*sums).first()
-        if not s["all"]:
-            break
-
-        def shares(c: str, m: str, s=s) -> dict[int, float]:
-            weight = START_WEIGHT * s[c] + 1
-            return {v: ((s[f"{c} {m} {v}"] or 0.0) + weight * p) / (s[c] + weight) for v, p in first[c][m].items()}
-
-        size = s["all"] + len(model[0])
-        model = {c: {m: shares(c, m) for m in names} for c in model[0]}, {c: (s[c] + 1) / size for c in model[0]}
+    total = sum(n for _, n in patterns)
+    for _ in range(rounds if total else 0):
+        rates, shares = model
+        sizes = dict.fromkeys(rates, 0.0)
+        seen = {c: {m: dict.fromkeys(START_GOOD, 0.0) for m in names} for c in rates}
+        for cast, n in patterns:
+            p = {c: shares[c] * math.prod(rates[c][m][v] for m, v in zip(names, cast, strict=True)) for c in rates}
+            whole = sum(p.values())
+            for c in rates:
+                sizes[c] += n * p[c] / whole
+                for m, v in zip(names, cast, strict=True):
+                    seen[c][m][v] += n * p[c] / whole
+
+        def share(c: str, m: str, sizes=sizes, seen=seen) -> dict[int, float]:
+            weight = START_WEIGHT * sizes[c] + 1
+            return {v: (seen[c][m][v] + weight * p) / (sizes[c] + weight) for v, p in first[c][m].items()}
+
+        model = {c: {m: share(c, m) for m in names} for c in rates}, {c: (sizes[c] + 1) / (total + len(rates)) for c in rates}
     return model
 
 
