@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +20,9 @@ from convolake.llm.words import WordHasher
 
 WINDOW = 35
 SHARD_WINDOWS = 1_000_000
-RECORD = "shard int, doc_id bigint, key bigint, starts binary, h1 binary, h2 binary"
+# Per shard: documents (id, key), windows per document, first words and hashes of the windows. Without hashes: settled.
+RECORD = "shard int, docs binary, counts binary, starts binary, h1 binary, h2 binary"
+NO_ID = -(2**63)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -29,17 +30,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
 
 
-def _per_document(doc: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """(document, its slice of each value) of values grouped by document."""
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    for i, j in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(doc)]]), strict=True):
-        if j > i:
-            yield (int(doc[i]), *(v[i:j] for v in values))
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal neighbours."""
+    if not len(values):
+        return []
+    cuts = (np.flatnonzero(np.diff(values)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(values)], strict=True))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[str(i) for i in range(6)])
+def _per_document(names: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """doc_id, key and packed first words of windows grouped by document."""
+    runs = _runs(doc)
+    for at in range(0, len(runs), 5000):
+        part = runs[at : at + 5000]
+        who = names[doc[[i for i, _ in part]]]
+        ids = [None if d == NO_ID else d for d in who[:, 0].tolist()]
+        starts = [start[i:j].astype(np.int32).tobytes() for i, j in part]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(who[:, 1], pa.int64()), pa.array(starts, pa.binary())], names=["0", "1", "2"])
+
+
+def _block(shard: int, names: np.ndarray, doc: np.ndarray, start: np.ndarray, *hashes: np.ndarray) -> pa.RecordBatch:
+    runs = _runs(doc)
+    who = names[doc[[i for i, _ in runs]]]
+    counts = np.array([j - i for i, j in runs], np.int32)
+    data = [who.tobytes(), counts.tobytes(), start.astype(np.int32).tobytes(), *(h.tobytes() for h in hashes)]
+    data += [None] * (5 - len(data))
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=[str(i) for i in range(6)])
 
 
 def repeated_starts(docs: DataFrame, k: int = WINDOW, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
@@ -70,21 +86,19 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW, shard_windows: int = SHARD
             same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
             after = np.concatenate([[False], same])  # equals the window before it
             among = after | np.concatenate([same, [False]])
+            who = np.array(names, np.int64)
             # Settled here: every window with an equal one in this task.
             i = np.flatnonzero(among)
             i = i[np.lexsort((start[i], doc[i]))]
-            rows = [(n % shards, *names[d], s.astype(np.int32).tobytes(), None, None) for n, (d, s) in enumerate(_per_document(doc[i], start[i]))]
+            for x, y in _runs(doc[i] // 1000):
+                yield _block(int(doc[i[x]]) // 1000 % shards, who, doc[i[x:y]], start[i[x:y]])
             # Handed on: one window of each kind; those already settled have no start to be told about.
             i = np.flatnonzero(~after)
-            known, shard = among[i], (h1[i] % np.uint64(shards)).astype(np.int64)
-            place = np.where(known, -1, start[i])
+            place, shard = np.where(among[i], -1, start[i]), (h1[i] % np.uint64(shards)).astype(np.int64)
             j = np.lexsort((place, doc[i], shard))
             i, shard, place = i[j], shard[j], place[j]
-            for group, s, a, b in _per_document(shard * len(names) + doc[i], place, h1[i], h2[i]):
-                where, d = divmod(group, len(names))
-                rows.append((where, *names[d], s.astype(np.int32).tobytes(), a.tobytes(), b.tobytes()))
-            for at in range(0, len(rows), 5000):
-                yield _batch(rows[at : at + 5000])
+            for x, y in _runs(shard):
+                yield _block(int(shard[x]), who, doc[i[x:y]], place[x:y], h1[i[x:y]], (h2[i[x:y]] >> np.uint64(32)).astype(np.uint32))
 
         for ids, keys, texts in slices(batches):
             first, other, at, docs_of = hasher.both([t.encode() for t in texts], k)
@@ -93,7 +107,7 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW, shard_windows: int = SHARD
             begin = np.searchsorted(docs_of, np.arange(len(texts)))
             doc = docs_of[at]
             held.append((first[keep], other[keep], doc + len(names), at - begin[doc]))
-            names.extend(zip(ids, keys, strict=True))
+            names.extend((NO_ID if d is None else d, key) for d, key in zip(ids, keys, strict=True))
             count += len(at)
             if count >= FLUSH:
                 yield from flush()
@@ -103,31 +117,32 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW, shard_windows: int = SHARD
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, h1, h2, doc, start = [], [], [], [], []
+        n = 0
         for batch in batches:
-            done = batch.column(4).is_null()
-            settled = batch.filter(done)
-            if settled.num_rows:
-                yield pa.RecordBatch.from_arrays([settled.column(i) for i in (1, 2, 3)], names=["0", "1", "2"])
-            rest = batch.filter(pc.invert(done))
-            for d, key, s, a, b in zip(rest.column(1).to_pylist(), rest.column(2).to_pylist(), *(rest.column(i) for i in (3, 4, 5)), strict=True):
+            for who, counts, s, a, b in zip(*(batch.column(i) for i in range(1, 6)), strict=True):
+                who = np.frombuffer(who.as_buffer(), np.int64).reshape(-1, 2)
+                of = np.repeat(np.arange(len(who)), np.frombuffer(counts.as_buffer(), np.int32))
                 s = np.frombuffer(s.as_buffer(), np.int32)
+                if not a.is_valid:
+                    yield from _per_document(who, of, s)
+                    continue
+                names.append(who)
+                doc.append(of + n)
+                n += len(who)
                 start.append(s)
                 h1.append(np.frombuffer(a.as_buffer(), np.uint64))
-                h2.append(np.frombuffer(b.as_buffer(), np.uint64))
-                doc.append(np.full(len(s), len(names), np.int64))
-                names.append((d, key))
+                h2.append(np.frombuffer(b.as_buffer(), np.uint32))
         if not names:
             return
-        h1, h2, doc, start = (np.concatenate(x) for x in (h1, h2, doc, start))
+        names, h1, h2, doc, start = (np.concatenate(x) for x in (names, h1, h2, doc, start))
         order = np.lexsort((h2, h1))
         same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
         i = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         i = i[start[i] >= 0]
+        names, code = np.unique(names, axis=0, return_inverse=True)  # a document comes in several blocks
+        doc = code.reshape(-1)[doc]
         i = i[np.lexsort((start[i], doc[i]))]
-        rows = [(*names[d], s.tobytes()) for d, s in _per_document(doc[i], start[i])]
-        for at in range(0, len(rows), 5000):
-            columns = zip(*rows[at : at + 5000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["0", "1", "2"])
+        yield from _per_document(names, doc[i], start[i])
 
     return keyed.mapInArrow(flagged, RECORD).repartition("shard").mapInArrow(settle, "doc_id bigint, key bigint, starts binary")
 
