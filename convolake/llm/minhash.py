@@ -5,7 +5,7 @@ bins borrow from bins that a fixed random sequence of probes finds. Nodes that a
 round a bucket compares its members with few hubs instead of each other; links are confirmed on the full sets, and
 members that a component already joins need no further comparison. Hubs leave their bucket, so that the rounds end when
 every bucket is one component or every pair of it has been compared: nothing that the buckets hold is lost. The number
-of hubs doubles from round to round, so that the number of rounds grows with the logarithm of a bucket.
+of hubs grows eightfold from round to round, so that the number of rounds grows with the logarithm of a bucket.
 """
 
 from __future__ import annotations
@@ -143,26 +143,31 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     members = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").count().filter("count > 1").select("bucket")
     state = written(members.join(shared, "bucket").withColumn("comp", F.col("node")), "buckets")
+    # A document in the middle of its group shares the most crowded buckets; such members make the best hubs.
+    crowd = state.groupBy("bucket").count().join(state, "bucket").groupBy("node").agg(F.sum("count").alias("weight"))
+    state = written(state.join(crowd, "node"), "weighed")
     candidates = state.select("node").distinct()
     sets = written(
         shingle_sets(docs.select("doc_id", "text").join(candidates, F.col("doc_id") == F.col("node"), "left_semi"), k), "shingles"
     )
 
-    links = tested = None
+    smallest = tested = None
     hubs = 1
     while not state.isEmpty():
+        one = ["bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")]
         if hubs == 1:
-            least = state.groupBy("bucket").agg(F.min("node").alias("hub"))
-            chosen = least.join(state.select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")), ["bucket", "hub"])
+            best = state.groupBy("bucket").agg(F.max(F.struct("weight", -F.col("node"))).alias("best"))
+            best = best.select("bucket", (-F.col("best.col2")).alias("hub"))
+            chosen = best.join(state.select(*one), ["bucket", "hub"])
         else:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-            chosen = state.withColumn("place", place).filter(F.col("place") <= hubs).select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+            place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "node"))
+            chosen = state.withColumn("place", place).filter(F.col("place") <= hubs).select(*one)
         chosen = written(chosen, "hubs")
         low, high = F.least("n", "hub_n"), F.greatest("n", "hub_n")
         pairs = (
             state.join(chosen, "bucket")
-            .filter((F.col("node") > F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & (100 * low >= percent * high))
-            .select(F.col("hub").alias("a"), F.col("node").alias("b"))
+            .filter((F.col("node") != F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & (100 * low >= percent * high))
+            .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
             .distinct()
         )
         if tested is not None:
@@ -170,25 +175,24 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
         pairs = written(pairs, "pairs")
         found = written(confirmed(pairs, sets, percent), "found")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        smallest = components(links)
+        if smallest is None or not found.isEmpty():
+            smallest = components(found if smallest is None else smallest.unionByName(found))
         # What is left: members that were no hub, in buckets of more than one component.
         rest = (
             state.join(chosen.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
             .join(smallest.select(F.col("a").alias("node"), F.col("b").alias("least")), "node", "left")
-            .select("bucket", "node", "n", F.coalesce("least", "node").alias("comp"))
+            .select("bucket", "node", "n", "weight", F.coalesce("least", "node").alias("comp"))
         )
         rest = written(rest, "rest")
         open_buckets = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
         state = written(rest.join(open_buckets, "bucket"), "buckets")
-        links = smallest  # the same components with fewer links
-        hubs *= 2
+        hubs *= 8
 
     named = nodes.select("n_shingles", "h1", "h2", "node")
-    if links is None:
+    if smallest is None:
         named = named.withColumn("component_id", F.col("node"))
     else:
-        named = named.join(links.select(F.col("a").alias("node"), F.col("b").alias("least")), "node", "left").withColumn("component_id", F.coalesce("least", "node"))
+        named = named.join(smallest.select(F.col("a").alias("node"), F.col("b").alias("least")), "node", "left").withColumn("component_id", F.coalesce("least", "node"))
     found = rows.join(named.select("n_shingles", "h1", "h2", "component_id"), ["n_shingles", "h1", "h2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), own)
