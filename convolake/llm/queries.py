@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.llm import exact, minhash, pack, quality, substrings, tokens
+from convolake.llm import exact, html, minhash, pack, quality, substrings, tokens
 
 
 def tokenizer_file(name: str) -> str:
@@ -45,7 +45,11 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select(*base, failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_byte_bpe, op4_substring_dedup, op6_exact_dedup, op9_quality_rules)}
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_byte_bpe, op4_substring_dedup, op6_exact_dedup, op9_quality_rules, op10_html_extraction)}
 
 SQL = {
     "op6_exact_dedup": r"""
