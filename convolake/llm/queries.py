@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.llm import exact, html, minhash, pack, quality, substrings, tokens, toxicity
+from convolake.llm import classlm, exact, html, minhash, pack, quality, substrings, tokens, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -45,6 +45,13 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    held_out = F.coalesce(classlm.remainder(5) == 1, F.lit(False))
+    scored = classlm.scores(docs, docs.filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rated = quality.quality(_documents(spark, folder))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -56,7 +63,7 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_byte_bpe, op4_substring_dedup, op6_exact_dedup, op7_toxicity, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_byte_bpe, op4_substring_dedup, op6_exact_dedup, op7_toxicity, op8_class_lm, op9_quality_rules, op10_html_extraction)}
 
 SQL = {
     "op6_exact_dedup": r"""
