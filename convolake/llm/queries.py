@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.llm import classlm, exact, html, minhash, pack, quality, substrings, tokens, toxicity
+from convolake.llm import classlm, exact, html, minhash, pack, quality, substrings, suffixes, tokens, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -34,6 +34,10 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digest(substrings.dedup_substrings(_documents(spark, folder)))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digest(suffixes.dedup_suffixes(_documents(spark, folder)))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, folder))
 
@@ -63,7 +67,7 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_byte_bpe, op4_substring_dedup, op6_exact_dedup, op7_toxicity, op8_class_lm, op9_quality_rules, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_byte_bpe, op4_substring_dedup, op5_suffix_array_dedup, op6_exact_dedup, op7_toxicity, op8_class_lm, op9_quality_rules, op10_html_extraction)}
 
 SQL = {
     "op6_exact_dedup": r"""
