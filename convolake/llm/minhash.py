@@ -202,4 +202,4 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 def drop_near(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, and rows without doc_id."""
     gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -319,7 +319,9 @@ def _kept_bytes(data: bytes, ranges: list | None, length: int) -> tuple[bytes, i
 
 
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH, carry: tuple = ()) -> DataFrame:
-    """doc_id, n_bytes, n_spans, kept (the bytes that stay) and the columns named in ``carry``.
+    """doc_id, n_bytes, n_spans, kept (the bytes that stay), kept_text and the columns named in ``carry``.
+
+    kept_text is the text of the bytes that stay; parts of characters that were cut through are left out of it.
 
     Each byte covered by a string of ``length`` bytes that also starts earlier (smaller doc_id, or same document and
     earlier start) is removed; strings are judged on the input and never cross documents. Rows that share a doc_id are
@@ -339,14 +341,14 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, carry: tuple = ()) ->
             for ranges, data in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 data = data.as_py().encode()
                 kept, runs = _kept_bytes(data, ranges, length)
-                rows.append((len(data), runs, kept))
-            n, runs, kept = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "n_bytes", "n_spans", "kept"])
+                rows.append((len(data), runs, kept, kept.decode(errors="ignore")))
+            n, runs, kept, left = zip(*rows, strict=True) if rows else ((), (), (), ())
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(left, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "n_bytes", "n_spans", "kept", "kept_text"])
 
     kind = keyed.schema["_row"].dataType.simpleString()
-    out = joined.select("doc_id", "_row", "ranges", "text").mapInArrow(run, f"doc_id bigint, _row {kind}, n_bytes bigint, n_spans bigint, kept binary")
-    return out.select("doc_id", "n_bytes", "n_spans", "kept", *[f"_row.{c}" for c in carry])
+    out = joined.select("doc_id", "_row", "ranges", "text").mapInArrow(run, f"doc_id bigint, _row {kind}, n_bytes bigint, n_spans bigint, kept binary, kept_text string")
+    return out.select("doc_id", "n_bytes", "n_spans", "kept", "kept_text", *[f"_row.{c}" for c in carry])
 
 
 def digest(kept: DataFrame) -> DataFrame:

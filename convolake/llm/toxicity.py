@@ -201,3 +201,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["0", "1"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id bigint, score double")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, from_score: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``from_score``; rows without doc_id stay."""
+    rejected = toxicity(docs, labels).filter(F.col("score") >= from_score).select("doc_id").distinct()
+    return docs.join(written(rejected, "rejected"), "doc_id", "left_anti").select(*docs.columns)

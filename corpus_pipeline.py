@@ -1,25 +1,51 @@
-"""The corpus pipeline: stages in order, each over all rows its predecessor kept."""
+"""The corpus pipeline: stages in order, each over all rows its predecessor kept.
+
+Toxic documents go, of exact copies one stays, of near copies one stays, byte strings that occurred before are cut out of
+the texts, and what is left is packed into sequences. Every stage but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from convolake.llm import exact, pack
+from convolake.llm import exact, minhash, pack, suffixes, toxicity
 from convolake.llm.common import written
 from convolake.llm.queries import tokenizer_file
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_exact(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that occurred before; ``n_chars`` follows the new text."""
+    cut = suffixes.dedup_suffixes(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("doc")), carry=("doc",))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
+    return cut.select(*[new.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns])
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack.packed_documents(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
-STAGES = [("exact dedup", exact_dedup), ("best-fit packing", packing)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("suffix dedup", suffix_dedup),
+    ("packing", packing),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # scores, signatures and packing are beyond SQL; tests/llm holds brute-force versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
