@@ -23,8 +23,8 @@ from convolake.llm.sketch import repeated_hashes
 from convolake.llm.words import _BYTES, Powers, mix, rolling
 
 LENGTH = 100
-ANCHOR = 32
-SHARD_BYTES = 1 << 20  # of a shard that is sorted by itself
+ANCHOR = 64
+SHARD_BYTES = 8 << 20  # of a shard that is sorted by itself
 SHARD_SEGMENTS = 100_000
 FLUSH_BYTES = 24_000_000
 POSITION_BITS = np.uint64(28)
@@ -147,11 +147,11 @@ def repeated_intervals(segments: list[bytes], depth: int, shard_bytes: int = SHA
         offset = np.arange(len(owner)) - np.concatenate([[0], np.cumsum([len(s) + 1 for s in held])])[owner]
         built.append((before, owner[order] + begun, offset[order], len(held), None))
         begun += len(held)
-    rounds = max(map(len, segments)) + 2
+    rounds = max(map(len, segments)) + 2  # a full order, which later merges build on; the last one needs ``depth`` bytes
     while len(built) > 1:
         then = []
         for a, b in zip(built[::2], built[1::2], strict=False):
-            side, opened = merge(a[0], b[0], a[3], b[3], rounds, depth)
+            side, opened = merge(a[0], b[0], a[3], b[3], depth if len(built) == 2 else rounds, depth)
             joined = []
             for x, y in zip(a[:3], b[:3], strict=True):
                 z = np.empty(len(side), x.dtype)

@@ -253,11 +253,12 @@ def test_class_model(spark, corpus):
 
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><div>menu one</div><div>menu two</div>{}<div>end</div></body></html>"
-    rows = [(i, "http://h.example/x", page.format(f"<div>own {i} &amp; <b>te</b>xt<p>more</div>")) for i in range(6)]
+    rows = [(i, "http://h.example/x", page.format(f"<div>own {i} &amp; <b>te</b>xt<p>more {i}</div>")) for i in range(6)]
     rows += [(10, None, None), (11, "http://o.example", ""), (12, "http://o.example", "<nav>n</nav><article><h1>A</h1><p>b<br>c<script>x</p></script></article><footer>f")]
     got = {r.page_id: (r.text, r.n_chars) for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     for i in range(6):
-        assert got[i] == (f"own {i} & text more {i}", len(f"own {i} & text more {i}"))
+        want = f"own {i} & text more {i}"
+        assert got[i] == (want, len(want))
     assert got[10] == got[11] == ("", 0) and got[12] == ("A b c", 5)
 
 
