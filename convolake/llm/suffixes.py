@@ -88,16 +88,15 @@ def shard_order(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     places = np.arange(n)
     while True:
         key = rank * (n + 257) + rank[np.minimum(places + step, n - 1)]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get equal ranks, in whatever order
         fresh = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         rank = np.empty(n, np.int64)
         rank[order] = fresh
         step *= 2
         if fresh[-1] == n - 1 or step > 2 * longest:
             break
-    before = np.zeros(n, np.uint16)
-    before[1:] = data[:-1].astype(np.uint16) + 1
-    before[0] = 0
+    before = np.zeros(n, np.uint8)
+    before[1:] = data[:-1] + np.uint8(1)  # no byte of UTF-8 is 255
     before[ends[:-1] + 1] = 0
     return order, before[order], np.repeat(np.arange(m), size)
 
@@ -112,7 +111,7 @@ def merge(left: np.ndarray, right: np.ndarray, n_left: int, n_right: int, rounds
     block = np.zeros(n, np.int32)
     found = None
     end_sides = np.concatenate([np.zeros(n_left, bool), np.ones(n_right, bool)])
-    symbols = np.empty(n, np.uint16)
+    symbols = np.empty(n, np.uint8)
     for i in range(1, rounds + 1):
         symbols[~from_right], symbols[from_right] = left, right
         order = np.argsort(symbols, kind="stable")[ends:]
@@ -121,7 +120,7 @@ def merge(left: np.ndarray, right: np.ndarray, n_left: int, n_right: int, rounds
         opened[ends + 1 :] = (sorted_symbols[1:] != sorted_symbols[:-1]) | (source[1:] != source[:-1])
         now = np.concatenate([end_sides, from_right[order]])
         block = np.cumsum(opened, dtype=np.int32)
-        same, from_right = np.array_equal(now, from_right), now
+        same, from_right = i >= depth and np.array_equal(now, from_right), now
         if i == depth:
             found = opened
         if i >= depth and (same or block[-1] == n):
