@@ -28,16 +28,24 @@ def principals(users: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def effective(principals_: DataFrame, acl: DataFrame) -> DataFrame:
-    """(user_id, resource_id, bits): all bits granted to any principal of the user.
+    """(user_id, resource_id, bits): all bits granted to any principal of the user, everybody's included.
 
-    Grants to everybody are not multiplied by the users here; ``public_bits`` gives them once per resource.
+    What a resource grants to everybody is also given once with a null user, instead of for every user.
     """
     entries = acl.filter("principal_type <> 'public'").withColumn("principal_id", F.col("principal_id").cast("string"))
-    return (
+    own = (
         principals_.join(entries, ["principal_type", "principal_id"])
         .groupBy("user_id", "resource_id")
         .agg(F.bit_or("perm_bits").alias("bits"))
     )
+    public = public_bits(acl)
+    met = own.join(public, "resource_id", "left").select(
+        "user_id", "resource_id", F.col("bits").bitwiseOR(F.coalesce("public_bits", F.lit(0))).alias("bits")
+    )
+    user = own.schema["user_id"].dataType
+    return met.unionByName(
+        public.select(F.lit(None).cast(user).alias("user_id"), "resource_id", F.col("public_bits").alias("bits"))
+    )
 
 
 def public_bits(acl: DataFrame) -> DataFrame:
@@ -55,15 +63,14 @@ def accessible(principals_: DataFrame, acl: DataFrame, bits: int) -> tuple[DataF
     return personal, fit.filter("principal_type = 'public'").select("resource_id").distinct()
 
 
+# The level that a set bit gives, strongest first.
+LEVELS = ((DELETE, "owner"), (EDIT, "editor"), (VIEW, "viewer"))
+
+
 def role_label(bits: Column) -> Column:
-    """Label of permission bits; the owner role of agents has no share bit."""
-    # Roles and their bits.
-    return (
-        F.when(bits.bitwiseAND(F.lit(VIEW | EDIT | DELETE)) == (VIEW | EDIT | DELETE), "owner")
-        .when(bits.bitwiseAND(F.lit(VIEW | EDIT)) == (VIEW | EDIT), "editor")
-        .when(bits.bitwiseAND(F.lit(VIEW)) == VIEW, "viewer")
-        .otherwise("none")
-    )
+    """Label of permission bits: the strongest level of which the bit is set, whatever the other bits."""
+    given = [F.when(bits.bitwiseAND(F.lit(bit)) != 0, label) for bit, label in LEVELS]
+    return F.coalesce(*given, F.lit("none"))
 
 
 def file_access(files: DataFrame, attached: DataFrame, agents: DataFrame, edits: DataFrame) -> DataFrame:

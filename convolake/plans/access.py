@@ -50,8 +50,13 @@ def _(t):
 
 @query(
     "a5_effective_permissions",
-    f"""WITH {PRINCIPAL_SQL}, {ACL_SQL} SELECT user_id, resource_id, CAST(bit_or(perm_bits) AS INTEGER) AS bits FROM pri JOIN acl
-          ON acl.principal_type = pri.principal_type AND CAST(acl.principal_id AS VARCHAR) = pri.principal_id GROUP BY ALL""",
+    f"""WITH {PRINCIPAL_SQL}, {ACL_SQL},
+        own AS (SELECT DISTINCT user_id, resource_id FROM pri JOIN acl ON acl.principal_type = pri.principal_type
+          AND acl.principal_type <> 'public' AND CAST(acl.principal_id AS VARCHAR) = pri.principal_id)
+        SELECT own.user_id, own.resource_id, CAST(bit_or(perm_bits) AS INTEGER) AS bits FROM own JOIN acl ON acl.resource_id = own.resource_id
+          AND (acl.principal_type = 'public' OR EXISTS (SELECT 1 FROM pri WHERE pri.user_id = own.user_id
+            AND pri.principal_type = acl.principal_type AND pri.principal_id = CAST(acl.principal_id AS VARCHAR))) GROUP BY ALL
+        UNION ALL SELECT NULL, resource_id, CAST(bit_or(perm_bits) AS INTEGER) FROM acl WHERE principal_type = 'public' GROUP BY resource_id""",
 )
 def _(t):
     return A.effective(principals(t), t.acl())
@@ -59,8 +64,10 @@ def _(t):
 
 @query(
     "t28_role_labels",
-    f"""WITH {ACL_SQL} SELECT resource_id, perm_bits, CASE WHEN perm_bits & 7 = 7 THEN 'owner' WHEN perm_bits & 3 = 3 THEN 'editor'
-          WHEN perm_bits & 1 = 1 THEN 'viewer' ELSE 'none' END AS label FROM acl""",
+    f"""WITH {ACL_SQL}, level(bits, label) AS (VALUES (0, 'none'), (1, 'viewer'), (2, 'editor'), (3, 'editor'), (4, 'owner'),
+          (5, 'owner'), (6, 'owner'), (7, 'owner'), (8, 'none'), (9, 'viewer'), (10, 'editor'), (11, 'editor'), (12, 'owner'),
+          (13, 'owner'), (14, 'owner'), (15, 'owner'))
+        SELECT resource_id, perm_bits, label FROM acl JOIN level ON bits = perm_bits""",
 )
 def _(t):
     return t.acl().select("resource_id", "perm_bits", A.role_label(F.col("perm_bits")).alias("label"))

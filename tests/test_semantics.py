@@ -379,9 +379,9 @@ def test_effective_access(spark):
     assert sorted((r["user_id"], r["principal_type"], r["principal_id"]) for r in p.filter("principal_type <> 'public'").collect()) == [
         (1, "group", "7"), (1, "role", "ADMIN"), (1, "user", "1"), (2, "group", "7"), (2, "user", "2"),
     ]
-    entries = spark.createDataFrame([("user", 1, 10, 1), ("group", 7, 10, 2), ("group", 7, 11, 3), ("public", None, 12, 1)], "principal_type string, principal_id bigint, resource_id bigint, perm_bits int")
+    entries = spark.createDataFrame([("user", 1, 10, 1), ("group", 7, 10, 2), ("group", 7, 11, 3), ("public", None, 12, 1), ("public", None, 10, 4)], "principal_type string, principal_id bigint, resource_id bigint, perm_bits int")
     bits = {(r["user_id"], r["resource_id"]): r["bits"] for r in acl.effective(p, entries).collect()}
-    assert bits == {(1, 10): 3, (1, 11): 3, (2, 10): 2, (2, 11): 3}
+    assert bits == {(1, 10): 7, (1, 11): 3, (2, 10): 6, (2, 11): 3, (None, 10): 4, (None, 12): 1}
     personal, public = acl.accessible(p, entries, 3)
     assert sorted(map(tuple, personal.collect())) == [(1, 11), (2, 11)] and public.count() == 0
 
