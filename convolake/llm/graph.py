@@ -11,7 +11,7 @@ from convolake.llm.common import written
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -24,15 +24,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b): each node that is not the smallest of its component, with the smallest. ``edges`` has integer a and b."""
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node with a link down has one, to a node without any."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("b").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR (down = 1 AND up = 1)").isEmpty()
+
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b): each node that is not the smallest of its component, with the smallest.
 
-    now = written(edges.filter("a <> b").select("a", "b").distinct(), "links")
-    was = None
-    while was != (is_now := state(now)):
-        was = is_now
+    ``edges`` is a written table with integer a and b; equal, doubled and turned rows are harmless.
+    """
+    now = edges.filter("a <> b").select("a", "b")
+    while True:
         now = written(_small_star(_large_star(now)), "stars")
-    return now
+        if _is_stars(now):
+            return now

@@ -6,6 +6,11 @@ round a bucket compares its members with few hubs instead of each other; links a
 members that a component already joins need no further comparison. Hubs leave their bucket, so that the rounds end when
 every bucket is one component or every pair of it has been compared: nothing that the buckets hold is lost. The number
 of hubs grows eightfold from round to round, so that the number of rounds grows with the logarithm of a bucket.
+
+Documents that only share a frequent passage also meet in crowded buckets, without links that would join them. So after
+the first round the members of buckets still open are put into buckets anew, by the rarest shingles of their sets: the first
+shingle that two similar sets have in common must come early in both. That loses no pair, and shared passages do not
+bring documents together any more.
 """
 
 from __future__ import annotations
@@ -125,6 +130,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def by_rarest(state: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``state`` with its nodes in a bucket for each of their rarest shingles that another node of ``state`` has too.
+
+    Shingles are ordered by the number of these nodes that have them, then by value. ``left`` counts a node's shingles
+    from that of the bucket on. Two sets share no more than the smaller ``left`` at the first shingle they have in common,
+    so every pair to be found meets there with enough of it left, and the smaller set of the two is ``early``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)]
+            if held:
+                owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in held])
+                yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(held))], names=["node", "bucket"])
+
+    nodes = state.select("node", "n", "weight", "comp").distinct()
+    held = sets.join(nodes.select("node"), "node", "left_semi").select("node", "shingles").mapInArrow(run, "node bigint, bucket bigint")
+    held = written(held, "held")
+    often = held.groupBy("bucket").agg(F.count("*").alias("holders")).filter("holders > 1")
+    of_node = Window.partitionBy("node")
+    place = F.row_number().over(of_node.orderBy("holders", "bucket"))
+    shared = held.join(often, "bucket").select("bucket", "node", place.alias("place"), F.count("*").over(of_node).alias("n_shared"))
+    # Shingles of no other node come first and lead to nobody.
+    met = shared.join(nodes, "node").withColumn("left", F.col("n_shared") - F.col("place") + 1)
+    met = met.filter(100 * F.col("left") >= percent * F.col("n"))
+    return met.withColumn("early", (100 + percent) * F.col("left") >= 2 * percent * F.col("n")).select(*state.columns)
+
+
+def still_open(state: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, and a set that can be the smaller one of a pair."""
+    several = state.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("early").alias("early"))
+    several = several.filter("x <> y AND early").select("bucket")
+    return state.join(several, "bucket")
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -142,7 +182,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     )
     members = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").count().filter("count > 1").select("bucket")
-    state = written(members.join(shared, "bucket").withColumn("comp", F.col("node")), "buckets")
+    whole = {"comp": F.col("node"), "left": F.col("n"), "early": F.lit(True)}
+    state = written(members.join(shared, "bucket").withColumns(whole), "buckets")
     # A document in the middle of its group shares the most crowded buckets; such members make the best hubs.
     crowd = state.groupBy("bucket").count().join(state, "bucket").groupBy("node").agg(F.sum("count").alias("weight"))
     state = written(state.join(crowd, "node"), "weighed")
@@ -154,19 +195,21 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     smallest = tested = None
     hubs = 1
     while not state.isEmpty():
-        one = ["bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")]
+        one = ["bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("left").alias("hub_left")]
         if hubs == 1:
             best = state.groupBy("bucket").agg(F.max(F.struct("weight", -F.col("node"))).alias("best"))
             best = best.select("bucket", (-F.col("best.col2")).alias("hub"))
             chosen = best.join(state.select(*one), ["bucket", "hub"])
         else:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "node"))
-            chosen = state.withColumn("place", place).filter(F.col("place") <= hubs).select(*one)
+            # Members of the smallest components come first: a bucket of one large component and few others ends at once.
+            alike = state.groupBy("bucket", "comp").agg(F.count("*").alias("alike"))
+            place = F.row_number().over(Window.partitionBy("bucket").orderBy("alike", F.desc("weight"), "node"))
+            chosen = state.join(alike, ["bucket", "comp"]).withColumn("place", place).filter(F.col("place") <= hubs).select(*one)
         chosen = written(chosen, "hubs")
-        low, high = F.least("n", "hub_n"), F.greatest("n", "hub_n")
+        enough = (100 + percent) * F.least("left", "hub_left") >= percent * (F.col("n") + F.col("hub_n"))
         pairs = (
             state.join(chosen, "bucket")
-            .filter((F.col("node") != F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & (100 * low >= percent * high))
+            .filter((F.col("node") != F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & enough)
             .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
             .distinct()
         )
@@ -181,11 +224,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
         rest = (
             state.join(chosen.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
             .join(smallest.select(F.col("a").alias("node"), F.col("b").alias("least")), "node", "left")
-            .select("bucket", "node", "n", "weight", F.coalesce("least", "node").alias("comp"))
+            .select("bucket", "node", "n", "weight", "left", "early", F.coalesce("least", "node").alias("comp"))
         )
-        rest = written(rest, "rest")
-        open_buckets = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-        state = written(rest.join(open_buckets, "bucket"), "buckets")
+        state = written(still_open(written(rest, "rest")), "buckets")
+        if hubs == 1:
+            state = written(still_open(written(by_rarest(state, sets, percent), "rarest")), "buckets")
         hubs *= 8
 
     named = nodes.select("n_shingles", "h1", "h2", "node")
