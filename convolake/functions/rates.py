@@ -59,7 +59,7 @@ KEY_RULES = [
     ("gpt-4", "8k"),
 ]
 
-# Context limits of the model families used here, in matching order (the last contained name wins).
+# Context limits of all model families, in matching order (the last contained name wins).
 CONTEXT_LIMITS = {
     "o4-mini": 200000, "o3-mini": 195000, "o3": 200000, "o1": 195000, "o1-mini": 127500, "o1-preview": 127500,
     "gpt-4": 8187, "gpt-4-0613": 8187, "gpt-4-32k": 32758, "gpt-4-32k-0314": 32758, "gpt-4-32k-0613": 32758,
@@ -72,7 +72,8 @@ CONTEXT_LIMITS = {
     "gemini": 30720, "gemini-pro-vision": 12288, "gemini-exp": 2000000, "gemini-2.5": 1000000,
     "gemini-2.5-pro": 1000000, "gemini-2.5-flash": 1000000, "gemini-2.0": 2000000, "gemini-2.0-flash": 1000000,
     "gemini-2.0-flash-lite": 1000000, "gemini-1.5": 1000000, "gemini-1.5-flash": 1000000,
-    "gemini-1.5-flash-8b": 1000000, "claude-": 100000, "claude-instant": 100000, "claude-2": 100000,
+    "gemini-1.5-flash-8b": 1000000, "text-bison-32k": 32758, "chat-bison-32k": 32758, "code-bison-32k": 32758,
+    "codechat-bison-32k": 32758, "code-": 6139, "codechat-": 6139, "text-": 8187, "chat-": 8187, "claude-": 100000, "claude-instant": 100000, "claude-2": 100000,
     "claude-2.1": 200000, "claude-3": 200000, "claude-3-haiku": 200000, "claude-3-sonnet": 200000,
     "claude-3-opus": 200000, "claude-3.5-haiku": 200000, "claude-3-5-haiku": 200000, "claude-3-5-sonnet": 200000,
     "claude-3.5-sonnet": 200000, "claude-3-7-sonnet": 200000, "claude-3.7-sonnet": 200000,
@@ -81,8 +82,25 @@ CONTEXT_LIMITS = {
     "mixtral-8x7b": 31990, "mistral-large": 131000, "mistral-large-2402": 127500, "mistral-large-2407": 127500,
     "pixtral-large": 131000, "mistral-saba": 32000, "codestral": 256000, "ministral-8b": 131000,
     "ministral-3b": 131000, "command-light": 4086, "command-light-nightly": 8182, "command": 4086,
-    "command-nightly": 8182, "command-r": 127500, "command-r-plus": 127500, "deepseek-reasoner": 63000,
-    "deepseek": 63000, "deepseek.r1": 127500,
+    "command-nightly": 8182, "command-r": 127500, "command-r-plus": 127500, "qwen2.5": 32000,
+    "deepseek-reasoner": 63000, "deepseek": 63000, "deepseek.r1": 127500, "llama3": 8000, "llama2": 4000,
+    "llama-3": 8000, "llama-2": 4000, "llama3.1": 127500, "llama3.2": 127500, "llama3.3": 127500, "llama3-1": 127500,
+    "llama3-2": 127500, "llama3-3": 127500, "llama-3.1": 127500, "llama-3.2": 127500, "llama-3.3": 127500,
+    "llama3.1:405b": 127500, "llama3.1:70b": 127500, "llama3.1:8b": 127500, "llama3.2:1b": 127500,
+    "llama3.2:3b": 127500, "llama3.2:11b": 127500, "llama3.2:90b": 127500, "llama3.3:70b": 127500,
+    "llama3-1-405b": 127500, "llama3-1-70b": 127500, "llama3-1-8b": 127500, "llama3-2-1b": 127500,
+    "llama3-2-3b": 127500, "llama3-2-11b": 127500, "llama3-2-90b": 127500, "llama3-3-70b": 127500,
+    "llama-3.1-405b": 127500, "llama-3.1-70b": 127500, "llama-3.1-8b": 127500, "llama-3.2-1b": 127500,
+    "llama-3.2-3b": 127500, "llama-3.2-11b": 127500, "llama-3.2-90b": 127500, "llama-3.3-70b": 127500,
+    "llama3-70b": 8000, "llama3-8b": 8000, "llama2-70b": 4000, "llama2-13b": 4000, "llama3:70b": 8000,
+    "llama3:8b": 8000, "llama2:70b": 4000, "ai21.j2-mid-v1": 8182, "ai21.j2-ultra-v1": 8182,
+    "ai21.jamba-instruct-v1:0": 255500, "amazon.titan-text-lite-v1": 4000, "amazon.titan-text-express-v1": 8000,
+    "amazon.titan-text-premier-v1:0": 31500, "amazon.nova-micro-v1:0": 127000, "amazon.nova-lite-v1:0": 295000,
+    "amazon.nova-pro-v1:0": 295000, "amazon.nova-premier-v1:0": 995000, "grok": 131072, "grok-beta": 131072,
+    "grok-vision-beta": 8192, "grok-2": 131072, "grok-2-latest": 131072, "grok-2-1212": 131072,
+    "grok-2-vision": 32768, "grok-2-vision-latest": 32768, "grok-2-vision-1212": 32768, "grok-3": 131072,
+    "grok-3-fast": 131072, "grok-3-mini": 131072, "grok-3-mini-fast": 131072, "grok-4": 256000, "kimi": 131000,
+    "gpt-oss-20b": 131000, "gpt-oss-120b": 131000,
 }
 # Output limits, and the limit of models without one.
 OUTPUT_LIMITS = {

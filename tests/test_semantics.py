@@ -479,3 +479,20 @@ def test_growing_stream_keeps_whole_texts(spark, tables):
     bare = lambda s: "".join(s.split())
     assert {k: bare(v) for k, v in joined.items()} == {k: bare(v) for k, v in texts.items() if v.strip()}
     assert isinstance(rows, pd.DataFrame)
+
+
+def test_billing_keys_of_every_family(spark):
+    expected = {
+        "grok-3-mini-beta": "grok-3-mini",
+        "grok-4-0709": "grok-4",
+        "llama-3.1-70b-instruct": "llama-3.1-70b",
+        "us.amazon.nova-lite-v1:0": "amazon.nova-lite-v1:0",
+        "us.deepseek.r1-v1:0": "deepseek.r1",
+        "ai21.jamba-instruct-v1:0": "ai21.jamba-instruct-v1:0",
+        "openai/gpt-oss-20b": "gpt-oss-20b",
+        "gpt-4o-mini-2024-07-18": "gpt-4o-mini",
+        "kimi-k2": None,
+        "qwen2.5:14b": None,
+    }
+    rows = spark.createDataFrame([(m,) for m in expected], "model string").select("model", billing.billing_key(F.col("model")).alias("key"))
+    assert {r.model: r.key for r in rows.collect()} == expected
