@@ -1,7 +1,7 @@
 """Session defaults and the shared working folder.
 
 On a cluster the session is the caller's; only the folder named by ``spark.checkpoint.dir`` is used for cut lineage
-and intermediate tables. A local folder is created only when that setting is empty, as in tests and the local bench.
+and intermediate tables. A local folder is created only in local mode, when that setting is empty, as in tests and the local bench.
 """
 
 from __future__ import annotations
@@ -34,12 +34,14 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a fresh local one where none is set."""
+    """The cluster's checkpoint folder; where none is set, a fresh local one in local mode and an error elsewhere."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = sc.getCheckpointDir()
     if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         folder = tempfile.mkdtemp(prefix="convolake-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
