@@ -69,22 +69,28 @@ def _(t):
 
 
 def violations(events):
-    """Errors weigh five points, failed sign-ups one."""
+    """Errors weigh five points, failed sign-ups one; each user has a score of its own for each kind."""
     return events.filter(F.col("event_type").isin("error", "signup")).select(
-        F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"),
+        F.concat_ws(":", "user_id", "event_type").alias("key"), "ts", F.col("event_id").alias("id"),
         F.when(F.col("event_type") == "error", 5.0).otherwise(1.0).alias("delta"),
     )
 
 
-_SCORES = """v AS (SELECT user_id AS key, ts, event_id AS id, CASE event_type WHEN 'error' THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS d FROM events
+_SCORES = """v AS (SELECT user_id AS key, event_type AS type, ts, event_id AS id, CASE event_type WHEN 'error' THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS d FROM events
     WHERE event_type IN ('error', 'signup')),
-c AS (SELECT *, sum(d) OVER (PARTITION BY key ORDER BY ts, id) AS score FROM v),
-ban AS (SELECT key, id, ts AS starts, ts + INTERVAL 120 MINUTE AS expires, score FROM c WHERE floor((score - d) / 20) < floor(score / 20))"""
-_BANS = f"WITH {_SCORES} SELECT key, id, starts, expires, score FROM ban"
+c AS (SELECT *, sum(d) OVER (PARTITION BY key, type ORDER BY ts, id) AS score FROM v),
+ban AS (SELECT key, type, id, ts AS starts, ts + INTERVAL 120 MINUTE AS expires, score FROM c WHERE floor((score - d) / 20) < floor(score / 20))"""
+_BANS = f"WITH {_SCORES} SELECT key, type, id, starts, expires, score FROM ban"
+
+
+def by_user(found):
+    """Bans with the user as key and the kind of violation that led to them."""
+    parts = F.split("key", ":")
+    return found.withColumns({"key": parts[0].cast("bigint"), "type": parts[1]})
 
 
 def bans(t):
-    return L.crossings(L.clamped_ledger(violations(t.events), hourly()))
+    return by_user(L.crossings(L.clamped_ledger(violations(t.events), hourly())))
 
 
 @query("w7_threshold_crossing", _BANS)
@@ -94,7 +100,7 @@ def _(t):
 
 @query("st3_violation_bans_stream", _BANS)
 def _(t):
-    return L.crossings(L.stream_ledger(violations(table_stream(t.spark, t.folder, "events")), hourly(), "violations"))
+    return by_user(L.crossings(L.stream_ledger(violations(table_stream(t.spark, t.folder, "events")), hourly(), "violations")))
 
 
 @query(
