@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolake.llm.common import slices, text_key
+from convolake.llm.ranges import BLOCK, BUCKET_BYTES, NO_ID, Ranges, by_document, covered, merged, runs, unpack
 from convolake.llm.sketch import FLUSH, repeated_hashes
 from convolake.llm.words import WordHasher
 
 WINDOW = 35
 SHARD_WINDOWS = 1_000_000
-# Per shard: documents (id, key), windows per document, first words and hashes of the windows. Without hashes: settled.
-RECORD = "shard int, docs binary, counts binary, starts binary, h1 binary, h2 binary"
-NO_ID = -(2**63)
+# Per shard: documents (id, key), windows per document, first words and hashes of the windows. Settled ones come as ranges:
+# first words and how many windows, without hashes.
+RECORD = "shard int, docs binary, counts binary, starts binary, lengths binary, h1 binary, h2 binary"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -30,36 +31,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
 
 
-def _runs(values: np.ndarray) -> list[tuple[int, int]]:
-    """(begin, end) of the runs of equal neighbours."""
-    if not len(values):
-        return []
-    cuts = (np.flatnonzero(np.diff(values)) + 1).tolist()
-    return list(zip([0, *cuts], [*cuts, len(values)], strict=True))
-
-
-def _per_document(names: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc_id, key and packed first words of windows grouped by document."""
-    runs = _runs(doc)
-    for at in range(0, len(runs), 5000):
-        part = runs[at : at + 5000]
-        who = names[doc[[i for i, _ in part]]]
-        ids = [None if d == NO_ID else d for d in who[:, 0].tolist()]
-        starts = [start[i:j].astype(np.int32).tobytes() for i, j in part]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(who[:, 1], pa.int64()), pa.array(starts, pa.binary())], names=["0", "1", "2"])
-
-
-def _block(shard: int, names: np.ndarray, doc: np.ndarray, start: np.ndarray, *hashes: np.ndarray) -> pa.RecordBatch:
-    runs = _runs(doc)
-    who = names[doc[[i for i, _ in runs]]]
-    counts = np.array([j - i for i, j in runs], np.int32)
-    data = [who.tobytes(), counts.tobytes(), start.astype(np.int32).tobytes(), *(h.tobytes() for h in hashes)]
-    data += [None] * (5 - len(data))
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=[str(i) for i in range(6)])
+def _block(shard: int, names: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray | None = None, *hashes: np.ndarray) -> pa.RecordBatch:
+    each = runs(doc)
+    who = names[doc[[i for i, _ in each]]]
+    counts = np.array([j - i for i, j in each], np.int32)
+    data = [who.tobytes(), counts.tobytes(), start.astype(np.int32).tobytes(), None if length is None else length.astype(np.int32).tobytes(), *(h.tobytes() for h in hashes)]
+    data += [None] * (6 - len(data))
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=[str(i) for i in range(7)])
 
 
 def repeated_starts(docs: DataFrame, k: int = WINDOW, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
-    """(doc_id, key, starts): first words (packed int32) of windows of ``k`` words that start anywhere else as well."""
+    """(doc_id, key, ranges): first words of windows of ``k`` words that start anywhere else as well."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -72,6 +54,7 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW, shard_windows: int = SHARD
 
     sketch = spark.sparkContext.broadcast(repeated_hashes(keyed, all_windows, expected))
     shards = max(16, -(-expected // shard_windows))
+    buckets = max(16, -(-size // BUCKET_BYTES))
 
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, repeated = WordHasher(second=True), sketch.value
@@ -88,17 +71,17 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW, shard_windows: int = SHARD
             among = after | np.concatenate([same, [False]])
             who = np.array(names, np.int64)
             # Settled here: every window with an equal one in this task.
-            i = np.flatnonzero(among)
-            i = i[np.lexsort((start[i], doc[i]))]
-            for x, y in _runs(doc[i] // 1000):
-                yield _block(int(doc[i[x]]) // 1000 % shards, who, doc[i[x:y]], start[i[x:y]])
+            if among.any():
+                of, first, length = merged(doc[among], start[among], np.ones(int(among.sum()), np.int64))
+                for x, y in runs(of // 1000):
+                    yield _block(int(who[of[x], 1]) % shards, who, of[x:y], first[x:y], length[x:y])
             # Handed on: one window of each kind; those already settled have no start to be told about.
             i = np.flatnonzero(~after)
             place, shard = np.where(among[i], -1, start[i]), (h1[i] % np.uint64(shards)).astype(np.int64)
             j = np.lexsort((place, doc[i], shard))
             i, shard, place = i[j], shard[j], place[j]
-            for x, y in _runs(shard):
-                yield _block(int(shard[x]), who, doc[i[x:y]], place[x:y], h1[i[x:y]], (h2[i[x:y]] >> np.uint64(32)).astype(np.uint32))
+            for x, y in runs(shard):
+                yield _block(int(shard[x]), who, doc[i[x:y]], place[x:y], None, h1[i[x:y]], (h2[i[x:y]] >> np.uint64(32)).astype(np.uint32))
 
         for ids, keys, texts in slices(batches):
             first, other, at, docs_of = hasher.both([t.encode() for t in texts], k)
@@ -116,15 +99,15 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW, shard_windows: int = SHARD
             yield from flush()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Ranges(buckets)
         names, h1, h2, doc, start = [], [], [], [], []
         n = 0
         for batch in batches:
-            for who, counts, s, a, b in zip(*(batch.column(i) for i in range(1, 6)), strict=True):
-                who = np.frombuffer(who.as_buffer(), np.int64).reshape(-1, 2)
-                of = np.repeat(np.arange(len(who)), np.frombuffer(counts.as_buffer(), np.int32))
+            for who, counts, s, length, a, b in zip(*(batch.column(i) for i in range(1, 7)), strict=True):
+                who, of = unpack(who, counts)
                 s = np.frombuffer(s.as_buffer(), np.int32)
-                if not a.is_valid:
-                    yield from _per_document(who, of, s)
+                if length.is_valid:
+                    yield from found.add(who, of, s, np.frombuffer(length.as_buffer(), np.int32))
                     continue
                 names.append(who)
                 doc.append(of + n)
@@ -132,39 +115,29 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW, shard_windows: int = SHARD
                 start.append(s)
                 h1.append(np.frombuffer(a.as_buffer(), np.uint64))
                 h2.append(np.frombuffer(b.as_buffer(), np.uint32))
-        if not names:
-            return
-        names, h1, h2, doc, start = (np.concatenate(x) for x in (names, h1, h2, doc, start))
-        order = np.lexsort((h2, h1))
-        same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-        i = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        i = i[start[i] >= 0]
-        names, code = np.unique(names, axis=0, return_inverse=True)  # a document comes in several blocks
-        doc = code.reshape(-1)[doc]
-        i = i[np.lexsort((start[i], doc[i]))]
-        yield from _per_document(names, doc[i], start[i])
-
-    return keyed.mapInArrow(flagged, RECORD).repartition("shard").mapInArrow(settle, "doc_id bigint, key bigint, starts binary")
-
-
-def _with_starts(docs: DataFrame, k: int) -> DataFrame:
-    found = repeated_starts(docs, k).groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"))
-    keyed = _keyed(docs)
-    other = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "starts")
-    return keyed.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").select("doc_id", "starts", "text")
+        if names:
+            names, h1, h2, doc, start = (np.concatenate(x) for x in (names, h1, h2, doc, start))
+            order = np.lexsort((h2, h1))
+            same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+            i = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            i = i[start[i] >= 0]
+            yield from found.add(names, doc[i], start[i])
+        yield from found.blocks()
+
+    return by_document(keyed.mapInArrow(flagged, RECORD).repartition("shard").mapInArrow(settle, BLOCK))
+
+
+def _with_ranges(docs: DataFrame, k: int) -> DataFrame:
+    found = repeated_starts(docs, k).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "ranges")
+    return _keyed(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").select("doc_id", "ranges", "text")
 
 
-def _kept_words(text: str, starts: list | None, k: int) -> tuple[list[bytes], int]:
+def _kept_words(text: str, ranges: bytes | None, k: int) -> tuple[list[bytes], int]:
     """The words that stay, and how many there were."""
     words = text.encode().split()
-    if not starts:
+    if not ranges:
         return words, len(words)
-    change = np.zeros(len(words) + 1, np.int64)
-    at = np.unique(np.concatenate([np.frombuffer(s, np.int32) for s in starts]))
-    change[at] += 1
-    change[at + k] -= 1
-    stay = np.cumsum(change[:-1]) == 0
-    return [words[i] for i in np.flatnonzero(stay).tolist()], len(words)
+    return [words[i] for i in np.flatnonzero(~covered(ranges, len(words), k)).tolist()], len(words)
 
 
 def dedup_substrings(docs: DataFrame, k: int = WINDOW) -> DataFrame:
@@ -175,14 +148,14 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, starts, texts in slices(batches):
-            kept = [_kept_words(t, s, k) for t, s in zip(texts, starts, strict=True)]
+        for ids, ranges, texts in slices(batches):
+            kept = [_kept_words(t, r, k) for t, r in zip(texts, ranges, strict=True)]
             out = [b" ".join(w).decode() for w, _ in kept]
             n = [n for _, n in kept]
             removed = [n - len(w) for w, n in kept]
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, n, removed)), pa.array(out, pa.string())], names=["0", "1", "2", "3"])
 
-    return _with_starts(docs, k).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return _with_ranges(docs, k).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def digest(kept: DataFrame) -> DataFrame:
