@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolake.llm.common import slices, text_key
+from convolake.llm.ranges import BLOCK, BUCKET_BYTES, NO_ID, Ranges, by_document, covered
 from convolake.llm.sketch import repeated_hashes
 from convolake.llm.words import _BYTES, Powers, mix, rolling
 
@@ -28,7 +29,6 @@ SHARD_BYTES = 8 << 20  # of a shard that is sorted by itself
 SHARD_SEGMENTS = 100_000
 FLUSH_BYTES = 24_000_000
 POSITION_BITS = np.uint64(28)
-NO_ID = -(2**63)
 _ODD = (0xB492B66FBE98F273, 0x9AE16A3B2F90404F)
 
 
@@ -166,24 +166,8 @@ def repeated_intervals(segments: list[bytes], depth: int, shard_bytes: int = SHA
     yield interval[shared], owner[shared], offset[shared]
 
 
-def _ranges(names: np.ndarray, who: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc_id, key and packed (first string, strings) per document."""
-    order = np.lexsort((start, who))
-    who, pairs = who[order], np.column_stack([start, count])[order].astype(np.int32)
-    if not len(who):
-        return
-    cuts = (np.flatnonzero(np.diff(who)) + 1).tolist()
-    spans = list(zip([0, *cuts], [*cuts, len(who)], strict=True))
-    for at in range(0, len(spans), 5000):
-        part = spans[at : at + 5000]
-        named = names[who[[i for i, _ in part]]]
-        ids = [None if d == NO_ID else d for d in named[:, 0].tolist()]
-        columns = [pa.array(ids, pa.int64()), pa.array(named[:, 1], pa.int64()), pa.array([pairs[i:j].tobytes() for i, j in part], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["0", "1", "2"])
-
-
 def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, key, ranges): strings of ``length`` bytes that also start earlier, as packed (first, how many) pairs."""
+    """(doc_id, key, ranges): strings of ``length`` bytes that also start earlier, as packed (first, how many) pairs, one row per document."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -196,6 +180,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_hashes(keyed, anchors, 4 * expected))
     shards = max(24, -(-expected // SHARD_SEGMENTS))
+    buckets = max(16, -(-size // BUCKET_BYTES))
     types = [pa.int32(), *[pa.binary()] * 6]
 
     def record(shard: int, *arrays: np.ndarray | bytes | None) -> pa.RecordBatch:
@@ -246,19 +231,22 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
             yield from flush()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Ranges(buckets)
         kept: dict[tuple[int, bytes], tuple] = {}  # earliest place of each segment
         done_names, done = [], []
 
-        def add(place: tuple, count: int) -> None:
-            done_names.append(place[0])
-            done.append((place[1], count))
+        def finish() -> Iterator[pa.RecordBatch]:
+            pairs = np.array(done, np.int64).reshape(-1, 2)
+            yield from found.add(np.array(done_names, np.int64).reshape(-1, 2), np.arange(len(done)), pairs[:, 0], pairs[:, 1])
+            done_names.clear()
+            done.clear()
 
         for batch in batches:
             for named, who, start, count, h, body in zip(*(batch.column(i) for i in range(1, 7)), strict=True):
                 named = np.frombuffer(named.as_buffer(), np.int64).reshape(-1, 2)
                 who, start, count = (np.frombuffer(x.as_buffer(), np.int32) for x in (who, start, count))
                 if not h.is_valid:
-                    yield from _ranges(named, who, start, count)
+                    yield from found.add(named, who, start, count)
                     continue
                 body, at = body.as_py(), 0
                 names = [tuple(x) for x in named.tolist()]
@@ -270,10 +258,10 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
                         kept[a, segment] = place
                         old, place = place, old
                     if place is not None and (place[0][0], place[1]) != (old[0][0], old[1]):
-                        add(place, c)
+                        done_names.append(place[0])
+                        done.append((place[1], c))
                 if len(done) > 500_000:
-                    yield from _finish(done_names, done)
-                    done_names, done = [], []
+                    yield from finish()
         times: dict[int, int] = {}
         for a, _ in kept:
             times[a] = times.get(a, 0) + 1
@@ -289,32 +277,23 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
                 lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
                 later = (ids != ids[lead]) | (start != start[lead])
                 named = np.array([p[0] for _, p in partly], np.int64)
-                yield from _ranges(named, owner[later], start[later], np.ones(int(later.sum()), np.int64))
-        if done:
-            yield from _finish(done_names, done)
+                yield from found.add(named, owner[later], start[later])
+        yield from finish()
+        yield from found.blocks()
 
-    return keyed.mapInArrow(flagged, "shard int, names binary, who binary, starts binary, counts binary, anchors binary, body binary").repartition(
+    blocks = keyed.mapInArrow(flagged, "shard int, names binary, who binary, starts binary, counts binary, anchors binary, body binary").repartition(
         "shard"
-    ).mapInArrow(settle, "doc_id bigint, key bigint, ranges binary")
-
-
-def _finish(names: list[tuple], done: list[tuple]) -> Iterator[pa.RecordBatch]:
-    unique, who = np.unique(np.array(names, np.int64), axis=0, return_inverse=True)
-    pairs = np.array(done, np.int64)
-    yield from _ranges(unique, who.reshape(-1), pairs[:, 0], pairs[:, 1])
+    ).mapInArrow(settle, BLOCK)
+    return by_document(blocks)
 
 
-def _kept_bytes(data: bytes, ranges: list | None, length: int) -> tuple[bytes, int]:
+def _kept_bytes(data: bytes, ranges: bytes | None, length: int) -> tuple[bytes, int]:
     """The bytes that stay, and the number of removed runs."""
     if not ranges:
         return data, 0
-    pairs = np.concatenate([np.frombuffer(r, np.int32).reshape(-1, 2) for r in ranges])
-    change = np.zeros(len(data) + 1, np.int64)
-    np.add.at(change, pairs[:, 0], 1)
-    np.add.at(change, pairs[:, 0] + pairs[:, 1] - 1 + length, -1)
-    gone = np.cumsum(change[:-1]) > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(data, np.uint8)[~gone].tobytes(), runs
+    gone = covered(ranges, len(data), length)
+    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+    return np.frombuffer(data, np.uint8)[~gone].tobytes(), spans
 
 
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH, carry: tuple = ()) -> DataFrame:
@@ -327,8 +306,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, carry: tuple = ()) ->
     the same place twice: neither is earlier. A null doc_id comes first, a null text is empty, an empty table gives an
     empty result.
     """
-    found = repeated_strings(docs, length).groupBy("doc_id", "key").agg(F.collect_list("ranges").alias("ranges"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "ranges")
+    found = repeated_strings(docs, length).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "ranges")
     row = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("_none")]).alias("_row")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row, text.alias("text"))
