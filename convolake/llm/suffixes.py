@@ -25,7 +25,9 @@ from convolake.llm.words import _BYTES, Powers, mix, rolling
 
 LENGTH = 100
 ANCHOR = 64
-SHARD_BYTES = 8 << 20  # of a shard that is sorted by itself
+SHARD_BYTES = 2 << 20  # of a shard that is sorted by itself
+MERGE_BYTES = 4 << 20  # of shards merged with each other, more only where a single anchor has more
+SLICE_BYTES = 1_000_000  # of text hashed at once
 SHARD_SEGMENTS = 100_000
 FLUSH_BYTES = 24_000_000
 POSITION_BITS = np.uint64(28)
@@ -166,6 +168,19 @@ def repeated_intervals(segments: list[bytes], depth: int, shard_bytes: int = SHA
     yield interval[shared], owner[shared], offset[shared]
 
 
+def anchor_groups(segments: list[tuple[int, bytes, tuple]], size: int = MERGE_BYTES) -> Iterator[list[tuple[tuple, bytes]]]:
+    """(place, segment) in lists of about ``size`` bytes; segments, ordered by anchor, stay with all others of their anchor."""
+    held, n = [], 0
+    for i, (a, segment, place) in enumerate(segments):
+        if n >= size and a != segments[i - 1][0]:
+            yield held
+            held, n = [], 0
+        held.append((place, segment))
+        n += len(segment)
+    if held:
+        yield held
+
+
 def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, key, ranges): strings of ``length`` bytes that also start earlier, as packed (first, how many) pairs, one row per document."""
     text = F.coalesce("text", F.lit(""))
@@ -175,7 +190,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         cut = Segments(length, anchor)
-        for _, _, texts in slices(batches):
+        for _, _, texts in slices(batches, SLICE_BYTES):
             yield cut([t.encode() for t in texts])[0]
 
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_hashes(keyed, anchors, 4 * expected))
@@ -216,7 +231,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
                 body = b"".join([text[p : p + c - 1 + length] for p, c in zip(place[j].tolist(), count[j].tolist(), strict=True)])
                 yield record(int(shard[x]), named[used], local.astype(np.int32), start[j].astype(np.int32), count[j].astype(np.int32), h[j], body)
 
-        for ids, keys, texts in slices(batches):
+        for ids, keys, texts in slices(batches, SLICE_BYTES):
             h, who, start, count, whole, data, begins = cut([t.encode() for t in texts])
             keep = repeated(h)
             h, who, start, count, whole = (x[keep] for x in (h, who, start, count, whole))
@@ -260,24 +275,25 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
                     if place is not None and (place[0][0], place[1]) != (old[0][0], old[1]):
                         done_names.append(place[0])
                         done.append((place[1], c))
-                if len(done) > 500_000:
+                if len(done) > 100_000:
                     yield from finish()
         times: dict[int, int] = {}
         for a, _ in kept:
             times[a] = times.get(a, 0) + 1
-        partly = [(segment, place) for (a, segment), place in kept.items() if times[a] > 1]
+        partly = sorted((a, segment, place) for (a, segment), place in kept.items() if times[a] > 1)
         kept.clear()
-        if partly:
-            for interval, owner, offset in repeated_intervals([s for s, _ in partly], length):
-                ids = np.array([p[0][0] for _, p in partly], np.int64)[owner]
-                start = np.array([p[1] for _, p in partly], np.int64)[owner] + offset
+        times.clear()
+        for group in anchor_groups(partly):
+            own = np.array([p[0] for p, _ in group], np.int64)
+            first = np.array([p[1] for p, _ in group], np.int64)
+            for interval, owner, offset in repeated_intervals([s for _, s in group], length):
+                ids, start = own[owner, 0], first[owner] + offset
                 order = np.lexsort((start, ids, interval))
                 interval, owner, ids, start = interval[order], owner[order], ids[order], start[order]
                 new = np.concatenate([[True], interval[1:] != interval[:-1]])
                 lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
                 later = (ids != ids[lead]) | (start != start[lead])
-                named = np.array([p[0] for _, p in partly], np.int64)
-                yield from found.add(named, owner[later], start[later])
+                yield from found.add(own, owner[later], start[later])
         yield from finish()
         yield from found.blocks()
 

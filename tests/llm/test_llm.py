@@ -159,6 +159,14 @@ def test_substrings(spark, corpus):
     assert collections.Counter(map(tuple, substrings.dedup_substrings(frame(spark, corpus)).collect())) == want
 
 
+def test_anchor_groups():
+    segments = sorted((a, bytes([65 + i]) * (3 + i), (("n", i), a)) for a in range(6) for i in range(a + 1))
+    groups = list(suffixes.anchor_groups(segments, 10))
+    assert [(p, s) for g in groups for p, s in g] == [(p, s) for _, s, p in segments] and len(groups) > 3
+    assert all(not {p[1] for p, _ in g} & {p[1] for p, _ in h} for i, g in enumerate(groups) for h in groups[:i])
+    assert list(suffixes.anchor_groups([])) == []
+
+
 def test_suffixes(spark, corpus):
     first = {}
     data = [(i, (t or "").encode()) for i, t in corpus]
