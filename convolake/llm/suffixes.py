@@ -142,6 +142,8 @@ def repeated_intervals(segments: list[bytes], depth: int, shard_bytes: int = SHA
             held, size = [], 0
     if held:
         shards.append(held)
+    if len(shards) == 1 and len(segments) > 1:  # the last segment filled the only shard
+        shards = [segments[:-1], segments[-1:]]
     built, begun = [], 0
     for held in shards:
         order, before, owner = shard_order(held)

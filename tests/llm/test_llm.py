@@ -199,6 +199,25 @@ def test_interleaving_equals_sorting():
         assert got == {(i, j) for i, s in enumerate(segments) for j in range(len(s) - depth + 1) if times[s[j : j + depth]] > 1}
 
 
+def test_intervals_of_few_segments():
+    shared = bytes(range(97, 109))
+    for n1, n2 in ((3, 9), (5, 5), (9, 3)):  # shorter than, as long as and longer than the last segment
+        two = [shared + b"A" * n1, shared + b"B" * n2]
+        for segments in (two, [b"C" * 11, *two], [*two, b"C" * 60]):
+            found = {(segments[o][j : j + 12], o) for _, owner, offset in suffixes.repeated_intervals(segments, 12) for o, j in zip(owner.tolist(), offset.tolist(), strict=True)}
+            assert {o for s, o in found if s == shared} == {i for i, s in enumerate(segments) if s.startswith(shared)}
+    assert list(suffixes.repeated_intervals([shared], 12)) == []
+
+
+def test_prefix_of_two_documents(spark):
+    for seed in range(6):
+        rng = random.Random(seed)
+        prefix = sentence(rng, 60)
+        rows = [(1, prefix + "Y" + sentence(rng, 30)), (2, prefix + "Z" + sentence(rng, 30))]
+        kept = {r.doc_id: bytes(r.kept).decode() for r in suffixes.dedup_suffixes(frame(spark, rows)).collect()}
+        assert kept == {1: rows[0][1], 2: rows[1][1][len(prefix) :]}
+
+
 def test_quality(spark, corpus):
     rows = quality.quality(frame(spark, corpus)).collect()
     assert len(rows) == len(corpus)
