@@ -27,6 +27,7 @@ LEAST_TOKENS = 2  # tokens of a valid class
 INVISIBLE = frozenset("script style template noscript head title iframe object svg canvas math audio video select datalist".split())
 CHROME = frozenset("nav header footer aside form button menu dialog input textarea label fieldset".split())
 ARTICLE = frozenset("article main".split())
+HOLDERS = ARTICLE | {"html", "body"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time tt u var wbr del ins big strike".split())
 CHROME_WORDS = frozenset(
@@ -49,15 +50,18 @@ AUTO_CLOSE = {
 }
 
 
+def is_named(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether a whole class name or id is a word for boilerplate; only a hint, and none on elements that hold a page or its article."""
+    if tag in HOLDERS:
+        return False
+    return any(name in ("class", "id") and value and CHROME_WORDS.intersection(value.lower().split()) for name, value in attributes)
+
+
 def is_chrome(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
     if tag in CHROME:
         return True
     for name, value in attributes:
-        if name in ("class", "id") and value:
-            words = value.lower().replace("-", " ").replace("_", " ").split()
-            if CHROME_WORDS.intersection(words):
-                return True
-        elif name == "role" and value and value.lower() in CHROME_ROLES:
+        if name == "role" and value and value.lower() in CHROME_ROLES:
             return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -69,17 +73,20 @@ class Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str, bool, bool]] = []
-        self.stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # tag, chrome, invisible, article
+        self.found: list[tuple[str, str, bool, bool, tuple]] = []
+        self.stack: list[tuple[str, bool, bool, bool, tuple]] = [("", False, False, False, ())]  # tag, chrome, invisible, article, named elements around
         self.words: list[str] = []
+        self.named = 0
+        self.around: set[int] = set()  # named elements around an article
+        self.free_article = False  # an article that no named element is around
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         self.words = []
         if text:
-            _, chrome, invisible, article = self.stack[-1]
+            _, chrome, invisible, article, named = self.stack[-1]
             if not invisible:
-                self.found.append(("/".join(t for t, *_ in self.stack if t not in INLINE), text, chrome, article))
+                self.found.append(("/".join(t for t, *_ in self.stack if t not in INLINE), text, chrome, article, named))
 
     def handle_starttag(self, tag, attrs):
         top = self.stack[-1]
@@ -87,7 +94,7 @@ class Blocks(HTMLParser):
             self.words.append(" ")
             return
         if tag in INLINE:
-            if not is_chrome(tag, attrs):
+            if not is_chrome(tag, attrs) and not is_named(tag, attrs):
                 if tag not in VOID:
                     self.stack.append((tag, *top[1:]))
                 return
@@ -101,9 +108,15 @@ class Blocks(HTMLParser):
                 break
         if tag in VOID:
             return
-        _, chrome, invisible, article = self.stack[-1]
-        inside = article or tag in ARTICLE
-        self.stack.append((tag, chrome or is_chrome(tag, attrs), invisible or tag in INVISIBLE, inside))
+        _, chrome, invisible, article, named = self.stack[-1]
+        chrome, invisible = chrome or is_chrome(tag, attrs), invisible or tag in INVISIBLE
+        if is_named(tag, attrs):
+            self.named += 1
+            named = (*named, self.named)
+        if tag in ARTICLE and not chrome and not invisible:
+            self.around.update(named)
+            self.free_article |= not named
+        self.stack.append((tag, chrome, invisible, article or tag in ARTICLE, named))
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, 0, -1):
@@ -120,7 +133,8 @@ class Blocks(HTMLParser):
         self.feed(page)
         self.close()
         self.flush()
-        return self.found
+        kept = set() if self.free_article else self.around  # the page's article is in them
+        return [(path, text, chrome or any(n not in kept for n in named), article) for path, text, chrome, article, named in self.found]
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:

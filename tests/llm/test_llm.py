@@ -289,6 +289,18 @@ def test_html(spark):
     assert got[10] == got[11] == ("", 0) and got[12] == ("A b c", 5)
 
 
+def test_html_class_names():
+    def text(page):
+        return " ".join(t for _, t, chrome, _ in html.Blocks().blocks(page) if not chrome)
+
+    for page in (
+        '<body class="no-sidebar"><p>a</p>', '<body class="sidebar"><p>a</p>', '<div class="content has-sidebar"><p>a</p></div>',
+        '<main id="content-header-fixed">a</main>', '<div class="sidebar"><b>x</b><article>a</article></div>', '<article class="related">a</article>',
+        '<article>a</article><div class="wide related"><article>t</article></div>', '<p>a</p><div class="ad">x</div><nav>y</nav>',
+    ):
+        assert text(page).removeprefix("x ") == "a", page
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from conftest import DATA
