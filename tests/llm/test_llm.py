@@ -289,9 +289,35 @@ def test_html(spark):
     assert got[10] == got[11] == ("", 0) and got[12] == ("A b c", 5)
 
 
+def test_html_template_inside_articles(spark):
+    page = "<body><div>menu</div><article><h1>title {0}</h1><div>text {0}</div>{1}</article><div>own {0}</div></body>"
+    rows = [(i, "http://a.example/x", page.format(i, "<div>buy now</div>" if i else "")) for i in range(8)]
+    plain = page.replace("article", "section")
+    rows += [(100 + i, "http://b.example/x", (page if i < 7 else plain).format(i, "<p>as ever</p>")) for i in range(10)]
+    rows += [(200 + i, "http://c.example/x", page.format(1, "")) for i in range(5)]  # copies of one page are no template
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"title {i} text {i}"
+    for i in range(7):
+        assert got[100 + i] == f"title {i} text {i}"
+    assert all("as ever" not in got[100 + i] and "menu" not in got[100 + i] for i in range(7))
+    assert all(got[200 + i] == "title 1 text 1" for i in range(5))
+
+
+def test_html_classes_are_ordered_and_nested():
+    classes = {1: 7, 2: 7, 3: 8, 4: 8}
+    assert page_of([1, 3, 4, 2], classes) == ({7: {(0, 0)}, 8: {(7, 1)}}, set())
+    assert page_of([1, 3, 2, 4], classes)[1] == {8}
+    assert html.page_order([1, 2, 2, 1], classes) == {} and html.page_order([1, 2, 1, 2], classes) == {7: (1, 2)}
+
+
+def page_of(tokens, classes):
+    return html.page_slots(tokens, classes, html.page_order(tokens, classes))[1:]
+
+
 def test_html_class_names():
     def text(page):
-        return " ".join(t for _, t, chrome, _ in html.Blocks().blocks(page) if not chrome)
+        return " ".join(t for _, t, chrome, _ in html.Blocks().blocks(page) if t and not chrome)
 
     for page in (
         '<body class="no-sidebar"><p>a</p>', '<body class="sidebar"><p>a</p>', '<div class="content has-sidebar"><p>a</p></div>',
