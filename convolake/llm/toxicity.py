@@ -1,8 +1,9 @@
 """Toxicity of texts whose words may be disguised: a noisy channel restores them, a linear model scores them.
 
 A disguised word (digits and signs for letters, letters repeated or set apart) is a lattice: each character stands for
-itself, for letters it is used for, or for nothing. Viterbi decoding under a character trigram model of all texts picks
-the likeliest word. Words that are plain letters without repetition have one path, themselves, and are not decoded. The
+itself, for letters it is used for, or for nothing. Characters set apart are one lattice in which a separator is nothing
+or the end of a word, so a run may be several words. Viterbi decoding under a character trigram model of all texts picks
+the likeliest words. Words that are plain letters without doubled ones have one path, themselves, and are not decoded. The
 score is a logistic regression on restored words and their beginnings, fitted on a bounded sample of labelled rows.
 """
 
@@ -22,6 +23,7 @@ from convolake.llm.common import id_and_text, slices, written
 
 TRAIN_ROWS = 12_000  # labelled rows the classifier is fitted on, at most
 FEATURES = 600
+CACHED = 60  # characters of a token whose decoding is kept
 PREFIXES = (3, 4, 5, 6)
 
 # Letters that digits and signs are used for.
@@ -34,9 +36,13 @@ SUBSTITUTED, DROPPED_REPEAT, DROPPED_SIGN = -2.0, -1.0, -0.5  # log probabilitie
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 SYMBOLS = len(LETTERS) + 2  # boundary, letters, any other letter
 _SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
-_APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
+_SIGNS = re.escape("".join(STANDS_FOR))
+_APART = re.compile(rf"(?<![^\W_])(?:(?:([^\W\d_])\1*|[{_SIGNS}])[\s.\-_*]+){{2,}}(?:([^\W\d_])\2*|[{_SIGNS}])(?![^\W_])")
+_GAP = re.compile(r"[\s.\-_*]+")
+GAP_DROPPED, GAP_KEPT = -0.5, -0.5  # log probabilities of a separator in a run: within a word, between words
 _TOKEN = re.compile(r"[^\s,;:?\"“”«»#%&]+")
 _PLAIN = re.compile(r"[^\W\d_]+")
+_DOUBLED = re.compile(r"(.)\1")
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -70,6 +76,8 @@ class Restorer:
         self.seen: dict[str, str] = {}
 
     def word(self, token: str) -> str:
+        if len(token) > CACHED:
+            return self._decode(token)
         known = self.seen.get(token)
         if known is None:
             if len(self.seen) > 100_000:
@@ -78,13 +86,22 @@ class Restorer:
         return known
 
     def _decode(self, token: str) -> str:
-        # State: the last two symbols; value: log probability and the word so far.
+        # State: the last two symbols; value: log probability and the words so far.
         paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         before = ""
-        for c in token:
+        for c in _GAP.sub(" ", token):
+            then: dict[tuple[int, int], tuple[float, str]] = {}
+            if c == " ":
+                for (a, b), (score, word) in paths.items():
+                    if score + GAP_DROPPED > then.get((a, b), (-math.inf, ""))[0]:
+                        then[a, b] = score + GAP_DROPPED, word
+                    new = score + GAP_KEPT + self.log[a, b, 0]
+                    if b and new > then.get((b, 0), (-math.inf, ""))[0]:
+                        then[b, 0] = new, word + " "
+                paths = then
+                continue
             is_letter = c.isalpha()
             steps = [(c, 0.0)] if is_letter else [(x, SUBSTITUTED) for x in STANDS_FOR.get(c, "")]
-            then: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, word) in paths.items():
                 for letter, cost in steps:
                     s = _SYMBOL.get(letter, SYMBOLS - 1)
@@ -102,18 +119,22 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
         text = text.lower()
-        found = {self.word(re.sub(r"[ .\-_*]", "", m)) for m in _APART.findall(text)}
+        found = set()
+        for run in _APART.finditer(text):
+            if _PLAIN.search(run.group()):
+                found.update(self.word(run.group()).split())
         for token in set(_TOKEN.findall(text)):
             core = token.strip(".!*$'()[]{}<>|/\\-_+=~`^")
             if not core:
                 continue
-            if _PLAIN.fullmatch(core) and not re.search(r"(.)\1\1", core):
+            if _PLAIN.fullmatch(core):
                 found.add(core)
-            elif len(core) <= 40 and re.search(r"[^\W\d_]", core):
-                found.add(self.word(core))
-                found.update(_PLAIN.findall(core))
-            else:
-                found.update(_PLAIN.findall(core))
+                if _DOUBLED.search(core):
+                    found.add(self.word(core))
+                continue
+            if re.search(r"[^\W\d_]", core):
+                found.update(self.word(core).split())
+            found.update(_PLAIN.findall(core))
         return found
 
 

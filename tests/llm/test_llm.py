@@ -260,6 +260,24 @@ def test_toxicity(spark):
     assert min(got[1000], got[1001], got[1002]) >= 0.7 and max(got[1003], got[900], got[901]) < 0.7 and got[900] == got[901]
 
 
+def test_disguises():
+    rng = random.Random(8)
+    text = "\n".join(sentence(rng, 8) + " such a moron and an idiot or a stupid fool " for _ in range(300))
+    counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
+    codes = [toxicity._SYMBOL.get(c, 0) for c in text]
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        counts[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] += 1
+    restorer = toxicity.Restorer(counts)
+    for text, word in (
+        ("you iddiot", "idiot"), ("a moroon here", "moron"), ("so stuupid", "stupid"), ("m 0 r 0 n", "moron"), ("1 d 1 o t", "idiot"),
+        ("m  o  r  o  n", "moron"), ("m . o . r . o . n", "moron"), ("such a m o r o n", "moron"), ("i d i o t s t u p i d", "stupid"),
+        ("i d i o t s t u p i d", "idiot"), ("m" + "o" * 60 + "ron", "moron"), ("fo" + "o" * 45 + "l", "fool"), ("a m-o-r-o-n!", "moron"),
+        ("m0r0n", "moron"), ("m.o.r.o.n", "moron"),
+    ):
+        assert word in restorer.words(text), (text, restorer.words(text))
+    assert restorer.words("we a b") == {"we", "a", "b"} and "moron" in restorer.words("(m o r o n) 1 2 3")
+
+
 def test_class_model(spark, corpus):
     train = [r for r in corpus if r[0] is not None and r[0] % 3]
     counts, ends = collections.Counter(), 0
