@@ -102,9 +102,17 @@ CONTEXT_LIMITS = {
     "grok-3-fast": 131072, "grok-3-mini": 131072, "grok-3-mini-fast": 131072, "grok-4": 256000, "kimi": 131000,
     "gpt-oss-20b": 131000, "gpt-oss-120b": 131000,
 }
-# Output limits, and the limit of models without one.
-OUTPUT_LIMITS = {
+# Output limits of the anthropic endpoint.
+ANTHROPIC_OUTPUT_LIMITS = {
+    "claude-3-haiku": 4096, "claude-3-sonnet": 4096, "claude-3-opus": 4096, "claude-opus-4": 32000,
+    "claude-sonnet-4": 64000, "claude-3.5-sonnet": 8192, "claude-3-5-sonnet": 8192, "claude-3.7-sonnet": 128000,
+    "claude-3-7-sonnet": 128000,
+}
+# Output limits of the other endpoints, and the limit of models without one.
+OPENAI_OUTPUT_LIMITS = {
     "o1": 32268, "o1-mini": 65136, "o1-preview": 32268, "gpt-5": 128000, "gpt-5-mini": 128000, "gpt-5-nano": 128000,
     "gpt-oss-20b": 131000, "gpt-oss-120b": 131000,
 }
+# Models at their own endpoints; no name of one endpoint is part of a name of the other.
+OUTPUT_LIMITS = OPENAI_OUTPUT_LIMITS | ANTHROPIC_OUTPUT_LIMITS
 OUTPUT_DEFAULT = 1024

@@ -496,3 +496,21 @@ def test_billing_keys_of_every_family(spark):
     }
     rows = spark.createDataFrame([(m,) for m in expected], "model string").select("model", billing.billing_key(F.col("model")).alias("key"))
     assert {r.model: r.key for r in rows.collect()} == expected
+
+
+def test_output_limits_of_model_families(spark, tables):
+    from convolake.functions import rates
+    from convolake.operators import billing
+    from convolake.plans import ENTRIES
+
+    expected = {
+        "claude-3-haiku-20240307": 4096, "claude-3-sonnet-20240229": 4096, "claude-3-opus-latest": 4096,
+        "claude-opus-4-20250514": 32000, "claude-sonnet-4-20250514": 64000, "claude-3.5-sonnet-v2": 8192,
+        "claude-3-5-sonnet-20241022": 8192, "claude-3.7-sonnet": 128000, "claude-3-7-sonnet-latest": 128000,
+        "o1-2024-12-17": 32268, "o1-mini": 65136, "o1-preview-2024": 32268, "gpt-5-nano-x": 128000, "gpt-oss-20b": 131000,
+    }
+    rows = spark.createDataFrame([(m,) for m in expected], "model string")
+    limit = billing.looked_up(billing.contained(F.col("model"), list(rates.OUTPUT_LIMITS)), rates.OUTPUT_LIMITS)
+    assert {r.model: r.n for r in rows.select("model", limit.alias("n")).collect()} == expected
+    got = {r.model: r.output for r in ENTRIES["b10_token_limits"].run(spark, "/root/testdata/sf0.001").collect()}
+    assert got["claude-3-5-sonnet-20241022"] == 8192 and got["claude-3-haiku"] == 4096 and got["gpt-4o-mini-2024-07-18"] == 1024
