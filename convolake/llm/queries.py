@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.llm import classlm, exact, html, minhash, pack, quality, substrings, suffixes, tokens, toxicity
+from convolake.llm import classlm, exact, html, minhash, pack, quality, simhash, substrings, suffixes, tokens, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -67,7 +67,11 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_byte_bpe, op4_substring_dedup, op5_suffix_array_dedup, op6_exact_dedup, op7_toxicity, op8_class_lm, op9_quality_rules, op10_html_extraction)}
+def op13_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_fingerprints(_documents(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_byte_bpe, op4_substring_dedup, op5_suffix_array_dedup, op6_exact_dedup, op7_toxicity, op8_class_lm, op9_quality_rules, op10_html_extraction, op13_simhash_near_dedup)}
 
 SQL = {
     "op6_exact_dedup": r"""
