@@ -48,3 +48,16 @@ def slices(batches: Iterable[pa.RecordBatch], size: int = 4_000_000, rows: int =
             part = batch.slice(at, n)
             yield [c.to_pylist() for c in part.columns]
             at += n
+
+
+def met(rows: DataFrame, table: DataFrame, keys: list[str], crowd: str, hot: int = 10_000, least: int = 1_000) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has one row per key and in ``crowd`` the number of rows that meet it.
+
+    Keys with at least one row in ``hot``, hence no more than ``hot`` of them, are broadcast; so no task gets the rows of
+    a hot key.
+    """
+    total = table.agg(F.sum(crowd)).first()[0] or 0
+    many = F.col(crowd) >= max(least, -(-total // hot))
+    often, seldom = F.broadcast(table.filter(many).drop(crowd)), table.filter(~many).drop(crowd)
+    rest = rows.join(often.select(*keys), keys, "left_anti").join(seldom, keys, "left")
+    return rest.unionByName(rows.join(often, keys))

@@ -70,7 +70,7 @@ def corpus():
     return [*rows, rows[20]]
 
 
-@pytest.mark.parametrize("leaf", [simhash.LEAF, 3])
+@pytest.mark.parametrize("leaf", [simhash.LEAF, 30])
 def test_components(spark, corpus, leaf):
     want = expected(corpus)
     assert len({w[1] for w in want}) > len({w[2] for w in want}) + 5  # links between different fingerprints
