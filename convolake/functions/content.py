@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from convolake.functions.text import let, token_estimate, trim_space
+from convolake.functions.tokenizers import Tokenizer
 
 
 def _of_type(parts: Column, *types: str) -> Column:
@@ -56,6 +57,18 @@ def message_tokens(role: Column, parts: Column, name: Column | None = None) -> C
     return total if name is None else total + F.when(name.isNotNull(), counted(name) + 1).otherwise(0)
 
 
+def counted_message_tokens(role: Column, parts: Column, tokenizer: Tokenizer) -> Column:
+    """``message_tokens`` with any tokenizer: all counted texts of a message go to it as one array."""
+    given = lambda *values: F.filter(F.array(*values), lambda v: F.coalesce(v, F.lit("")) != "")
+    texts = F.flatten(
+        F.transform(
+            _of_type(parts, "text", "tool_call"),
+            lambda p: F.when(p["type"] == "text", given(p["text"])).otherwise(given(p["name"], p["args"], p["output"])),
+        )
+    )
+    return F.lit(3) + tokenizer.total(F.concat(F.array(role), texts))
+
+
 def latest_text(text: Column, parts: Column, with_index: bool = False) -> Column:
     """The text itself, else the last non-empty text part (with its index if asked), else empty."""
     numbered = F.transform(parts, lambda p, i: F.struct(p["type"].alias("type"), p["text"].alias("text"), i.alias("i")))

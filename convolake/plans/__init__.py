@@ -12,6 +12,7 @@ for _family in (
     "text",
     "trees",
     "context",
+    "hooks",
     "paging",
     "sets",
     "merge",
