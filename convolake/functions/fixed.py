@@ -42,7 +42,6 @@ CANCEL_RATE = 1.15
 VIEW, EDIT, DELETE, SHARE = 1, 2, 4, 8
 
 # Limits, intervals and thresholds of the request stream.
-MESSAGES_PER_MINUTE = 40
 BAN_INTERVAL = 20
 BAN_MINUTES = 120
 CONCURRENT_LIMIT = 2

@@ -20,6 +20,7 @@ for _family in (
     "access",
     "sources",
     "streams",
+    "requests",
 ):
     importlib.import_module(f"convolake.plans.{_family}")
 

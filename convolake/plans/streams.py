@@ -33,41 +33,10 @@ def _(t):
     return _start(L.stream_over_limit(events, "user_id", "6 hours", LIMIT))
 
 
-def moves(events):
-    """Requests start with a view or a click and finish with anything else."""
-    starts = F.col("event_type").isin("view", "click")
-    return events.select(
-        F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), F.when(starts, 1.0).otherwise(-1.0).alias("delta")
-    )
-
-
-_GAUGE = """WITH m AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('view', 'click') THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS d FROM events),
-s AS (SELECT *, sum(d) OVER w AS s FROM m WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-g AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS pending FROM s)
-SELECT user_id AS key, event_id AS id, pending, d > 0 AND pending > 2 AS violation FROM g"""
-
-
-def gauge(rows):
-    from convolake.functions.fixed import CONCURRENT_LIMIT
-
-    over = (F.col("delta") > 0) & (F.col("value") > CONCURRENT_LIMIT)
-    return rows.select("key", "id", (F.col("value") + 0).alias("pending"), over.alias("violation"))
-
-
 def hourly():
     return F.date_trunc("hour", "ts")
 
 
-@query("st2_pending_gauge_batch", _GAUGE)
-def _(t):
-    return gauge(L.clamped_ledger(moves(t.events), hourly()))
-
-
-@query("st2_pending_gauge_stream", _GAUGE)
-def _(t):
-    return gauge(L.stream_ledger(moves(table_stream(t.spark, t.folder, "events")), hourly(), "gauge"))
-
-
 def violations(events):
     """Errors weigh five points, failed sign-ups one; each user has a score of its own for each kind."""
     return events.filter(F.col("event_type").isin("error", "signup")).select(
@@ -122,7 +91,17 @@ def _(t):
     return bans(t).groupBy("key").agg(F.max("expires").alias("expires")).withColumn("active", F.col("expires") > now)
 
 
-@query("st5_balance_with_refill")
+_BALANCES = """WITH RECURSIVE e AS (SELECT user_id AS user, event_id AS id, ts, value AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+g(user, id, rn, balance, last, refilled) AS (
+  SELECT DISTINCT user, NULL::BIGINT, 0::BIGINT, 500.0::DOUBLE, NULL::TIMESTAMP, FALSE FROM e
+  UNION ALL
+  SELECT user, id, rn, greatest(0.0, balance + CASE WHEN refill THEN 300.0 ELSE 0.0 END - cost), CASE WHEN refill THEN ts ELSE last END, refill
+  FROM (SELECT e.*, g.balance, g.last, g.balance - e.cost <= 0 AND (g.last IS NULL OR g.last + INTERVAL 2 DAY <= e.ts) AS refill
+        FROM g JOIN e ON e.user = g.user AND e.rn = g.rn + 1))
+SELECT user, id, balance, refilled FROM g WHERE rn > 0"""
+
+
+@query("st5_balance_with_refill", _BALANCES)
 def _(t):
     costs = table_stream(t.spark, t.folder, "events").select(
         F.col("user_id").alias("user"), "ts", F.col("event_id").alias("id"), F.col("value").alias("cost")
@@ -130,12 +109,6 @@ def _(t):
     return St.stream_balances(costs, opening=500.0, amount=300.0, every_days=2)
 
 
-@query("st6_incremental_index", "SELECT doc_id, source, lang, doc_id // 100 AS unit FROM documents")
-def _(t):
-    stream = table_stream(t.spark, t.folder, "documents")
-    return St.stream_index(stream, t.documents, "doc_id", ["source", "lang"])
-
-
 @query("st7_growing_text")
 def _(t):
     looks = fresh_path(t.spark, "looks")
@@ -151,10 +124,18 @@ def _(t):
     return St.stream_growing_texts(stream)
 
 
-@query("st8_live_counts", "SELECT user_id, count(*) AS n, count(DISTINCT event_type) >= 1 AS seen FROM events GROUP BY user_id")
+@query("st8_live_counts", "SELECT user_id, count(*) AS n, max(ts) AS last_seen FROM events GROUP BY user_id")
+def _(t):
+    stream = table_stream(t.spark, t.folder, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"))
+    return run_update(stream, ["user_id"], "live-counts")
+
+
+@query("st8_live_conversations", "SELECT conv_id % 50 AS user_id, count(DISTINCT conv_id) AS conversations, count(*) AS messages FROM conversations GROUP BY 1")
 def _(t):
-    stream = table_stream(t.spark, t.folder, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    return run_update(stream, ["user_id"], "live-counts").withColumn("seen", F.lit(True))
+    """A conversation counts once its first message arrives."""
+    stream = table_stream(t.spark, t.folder, "conversations").groupBy((F.col("conv_id") % 50).alias("user_id"))
+    totals = stream.agg(F.count_if(F.col("turn") == 0).alias("conversations"), F.count("*").alias("messages"))
+    return run_update(totals, ["user_id"], "live-conversations")
 
 
 @query(

@@ -26,12 +26,12 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_batches(stream: DataFrame, mode: str, step: Callable[[DataFrame, int], None], name: str) -> None:
-    """Run to the end of the available data, one call of ``step`` per micro-batch."""
+def run_batches(stream: DataFrame, mode: str, step: Callable[[DataFrame, int], None], name: str, checkpoint: str | None = None) -> None:
+    """Run to the end of the available data, one call of ``step`` per micro-batch; an earlier checkpoint is taken up again."""
     spark = stream.sparkSession
     query = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", fresh_path(spark, f"{name}-checkpoint"))
+        .option("checkpointLocation", checkpoint or fresh_path(spark, f"{name}-checkpoint"))
         .trigger(availableNow=True)
         .foreachBatch(step)
         .start()

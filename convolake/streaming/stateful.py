@@ -1,4 +1,4 @@
-"""Keyed state that built-in aggregates cannot express: balances with refills, growing texts; and incremental ingest."""
+"""Keyed state that built-in aggregates cannot express: balances with refills, growing texts."""
 
 from __future__ import annotations
 
@@ -6,13 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from convolake.functions.chunks import last_separator
-from convolake.functions.fixed import SYNC_BATCH
-from convolake.session import fresh_path
-from convolake.streaming.runner import run_append, run_batches
+from convolake.streaming.runner import run_append
 
 
 def spend(credits: float, last, rows: pd.DataFrame, amount: float, every: pd.Timedelta):
@@ -93,22 +90,3 @@ def stream_growing_texts(stream: DataFrame) -> DataFrame:
         GroupStateTimeout.NoTimeout,
     )
     return run_append(chunks, "growing-texts")
-
-
-def stream_index(stream: DataFrame, source: DataFrame, key: str, columns: list[str], batch: int = SYNC_BATCH) -> DataFrame:
-    """Index of all streamed rows that still exist in ``source``: new rows are added once, orphans are left out.
-
-    ``batch`` rows make one unit of the index (column ``unit``); each micro-batch appends its own files.
-    """
-    spark = stream.sparkSession
-    out = fresh_path(spark, "index")
-
-    def step(rows: DataFrame, number: int) -> None:
-        fresh = rows.select(key, *columns).dropDuplicates([key])
-        if number > 0:
-            earlier = spark.read.parquet(*[f"{out}/batch={i}" for i in range(number)]).select(key)
-            fresh = fresh.join(earlier, key, "left_anti")
-        fresh.withColumn("unit", F.floor(F.col(key) / batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    run_batches(stream, "append", step, "index")
-    return spark.read.parquet(out).drop("batch").join(source.select(key), key, "left_semi")
