@@ -98,11 +98,18 @@ def _segment(number: int, ids: np.ndarray, m: np.ndarray, lengths: np.ndarray, v
 
 def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Index:
     """The index of all documents with at least one term. Every row is a document, rows that share a doc_id too."""
-    rows = id_and_text(docs).withColumn("n", F.regexp_count("text", F.lit(TERM))).filter("n > 0")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(terms(t.as_py().encode())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *batch.columns], names=["n", "doc_id", "deal", "text"])
+
+    rows = id_and_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("deal"), "text")
+    rows = written(rows.mapInArrow(count, "n bigint, doc_id bigint, deal bigint, text string").filter("n > 0"), "counted")
     total = rows.agg(F.count("*").alias("docs"), F.sum("n").alias("terms"), F.sum(F.octet_length("text")).alias("bytes")).first()
     segments = max(1, math.ceil((total.bytes or 0) / segment_bytes))
     dealt = (
-        rows.select("doc_id", F.expr(f"10 + (90L * n * {total.docs}L) div {total.terms or 1}L").alias("m"), F.xxhash64("doc_id", "text").alias("deal"), "text")
+        rows.select("doc_id", F.expr(f"100 - 90 + (90L * n * {total.docs}L) div {total.terms or 1}L").alias("m"), "deal", "text")
         .repartitionByRange(segments, "m", "deal")
         .select(F.spark_partition_id().alias("segment"), "doc_id", "m", "text")
     )
