@@ -35,12 +35,10 @@ def within_limit(df: DataFrame, limit: int, instructions: int | None = None) ->
     first = F.col("msg") == F.col("_first")
     used = F.when(F.col("_fits") & ~(first & F.lit(instructions is not None)), F.col("tokens")).otherwise(0)
     bounds = df.groupBy("conv_id").agg(F.min("msg").alias("_first"))
-    marked = summed.join(bounds, "conv_id").withColumn("_fits", fits)
+    marked = scan.with_key_row(summed, bounds, ["conv_id"], block()).withColumn("_fits", fits)
     spent = marked.groupBy("conv_id").agg((F.lit(room - PRIMING) - F.sum(used)).alias("remaining"))
     inside = F.col("_fits") | (first & F.lit(instructions is not None))
-    return (
-        marked.withColumn("in_context", inside).join(spent, "conv_id").drop("suffix", "_first", "_fits")
-    )
+    return scan.with_key_row(marked.withColumn("in_context", inside), spent, ["conv_id"], block()).drop("suffix", "_first", "_fits")
 
 
 def omit_tool_outputs(df: DataFrame, limit: int, parts: str = "parts") -> DataFrame:
@@ -65,7 +63,7 @@ def token_backfill(df: DataFrame, counts: Column) -> DataFrame:
     """(conv_id, msg, tokens) to store: rows without a count, except the last message of each conversation."""
     last = df.groupBy("conv_id").agg(F.max("msg").alias("_last"))
     return (
-        df.join(last, "conv_id")
+        scan.with_key_row(df, last, ["conv_id"], block())
         .filter((F.col("msg") < F.col("_last")) & F.col("tokens").isNull())
         .select("conv_id", "msg", counts.alias("tokens"))
     )

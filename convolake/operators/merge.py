@@ -64,9 +64,11 @@ def add_counts(target: DataFrame, deltas: DataFrame, keys: list[str], count: str
 
 def delete_since(messages: DataFrame, marks: DataFrame) -> DataFrame:
     """Messages not newer than their conversation's mark; ``marks`` is (conv_id, msg). No mark: nothing is deleted."""
+    from convolake.operators import scan
+
     times = messages.join(marks, ["conv_id", "msg"], "left_semi").select("conv_id", F.col("created_at").alias("_mark"))
     return (
-        messages.join(times, "conv_id", "left")
+        scan.with_key_row(messages, times, ["conv_id"], F.floor(F.col("msg") / 512), "left")
         .filter(F.col("_mark").isNull() | (F.col("created_at") <= F.col("_mark")))
         .drop("_mark")
     )
@@ -117,6 +119,25 @@ def version_rows(history: DataFrame, keys: list[str], order: list[str], bucket:
     return scan.with_number(changed.drop("_before", "_state"), keys, order, bucket, "version")
 
 
+def reverted(versions: DataFrame, wanted: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """The outcome of going back to a numbered version: (keys, wanted, fields, status, version).
+
+    ``versions`` is (keys, version, fields), ``wanted`` (keys, wanted). The fields of the wanted version become the
+    current ones: appended as a new version unless they equal the last one's (status ``appended`` or ``unchanged``, with
+    the number that then is the last). A version that the key does not have changes nothing: ``missing``, null fields.
+    """
+    state = versions.select(*keys, "version", F.struct(*fields).alias("_state"))
+    last = state.join(wanted.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.max_by("_state", "version").alias("_last"), F.max("version").alias("_n"))
+    target = state.withColumnsRenamed({"version": "wanted", "_state": "_target"})
+    found = wanted.join(target, [*keys, "wanted"], "left").join(last, keys, "left")
+    same, known = F.col("_target").eqNullSafe(F.col("_last")), F.col("_target").isNotNull()
+    return found.select(
+        *keys, "wanted", *[F.col(f"_target.{f}").alias(f) for f in fields],
+        F.when(~known, "missing").when(same, "unchanged").otherwise("appended").alias("status"),
+        F.when(known & ~same, F.col("_n") + 1).otherwise(F.col("_n")).alias("version"),
+    )
+
+
 def repaired_pointer(parents: DataFrame, children: DataFrame, key: str, child: str, order: str) -> DataFrame:
     """(key, child) pointing at the stored child if it remains, else at the latest one; empty parents go.
 

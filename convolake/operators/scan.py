@@ -2,7 +2,8 @@
 
 A plain window puts a whole key into one task. These helpers cut a key into ordered buckets: the rows of one
 (key, bucket) are scanned together, one row of totals per bucket is carried forward, and both are joined back. The
-bucket column must rise with the order columns (a time grain, a block of positions).
+bucket column must rise with the order columns (a time grain, a block of positions). Without keys the buckets are scanned
+in ranges of their own, so that one row per range is all that ever meets in one task.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from convolake.session import cut_lineage
+
 _FOLD = {
     "sum": (F.sum, lambda a, b: a + b),
     "min": (F.min, F.least),
@@ -40,6 +43,30 @@ def _earlier(names: list[str], desc: bool):
     return Window.partitionBy(*names).orderBy(F.col("_bucket").desc() if desc else F.col("_bucket").asc())
 
 
+def _ranges(totals: DataFrame) -> DataFrame:
+    """The buckets of a table without keys, dealt to ranges: ``_part`` rises with the bucket. Fixed, as ranges are sampled."""
+    return cut_lineage(totals.repartitionByRange("_bucket").withColumn("_part", F.spark_partition_id()))
+
+
+def _carried(totals: DataFrame, names: list[str], folds: dict[str, tuple[str, Column]], desc: bool = False) -> DataFrame:
+    """``totals``, one row per bucket, with folds over the buckets before each: ``folds`` maps new column to (kind, column)."""
+    before = Window.unboundedPreceding, -1
+    if names:
+        window = _earlier(names, desc).rowsBetween(*before)
+        return totals.withColumns({new: _FOLD[kind][0](column).over(window) for new, (kind, column) in folds.items()})
+    ranged = _ranges(totals)
+    parts = ranged.groupBy("_part").agg(*[_FOLD[kind][0](column).alias(f"_t_{new}") for new, (kind, column) in folds.items()])
+    ahead = Window.orderBy(F.col("_part").desc() if desc else F.col("_part").asc()).rowsBetween(*before)
+    parts = parts.select("_part", *[_FOLD[kind][0](f"_t_{new}").over(ahead).alias(f"_p_{new}") for new, (kind, _) in folds.items()])
+    local = _earlier(["_part"], desc).rowsBetween(*before)
+    both = {
+        new: F.coalesce(_FOLD[kind][1](F.col(f"_p_{new}"), _FOLD[kind][0](column).over(local)), F.col(f"_p_{new}"), _FOLD[kind][0](column).over(local))
+        for new, (kind, column) in folds.items()
+    }
+    # as many rows as there are ranges
+    return ranged.join(F.broadcast(parts), "_part").withColumns(both).drop("_part", *[f"_p_{new}" for new in folds])
+
+
 def _in_order(order: list[str], desc: bool) -> list[Column]:
     return [F.col(c).desc() if desc else F.col(c).asc() for c in order]
 
@@ -58,11 +85,9 @@ def with_running(
     """
     cut, names, cell = _cut(df, keys, bucket)
     local = Window.partitionBy(*cell).orderBy(*_in_order(order, desc)).rowsBetween(Window.unboundedPreceding, 0)
-    before = _earlier(names, desc).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*cell).agg(*[_FOLD[kind][0](expr).alias(name) for name, (kind, expr) in running.items()])
-    carry = totals.select(
-        *cell, *[_FOLD[kind][0](name).over(before).alias(f"_c_{name}") for name, (kind, _) in running.items()]
-    )
+    totals = cut.groupBy(*cell).agg(*[_FOLD[kind][0](expr).alias(f"_t_{name}") for name, (kind, expr) in running.items()])
+    carry = _carried(totals, names, {f"_c_{name}": (kind, F.col(f"_t_{name}")) for name, (kind, _) in running.items()}, desc)
+    carry = carry.select(*cell, *[f"_c_{name}" for name in running])
     rows = cut.withColumns({name: _FOLD[kind][0](expr).over(local) for name, (kind, expr) in running.items()})
     merged = {
         name: F.coalesce(
@@ -83,20 +108,15 @@ def with_clamped(
     """
     cut, names, cell = _cut(df, keys, bucket)
     local = Window.partitionBy(*cell).orderBy(*_in_order(order, False)).rowsBetween(Window.unboundedPreceding, 0)
-    before = _earlier(names, False).rowsBetween(Window.unboundedPreceding, -1)
     rows = (
         cut.withColumn("_delta", delta)
         .withColumn("_s", F.sum("_delta").over(local))
         .withColumn("_m", F.min("_s").over(local))
     )
     start = opening if isinstance(opening, Column) else F.lit(float(opening))
-    carry = (
-        rows.groupBy(*cell)
-        .agg(F.sum("_delta").alias("_total"), F.min("_m").alias("_least"))
-        .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
-        .withColumn("_floor", F.min(F.col("_base") + F.col("_least")).over(before))
-        .select(*cell, "_base", "_floor")
-    )
+    totals = rows.groupBy(*cell).agg(F.sum("_delta").alias("_total"), F.min("_m").alias("_least"))
+    based = _carried(totals, names, {"_base": ("sum", F.col("_total"))}).withColumn("_base", F.coalesce("_base", F.lit(0.0)))
+    carry = _carried(based, names, {"_floor": ("min", F.col("_base") + F.col("_least"))}).select(*cell, "_base", "_floor")
     return (
         rows.join(carry, cell)
         .withColumn("raw", start + F.col("_base") + F.col("_s"))
@@ -122,7 +142,15 @@ def with_previous(
     ends = cut.groupBy(*cell).agg(
         last(F.struct(*[F.col(src).alias(name) for name, src in previous.items()]), F.struct(*order)).alias("_last")
     )
-    carry = ends.select(*cell, F.lag("_last").over(_earlier(names, desc)).alias("_carry_row"))
+    if names:
+        carry = ends.select(*cell, F.lag("_last").over(_earlier(names, desc)).alias("_carry_row"))
+    else:
+        ranged = _ranges(ends)
+        parts = ranged.groupBy("_part").agg(last("_last", "_bucket").alias("_end"))
+        ahead = Window.orderBy(F.col("_part").desc() if desc else F.col("_part").asc())
+        parts = parts.select("_part", F.lag("_end").over(ahead).alias("_end"))
+        here = F.lag("_last").over(_earlier(["_part"], desc))
+        carry = ranged.join(F.broadcast(parts), "_part").select(*cell, F.coalesce(here, "_end").alias("_carry_row"))
     rows = cut.withColumns(
         {"_first": F.row_number().over(local) == 1}
         | {name: F.lag(src).over(local) for name, src in previous.items()}
@@ -131,6 +159,18 @@ def with_previous(
     return rows.join(carry, cell).withColumns(merged).select(*df.columns, *previous)
 
 
+def with_key_row(df: DataFrame, row: DataFrame, keys: list[str], bucket: Column, how: str = "inner") -> DataFrame:
+    """Each row with the columns of its key's one row in ``row``.
+
+    That row is first brought to the (key, bucket) cells and joined from there, so that the rows of a hot key spread over
+    its buckets instead of meeting in one task. ``how`` is inner or left; the bucket must not be null.
+    """
+    cut, _, cell = _cut(df, keys, bucket)
+    added = [c for c in row.columns if c not in keys]
+    cells = cut.select(*cell, *keys).distinct().join(row, keys, how)
+    return cut.join(cells.select(*cell, *added), cell).select(*df.columns, *added)
+
+
 def packed_lists(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, size: int = 1000
 ) -> DataFrame:

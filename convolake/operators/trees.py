@@ -20,6 +20,10 @@ KEY = ["conv_id", "msg"]
 _FOLD = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
 
 
+def _block(column: str = "msg", size: int = 512) -> Column:
+    return F.floor(F.col(column) / size)
+
+
 def _linked(df: DataFrame, columns: list) -> DataFrame:
     """Rows with ``anc``: the parent where it exists in the table, else null."""
     known = df.select("conv_id", F.col("msg").alias("parent"), F.lit(True).alias("_known"))
@@ -113,7 +117,7 @@ def path_to_root(df: DataFrame, targets: DataFrame, summary: str | None = None)
     if summary is not None:
         # the nearest summary on the way up ends the walk
         cut = rows.filter(F.col(summary).isNotNull()).groupBy("conv_id", "target").agg(F.min("up").alias("_cut"))
-        rows = rows.join(cut, ["conv_id", "target"], "left").filter(F.col("_cut").isNull() | (F.col("up") <= F.col("_cut")))
+        rows = scan.with_key_row(rows, cut, ["conv_id", "target"], _block("up"), "left").filter(F.col("_cut").isNull() | (F.col("up") <= F.col("_cut")))
         rows = rows.withColumns(
             {
                 "text": F.coalesce(summary, "text"),
@@ -121,7 +125,8 @@ def path_to_root(df: DataFrame, targets: DataFrame, summary: str | None = None)
             }
         ).drop("_cut")
     length = rows.groupBy("conv_id", "target").agg(F.max("up").alias("_top"))
-    return rows.join(length, ["conv_id", "target"]).withColumn("position", F.col("_top") - F.col("up")).drop("_top")
+    whole = scan.with_key_row(rows, length, ["conv_id", "target"], _block("up"))
+    return whole.withColumn("position", F.col("_top") - F.col("up")).drop("_top")
 
 
 def path_with_siblings(df: DataFrame, targets: DataFrame) -> DataFrame:
@@ -141,7 +146,7 @@ def rooted_levels(df: DataFrame) -> DataFrame:
     levels = depths(df.withColumn("_first", first))
     tops = levels.filter("depth = 0 AND _first = 0").select("conv_id", F.col("msg").alias("root"), F.lit(True).alias("_top"))
     return (
-        levels.join(tops, ["conv_id", "root"], "left")
+        scan.with_key_row(levels, tops, ["conv_id", "root"], _block(), "left")
         .withColumn("level", F.when(F.col("_top"), F.col("depth")))
         .drop("_first", "_top", "depth", "resolved", "root")
     )
@@ -153,7 +158,7 @@ def _with_target_level(df: DataFrame, targets: DataFrame) -> DataFrame:
         levels.select("conv_id", F.col("msg").alias("target"), F.col("level").alias("target_level"))
         .join(targets, ["conv_id", "target"])
     )
-    return levels.join(wanted, "conv_id")
+    return scan.with_key_row(levels, wanted, ["conv_id"], _block())
 
 
 def up_to_target_level(df: DataFrame, targets: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from convolake.functions.text import token_estimate
 from convolake.operators import context as C
+from convolake.operators import fragments as Fr
 from convolake.operators import scan
 from convolake.plans.registry import query
 from convolake.plans.text import PARTS_SQL, part_rows
@@ -68,10 +69,10 @@ isl AS (SELECT *, sum(start) OVER (PARTITION BY conv_id ORDER BY msg) AS island
 
 @query(
     "w15_fold_turns",
-    f"""WITH {_THREAD} SELECT conv_id, CAST(island AS BIGINT) AS island, msg // 64 AS block, any_value(role) AS role, min(msg) AS first,
-          string_agg(msg, ',' ORDER BY msg) AS members, string_agg(text, chr(10) ORDER BY msg) AS text, bool_or(known) AS known,
+    f"""WITH {_THREAD} SELECT conv_id, CAST(island AS BIGINT) AS island, row_number() OVER w - 1 AS position, msg, text AS fragment, first_value(role) OVER w AS role,
+          min(msg) OVER (PARTITION BY conv_id, island) AS first, bool_or(known) OVER (PARTITION BY conv_id, island) AS known,
           CASE WHEN island = 1 THEN -1 ELSE CAST(island - 1 AS BIGINT) END AS parent
-        FROM isl GROUP BY conv_id, island, msg // 64""",
+        FROM isl WINDOW w AS (PARTITION BY conv_id, island ORDER BY msg)""",
 )
 def _(t):
     turn = F.col("turn")
@@ -82,51 +83,31 @@ def _(t):
         (turn % 6 == 5).alias("known"),
         "text",
     )
-    # a resulting row is kept in blocks of 64 messages, so none grows without bound
-    folded = C.fold_turns(thread).withColumn("block", C.block(64))
-    return (
-        folded.groupBy("conv_id", "island", "block")
-        .agg(
-            F.first("role").alias("role"),
-            F.min("msg").alias("first"),
-            F.bool_or("known").alias("known"),
-            F.array_sort(F.collect_list(F.struct("msg", "text"))).alias("m"),
-        )
-        .select(
-            "conv_id", "island", "block", "role", "first",
-            F.array_join(F.transform("m", lambda x: x["msg"].cast("string")), ",").alias("members"),
-            F.array_join(F.transform("m", lambda x: x["text"]), "\n").alias("text"),
-            "known",
-            F.when(F.col("island") == 1, F.lit(-1)).otherwise(F.col("island") - 1).alias("parent"),
-        )
-    )
+    # a resulting row is a head and the ordered texts it folds together
+    folded, keys = C.fold_turns(thread), ["conv_id", "island"]
+    heads = folded.groupBy(*keys).agg(F.min_by("role", "msg").alias("role"), F.min("msg").alias("first"), F.bool_or("known").alias("known"))
+    heads = heads.withColumn("parent", F.when(F.col("island") == 1, F.lit(-1)).otherwise(F.col("island") - 1))
+    parts = Fr.fragments(folded, keys, ["msg"], C.block(), F.col("text"), ("msg",))
+    return scan.with_key_row(parts, heads, keys, Fr.block())
 
 
 @query(
     "w16_gap_fill",
     """WITH step AS (SELECT o_orderkey AS conv, l_linenumber AS step, l_partkey AS part, l_quantity AS qty, l_suppkey FROM orders
          JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'),
-       n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY step, part, l_suppkey, qty) AS rn FROM step),
-       cur AS (SELECT conv, (rn - 1) // 100 AS block, string_agg(part, ',' ORDER BY rn) AS content, 'synced' AS origin FROM n GROUP BY ALL),
-       stored AS (SELECT o_orderkey AS conv, 0 AS block, 'stored' AS content, 'stored' AS origin FROM orders WHERE o_orderstatus <> 'F')
-       SELECT conv, block, arg_max(content, CASE origin WHEN 'synced' THEN 1 ELSE 0 END) AS content, max(CASE origin WHEN 'synced' THEN 1 ELSE 0 END)
-         AS synced FROM (SELECT * FROM cur UNION ALL SELECT * FROM stored) GROUP BY conv, block""",
+       cur AS (SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY step, part, l_suppkey, qty) - 1 AS position, part::VARCHAR AS fragment, TRUE AS synced FROM step)
+       SELECT * FROM cur UNION ALL
+       SELECT o_orderkey, 0, 'stored', FALSE FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT conv FROM cur)""",
 )
 def _(t):
     wanted = t.orders.filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
     steps = t.lineitem.join(wanted, "l_orderkey", "left_semi").select(
         F.col("l_orderkey").alias("conv"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
     )
-    current = scan.packed_lists(
-        steps, ["conv"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], F.col("l_linenumber"), F.col("l_partkey"), 100
-    ).select(
-        "conv", "block", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("content"), F.lit(1).alias("synced")
-    )
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    current = Fr.fragments(steps, ["conv"], order, F.col("l_linenumber"), F.col("l_partkey").cast("string")).withColumn("synced", F.lit(True))
     stored = t.orders.filter("o_orderstatus <> 'F'").select(
-        F.col("o_orderkey").alias("conv"), F.lit(0).cast("bigint").alias("block"), F.lit("stored").alias("content"), F.lit(0).alias("synced")
-    )
-    return (
-        current.unionByName(stored)
-        .groupBy("conv", "block")
-        .agg(F.max_by("content", "synced").alias("content"), F.max("synced").alias("synced"))
+        F.col("o_orderkey").alias("conv"), F.lit(0).cast("bigint").alias("position"), F.lit("stored").alias("fragment"), F.lit(False).alias("synced")
     )
+    filled = current.select("conv").distinct()
+    return current.unionByName(stored.join(filled, "conv", "left_anti"))

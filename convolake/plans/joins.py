@@ -100,7 +100,7 @@ def _(t):
 
 @query(
     "j6_hit_enrichment",
-    f"""WITH {MSG_SQL}, hit AS (SELECT conv_id, msg, CASE WHEN msg % 2 = 0 THEN left(text, 20) END AS text
+    f"""WITH {MSG_SQL}, hit AS (SELECT conv_id, msg, CASE WHEN msg % 2 = 0 THEN replace(text, 'an', '<b>an</b>') END AS text
                                 FROM msg WHERE contains(lower(text), 'an')),
          live AS (SELECT conv_id, count(*) AS n_messages FROM msg GROUP BY conv_id HAVING count(*) > 3)
         SELECT conv_id, h.msg, coalesce(h.text, m.text) AS text, m.role, n_messages
@@ -109,10 +109,11 @@ def _(t):
 def _(t):
     m = t.messages().select("conv_id", "msg", "role", "text", F.concat_ws(":", "conv_id", "msg").alias("key"))
     hits = m.filter(F.lower("text").contains("an")).select(
-        "conv_id", "msg", "key", F.when(F.col("msg") % 2 == 0, F.substring("text", 1, 20)).alias("text")
+        "conv_id", "msg", "key", F.when(F.col("msg") % 2 == 0, F.replace("text", F.lit("an"), F.lit("<b>an</b>"))).alias("text")
     )
     live = m.groupBy("conv_id").agg(F.count("*").alias("n_messages")).filter("n_messages > 3")
-    return J.enriched(hits, m, "key", ["text", "role"]).join(live, "conv_id").drop("key")
+    found = J.enriched(hits, m, "key", ["text", "role"])
+    return scan.with_key_row(found, live, ["conv_id"], F.floor(F.col("msg") / 512)).drop("key")
 
 
 @query(
@@ -173,8 +174,7 @@ def _(t):
     # newest first across blocks: position counts down from the number of shown turns
     total = shown.groupBy("conv_id").agg(F.count("*").alias("n"))
     return (
-        refs.select("conv_id", "block", F.posexplode("items").alias("i", "turn"))
-        .join(total, "conv_id")
+        scan.with_key_row(refs.select("conv_id", "block", F.posexplode("items").alias("i", "turn")), total, ["conv_id"], F.col("block"))
         .select("conv_id", (F.col("n") - 1 - F.col("block") * 512 - F.col("i")).alias("pos"), "turn")
         .join(c, ["conv_id", "turn"])
         .select("conv_id", "pos", "turn", "role", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convolake.operators import fragments as Fr
 from convolake.operators import merge as M
 from convolake.operators import scan
 from convolake.operators import sets as S
@@ -42,9 +43,9 @@ def _(t):
 
 @query(
     "m3_save_conversation",
-    f"""WITH {MSG_SQL} SELECT conv_id, msg // 256 AS block, string_agg(msg, ',' ORDER BY msg) AS messages,
+    f"""WITH {MSG_SQL} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY msg) - 1 AS position, msg::VARCHAR AS fragment,
           CASE WHEN conv_id % 2 = 0 THEN 'renamed' ELSE 'kept' END AS title, CASE WHEN conv_id % 3 <> 0 THEN 'm' || conv_id END AS model
-        FROM msg GROUP BY conv_id, msg // 256""",
+        FROM msg""",
 )
 def _(t):
     conv = F.col("conv_id")
@@ -53,13 +54,9 @@ def _(t):
     )
     changes = stored.filter(conv % 2 == 0).select("conv_id", F.lit("renamed").alias("title"))
     saved = M.upsert(stored, changes, ["conv_id"]).withColumn("model", F.when(conv % 3 != 0, F.col("model")))
-    # the message list of a conversation is kept in blocks of 256 ids
-    lists = (
-        t.conversations.groupBy("conv_id", F.floor(F.col("turn") / 256).alias("block"))
-        .agg(F.array_sort(F.collect_list("turn")).alias("m"))
-        .select("conv_id", "block", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("messages"))
-    )
-    return lists.join(saved, "conv_id")
+    # the message list of a conversation is a row per message
+    parts = Fr.fragments(t.conversations, ["conv_id"], ["turn"], F.floor(F.col("turn") / 512), F.col("turn").cast("string"))
+    return scan.with_key_row(parts, saved, ["conv_id"], Fr.block())
 
 
 @query(
@@ -157,6 +154,14 @@ def _(t):
     )
 
 
+def part_versions(t):
+    history = t.lineitem.select("l_partkey", "l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return M.version_rows(
+        history, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey"], F.floor(F.col("l_orderkey") / 5000),
+        ["l_returnflag", "l_linestatus"],
+    )
+
+
 @query(
     "m11_versions",
     """WITH h AS (SELECT l_partkey, l_orderkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus, lag(l_returnflag || l_linestatus) OVER w AS b FROM lineitem
@@ -166,28 +171,26 @@ def _(t):
        FROM h WHERE b IS DISTINCT FROM l_returnflag || l_linestatus""",
 )
 def _(t):
-    history = t.lineitem.select("l_partkey", "l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    return M.version_rows(
-        history, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey"], F.floor(F.col("l_orderkey") / 5000),
-        ["l_returnflag", "l_linestatus"],
-    )
+    return part_versions(t)
 
 
 @query(
     "m11_revert",
-    """SELECT p_partkey, v2 AS reverted, v3 AS latest, v2 <> v3 AS changed FROM (SELECT p_partkey, p_type || '/' || p_size AS v2,
-         p_brand || '/' || p_size AS v3 FROM part)""",
+    """WITH h AS (SELECT l_partkey, l_orderkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus, lag(l_returnflag || l_linestatus) OVER w AS b FROM lineitem
+         WINDOW w AS (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey)),
+       v AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS version FROM h
+         WHERE b IS DISTINCT FROM l_returnflag || l_linestatus),
+       q AS (SELECT p_partkey AS l_partkey, 1 + p_partkey % 5 AS wanted FROM part),
+       n AS (SELECT l_partkey, max(version) AS n, arg_max(l_returnflag || l_linestatus, version) AS last FROM v GROUP BY 1)
+       SELECT l_partkey, wanted, l_returnflag, l_linestatus, CASE WHEN version IS NULL THEN 'missing' WHEN l_returnflag || l_linestatus = last THEN 'unchanged'
+         ELSE 'appended' END AS status, CASE WHEN l_returnflag || l_linestatus <> last THEN n + 1 ELSE n END AS version
+       FROM q LEFT JOIN v USING (l_partkey) LEFT JOIN n USING (l_partkey) WHERE version = wanted
+       UNION ALL SELECT l_partkey, wanted, NULL, NULL, 'missing', n FROM q LEFT JOIN n USING (l_partkey) WHERE wanted > coalesce(n, 0)""",
 )
 def _(t):
-    size = F.col("p_size").cast("string")
-    versions = F.array(F.col("p_name"), F.concat_ws("/", "p_type", size), F.concat_ws("/", "p_brand", size))
-    rows = t.part.select("p_partkey", versions.alias("v"))
-    return rows.select(
-        "p_partkey",
-        F.element_at("v", 2).alias("reverted"),
-        F.element_at("v", -1).alias("latest"),
-        (F.element_at("v", 2) != F.element_at("v", -1)).alias("changed"),
-    )
+    """Every part goes back to one of the first five versions of its status, where it has that many."""
+    wanted = t.part.select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 5 + 1).alias("wanted"))
+    return M.reverted(part_versions(t), wanted, ["l_partkey"], ["l_returnflag", "l_linestatus"])
 
 
 @query(

@@ -276,16 +276,16 @@ def _(t):
 
 @query(
     "f19_changed_titles",
-    """SELECT d.doc_id, left(d.text, 30) AS title FROM documents d
-       LEFT JOIN (SELECT doc_id, left(text, CASE WHEN quality = 1 THEN 30 ELSE 10 END) AS title
+    """SELECT d.doc_id, d.text AS title FROM documents d
+       LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN text ELSE lower(text) END AS title
                   FROM labels JOIN documents USING (doc_id)) i USING (doc_id)
-       WHERE d.n_chars > 100 AND left(d.text, 30) IS DISTINCT FROM i.title""",
+       WHERE d.n_chars > 100 AND d.text IS DISTINCT FROM i.title""",
 )
 def _(t):
-    docs = t.documents.filter("n_chars > 100").select("doc_id", F.substring("text", 1, 30).alias("title"))
+    docs = t.documents.filter("n_chars > 100").select("doc_id", F.col("text").alias("title"))
     index = t.labels.join(t.documents.select("doc_id", "text"), "doc_id").select(
         "doc_id",
-        F.when(F.col("quality") == 1, F.substring("text", 1, 30)).otherwise(F.substring("text", 1, 10)).alias("indexed"),
+        F.when(F.col("quality") == 1, F.col("text")).otherwise(F.lower("text")).alias("indexed"),
     )
     return (
         docs.join(index, "doc_id", "left")

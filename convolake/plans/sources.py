@@ -49,11 +49,11 @@ def _(t):
     )
 
 
-@query("s3_list_files", "SELECT DISTINCT source, TRUE AS accepted FROM documents")
+@query("s3_list_files", "SELECT source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, ceil(count(*) / 100)::BIGINT <= count(*) AS accepted FROM documents GROUP BY source")
 def _(t):
     files = S.list_files(t.spark, text_folder(t))
     return files.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(
-        F.bool_and(F.col("length") > 0).alias("accepted")
+        F.sum("length").alias("bytes"), (F.count_distinct("path") <= F.sum("length")).alias("accepted")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from convolake.functions.text import token_estimate
 from convolake.operators import joins as J
+from convolake.operators import fragments as Fr
 from convolake.operators import scan
 from convolake.plans.registry import query
 from convolake.sources.tables import MSG_SQL, USAGE_SQL
@@ -163,55 +164,44 @@ def _(t):
     "a13_memory_digest",
     f"""WITH {MSG_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY created_at, msg) AS i FROM msg),
         tot AS (SELECT conv_id, sum(tokens) AS total FROM msg GROUP BY conv_id)
-        SELECT conv_id, (i - 1) // 100 AS block, total AS total_tokens, least(100, round(total * 100 / 500.0)) AS usage_pct,
+        SELECT conv_id, total AS total_tokens, least(100, round(total * 100 / 500.0)) AS usage_pct,
           string_agg(i || '. [' || strftime(created_at, '%Y-%m-%d') || ']. ' || text, E'\\n\\n' ORDER BY i) AS without_keys,
           string_agg(i || '. [' || strftime(created_at, '%Y-%m-%d') || ']. ["key": "' || role || '"] ["tokens": ' || tokens
             || ']' || text, E'\\n\\n' ORDER BY i) AS with_keys
-        FROM n JOIN tot USING (conv_id) GROUP BY conv_id, block, total""",
+        FROM n JOIN tot USING (conv_id) GROUP BY conv_id, total""",
 )
 def _(t):
     m = t.messages()
     totals = m.groupBy("conv_id").agg(F.sum(F.coalesce("tokens", F.lit(0))).alias("total_tokens"))
+    rows = scan.with_number(m, ["conv_id"], ["created_at", "msg"], F.date_trunc("hour", "created_at"), "i")
     lead = F.concat(F.col("i").cast("string"), F.lit(". ["), F.date_format("created_at", "yyyy-MM-dd"), F.lit("]. "))
     keyed = F.concat(
         lead, F.lit('["key": "'), "role", F.lit('"] ["tokens": '), F.col("tokens").cast("string"), F.lit("]"), "text"
     )
-    lines = scan.with_number(m, ["conv_id"], ["created_at", "msg"], F.date_trunc("hour", "created_at"), "i").select(
-        "conv_id", "i", F.floor((F.col("i") - 1) / 100).alias("block"), F.concat(lead, "text").alias("a"), keyed.alias("b")
-    )
-    joined = lambda c: F.array_join(F.transform("l", lambda x: x[c]), "\n\n")
+    position = (F.col("i") - 1).alias("position")
+
+    def digest(line, name):
+        parts = rows.select("conv_id", position, line.alias("fragment"))
+        return Fr.whole(parts, ["conv_id"], "\n\n").select("conv_id", F.col("value").alias(name))
+
+    used = F.least(F.lit(100.0), F.round(F.col("total_tokens") * 100 / 500.0)).alias("usage_pct")
     return (
-        lines.groupBy("conv_id", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("l"))
-        .join(totals, "conv_id")
-        .select(
-            "conv_id",
-            "block",
-            "total_tokens",
-            F.least(F.lit(100.0), F.round(F.col("total_tokens") * 100 / 500.0)).alias("usage_pct"),
-            joined("a").alias("without_keys"),
-            joined("b").alias("with_keys"),
-        )
+        totals.select("conv_id", "total_tokens", used)
+        .join(digest(F.concat(lead, "text"), "without_keys"), "conv_id")
+        .join(digest(keyed, "with_keys"), "conv_id")
     )
 
 
 @query(
     "a15_grouped_lists",
-    """SELECT l_orderkey, (rn - 1) // 100 AS block, string_agg(l_partkey || 'x' || CAST(l_quantity AS BIGINT), ',' ORDER BY rn)
-       AS items FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-       l_quantity) AS rn FROM lineitem) GROUP BY ALL""",
+    """SELECT l_orderkey, count(*) AS n, string_agg(l_partkey || 'x' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)
+       AS items FROM lineitem GROUP BY l_orderkey""",
 )
 def _(t):
     value = F.concat(F.col("l_partkey").cast("string"), F.lit("x"), F.col("l_quantity").cast("bigint").cast("string"))
-    lists = scan.packed_lists(
-        t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"),
-        ["l_orderkey"],
-        ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"],
-        F.col("l_linenumber"),
-        value,
-        100,
-    )
-    return lists.select("l_orderkey", "block", F.array_join("items", ",").alias("items"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    parts = Fr.fragments(t.lineitem.select("l_orderkey", *order), ["l_orderkey"], order, F.col("l_linenumber"), value)
+    return Fr.whole(parts, ["l_orderkey"], ",").select("l_orderkey", "n", F.col("value").alias("items"))
 
 
 @query(
@@ -314,10 +304,9 @@ def _(t):
 
 @query(
     "a22_attachments_by_call",
-    """SELECT l_orderkey AS message, l_linenumber AS part, l_returnflag AS tool, (rn - 1) // 50 AS block, count(*) AS n_calls,
-         string_agg(l_partkey, ',' ORDER BY rn) AS attachments
-       FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag ORDER BY l_partkey, l_suppkey)
-         AS rn FROM lineitem) GROUP BY ALL""",
+    """SELECT l_orderkey AS message, l_linenumber AS part, l_returnflag AS tool, count(*) AS n_calls,
+         string_agg(l_partkey, ',' ORDER BY l_partkey, l_suppkey) AS attachments
+       FROM lineitem GROUP BY ALL""",
 )
 def _(t):
     rows = t.lineitem.select(
@@ -327,11 +316,6 @@ def _(t):
         "l_partkey",
         "l_suppkey",
     )
-    lists = scan.packed_lists(
-        rows, ["message", "part", "tool"], ["l_partkey", "l_suppkey"], F.floor(F.col("l_partkey") / 1000),
-        F.col("l_partkey").cast("string"), 50,
-    )
-    return lists.select(
-        "message", "part", "tool", "block", F.size("items").cast("bigint").alias("n_calls"),
-        F.array_join("items", ",").alias("attachments"),
-    )
+    keys = ["message", "part", "tool"]
+    parts = Fr.fragments(rows, keys, ["l_partkey", "l_suppkey"], F.floor(F.col("l_partkey") / 1000), F.col("l_partkey").cast("string"))
+    return Fr.whole(parts, keys, ",").select(*keys, F.col("n").alias("n_calls"), F.col("value").alias("attachments"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convolake.functions.text import token_estimate
+from convolake.operators import scan
 from convolake.plans.registry import query
 from convolake.session import fresh_path
 from convolake.sources.tables import MSG_SQL
@@ -150,7 +151,8 @@ def _(t):
     m = t.messages()
     # stored memories are the user's messages; every message asks to be stored under its role as key
     totals = m.groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "user", F.col("tokens")).otherwise(0)).alias("total"))
-    asked = m.select("conv_id", "msg", "role", token_estimate(F.col("text")).alias("tokens")).join(totals, "conv_id")
+    asked = m.select("conv_id", "msg", "role", token_estimate(F.col("text")).alias("tokens"))
+    asked = scan.with_key_row(asked, totals, ["conv_id"], F.floor(F.col("msg") / 512))
     limit, total, after = 250, F.col("total"), F.col("total") + F.col("tokens")
     valid = F.col("role").isin("user", "assistant")
     return asked.select(

@@ -8,6 +8,7 @@ from convolake.functions import content as C
 from convolake.functions import text as X
 from convolake.functions.chunks import chunks, with_cut_text
 from convolake.functions.fixed import RETENTION_DEFAULT, RETENTION_MAX, RETENTION_MIN
+from convolake.operators import fragments as Fr
 from convolake.operators import scan
 from convolake.plans.registry import query
 from convolake.session import spread
@@ -121,20 +122,11 @@ def _(t):
     )
 
 
-@query("w4_chunk_index", f"""SELECT doc_id, sum({tokens_sql('s')}) AS tokens, count(*) AS n_sentences FROM (
-    SELECT doc_id, unnest({SENTENCES_SQL}) AS s FROM documents) GROUP BY doc_id""")
+@query("w4_chunk_index", f"SELECT doc_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS n_chunks, md5(content) AS content_md5, tokens FROM ({_CHUNKS_SQL})")
 def _(t):
-    # sentence numbers and sizes from which chunk positions follow
-    return (
-        docs(t, "text")
-        .select("doc_id", X.sentences(F.col("text")).alias("s"))
-        .filter(F.size("s") > 0)
-        .select(
-            "doc_id",
-            F.aggregate("s", F.lit(0).cast("bigint"), lambda a, s: a + X.token_estimate(s)).alias("tokens"),
-            F.size("s").cast("bigint").alias("n_sentences"),
-        )
-    )
+    parts = docs(t, "text").select("doc_id", chunks(F.col("text")).alias("parts"))
+    indexed = parts.select("doc_id", F.size("parts").cast("bigint").alias("n_chunks"), F.posexplode("parts").alias("chunk_index", "content"))
+    return indexed.select("doc_id", "chunk_index", "n_chunks", F.md5("content").alias("content_md5"), X.token_estimate(F.col("content")).alias("tokens"))
 
 
 _OCR_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -352,18 +344,23 @@ def _(t):
     )
 
 
-@query(
-    "t21_redact",
-    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'sk-[REDACTED] ' || source WHEN 1 THEN 'h: Bearer [REDACTED] k?key=[REDACTED] '
-         || source || ' Bearer two' ELSE 'x api-key: [REDACTED] sk-in ' || source END AS redacted FROM documents""",
-)
+_SECRETS = """CASE doc_id % 3 WHEN 0 THEN 'sk-' || md5(text) || ' ' || text WHEN 1 THEN text || ' Bearer ' || md5(text) || ' k?key=' || md5(text)
+         ELSE text || ' api-key: ' || md5(text) END"""
+
+
+def redact_sql(x: str) -> str:
+    for lead in ("^(sk-)", "(Bearer )", "(api-key:? )", "(key=)"):
+        x = f"regexp_replace({x}, '{lead}[^{S}]+', '\\1[REDACTED]')"
+    return x
+
+
+@query("t21_redact", f"SELECT doc_id, {redact_sql('x')} AS redacted FROM (SELECT doc_id, {_SECRETS} AS x FROM documents)")
 def _(t):
-    k, s = F.col("doc_id"), F.col("source")
-    secret = F.substring(F.md5("text"), 1, 12)
+    k, text, secret = F.col("doc_id"), F.col("text"), F.md5("text")
     raw = (
-        F.when(k % 3 == 0, F.concat(F.lit("sk-"), secret, F.lit(" "), s))
-        .when(k % 3 == 1, F.concat(F.lit("h: Bearer "), secret, F.lit(" k?key="), secret, F.lit(" "), s, F.lit(" Bearer two")))
-        .otherwise(F.concat(F.lit("x api-key: "), secret, F.lit(" sk-in "), s))
+        F.when(k % 3 == 0, F.concat(F.lit("sk-"), secret, F.lit(" "), text))
+        .when(k % 3 == 1, F.concat(text, F.lit(" Bearer "), secret, F.lit(" k?key="), secret))
+        .otherwise(F.concat(text, F.lit(" api-key: "), secret))
     )
     return t.documents.select("doc_id", X.redact(raw).alias("redacted"))
 
@@ -465,34 +462,27 @@ def _(t):
 
 @query(
     "t34_concatenated",
-    """SELECT conv_id, turn // 64 AS block, string_agg(role || ':' || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) AS text
-       FROM conversations GROUP BY ALL""",
+    """SELECT conv_id, count(*) AS n, string_agg(role || ':' || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) AS text
+       FROM conversations GROUP BY conv_id""",
 )
 def _(t):
     line = F.concat("role", F.lit(":\n"), "text", F.lit("\n\n"))
-    return (
-        t.conversations.groupBy("conv_id", F.floor(F.col("turn") / 64).alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
-        .select("conv_id", "block", F.array_join("l.line", "").alias("text"))
-    )
+    parts = Fr.fragments(t.conversations, ["conv_id"], ["turn"], F.floor(F.col("turn") / 512), line)
+    return Fr.whole(parts, ["conv_id"]).select("conv_id", "n", F.col("value").alias("text"))
 
 
 @query(
     "t35_edit_token_delta",
     f"""WITH {MSG_SQL}, tot AS (SELECT conv_id, CAST(sum(tokens) AS BIGINT) AS total FROM msg GROUP BY conv_id)
-        SELECT conv_id, msg, greatest(0, total - tokens) + {tokens_sql("left(text, 50)")} AS new_total FROM msg JOIN tot USING (conv_id)""",
+        SELECT conv_id, msg, greatest(0, total - tokens) + {tokens_sql("replace(text, ', ', ',')")} AS new_total FROM msg JOIN tot USING (conv_id)""",
 )
 def _(t):
     m = t.messages()
     totals = m.groupBy("conv_id").agg(F.sum("tokens").alias("total"))
-    return m.join(totals, "conv_id").select(
-        "conv_id",
-        "msg",
-        (
-            F.greatest(F.lit(0).cast("bigint"), F.col("total") - F.col("tokens"))
-            + X.token_estimate(F.substring("text", 1, 50))
-        ).alias("new_total"),
-    )
+    rest = F.greatest(F.lit(0).cast("bigint"), F.col("total") - F.col("tokens"))
+    edited = F.replace("text", F.lit(", "), F.lit(","))
+    rows = scan.with_key_row(m, totals, ["conv_id"], F.floor(F.col("msg") / 512))
+    return rows.select("conv_id", "msg", (rest + X.token_estimate(edited)).alias("new_total"))
 
 
 @query(
@@ -522,7 +512,7 @@ def _(t):
 @query(
     "t38_payload_names",
     """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role WHEN lower(CASE WHEN turn % 2 = 0 THEN 'User' ELSE 'Bot' END) = 'user'
-         THEN 'user' ELSE 'assistant' END AS role, left(regexp_replace(left(text, 80), '[^a-zA-Z0-9_-]', '_', 'g'), 64) AS name
+         THEN 'user' ELSE 'assistant' END AS role, left(regexp_replace(text, '[^a-zA-Z0-9_-]', '_', 'g'), 64) AS name
        FROM conversations""",
 )
 def _(t):
@@ -532,7 +522,7 @@ def _(t):
         "conv_id",
         "turn",
         F.coalesce(stored, F.when(F.lower(sender) == "user", "user").otherwise("assistant")).alias("role"),
-        C.payload_name(F.substring("text", 1, 80)).alias("name"),
+        C.payload_name(F.col("text")).alias("name"),
     )
 
 

@@ -38,7 +38,7 @@ class Tables:
             "text",
             message_time(conv, turn).alias("created_at"),
             token_estimate(F.col("text")).alias("tokens"),
-            F.when(turn % 4 == 3, F.substring("text", 1, 40)).alias("summary"),
+            F.when(turn % 4 == 3, F.concat(F.lit("So far: "), "text")).alias("summary"),
         )
 
     def acl(self) -> DataFrame:
@@ -83,7 +83,7 @@ MSG_SQL = """msg AS (
          role, text,
          TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(turn) AS created_at,
          CAST(ceil(len(string_split(text, ' ')) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS tokens,
-         CASE WHEN turn % 4 = 3 THEN left(text, 40) END AS summary
+         CASE WHEN turn % 4 = 3 THEN 'So far: ' || text END AS summary
   FROM conversations)"""
 ACL_SQL = """acl AS (
   SELECT s_suppkey AS resource_id,
