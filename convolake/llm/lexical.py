@@ -1,6 +1,6 @@
 """Ranked lexical search over an index whose documents are grouped by equal length normaliser m.
 
-The index consists of segments: ranges of m, cut further where many documents share one. A segment holds its documents in
+The index consists of segments of about equal size: ranges of m, cut further where many documents share one. A segment holds its documents in
 the order of m and, per term, the postings ordered by stratum (one m) and falling tf, with the size of each group of equal
 (m, tf). So the impact of a posting is computed once per group, and the first group of a stratum bounds what the term can
 add there. A search first visits each segment's strata of highest bound, which gives every item a floor for its last
@@ -26,6 +26,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOP = 10
 SEGMENT_BYTES = 32 << 20  # of text in a segment, about; a task holds the postings of one segment
+CLASSES = 64  # classes of m to an octave, by which documents are dealt to segments
 BLOCK_ITEMS = 2_000  # items of a block, about; a block is one search over the index
 NO_ID = 2**63 - 1  # stands for a null doc_id: last among equal scores
 
@@ -96,39 +97,72 @@ def _segment(number: int, ids: np.ndarray, m: np.ndarray, lengths: np.ndarray, v
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+class _Postings:
+    """The postings of a segment's documents as they come."""
+
+    def __init__(self):
+        self.vocabulary: dict[bytes, int] = {}
+        self.ids, self.m, self.lengths, self.term, self.tf = array("q"), array("q"), array("i"), array("i"), array("i")
+
+    def add(self, ids: list[int | None], m: list[int], texts: list[str]) -> None:
+        self.ids.extend(NO_ID if i is None else i for i in ids)
+        self.m.extend(m)
+        for text in texts:
+            counts = Counter(terms(text.encode()))
+            self.lengths.append(len(counts))
+            self.term.extend([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in counts])
+            self.tf.extend(counts.values())
+
+    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+        ids, m, lengths, term, tf = (np.frombuffer(a, a.typecode) for a in (self.ids, self.m, self.lengths, self.term, self.tf))
+        yield from _segment(number, ids, m, lengths, list(self.vocabulary), term, tf)
+
+
 def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Index:
     """The index of all documents with at least one term. Every row is a document, rows that share a doc_id too."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(terms(t.as_py().encode())) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *batch.columns], names=["n", "doc_id", "deal", "text"])
+            texts = [t.as_py().encode() for t in batch.column(2)]
+            found = [pa.array([f(t) for t in texts], pa.int64()) for f in (lambda t: len(terms(t)), len)]
+            yield pa.RecordBatch.from_arrays([*found, *batch.columns], names=["n", "size", "doc_id", "deal", "text"])
 
     rows = id_and_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("deal"), "text")
-    rows = written(rows.mapInArrow(count, "n bigint, doc_id bigint, deal bigint, text string").filter("n > 0"), "counted")
-    total = rows.agg(F.count("*").alias("docs"), F.sum("n").alias("terms"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    segments = max(1, math.ceil((total.bytes or 0) / segment_bytes))
+    rows = written(rows.mapInArrow(count, "n bigint, size bigint, doc_id bigint, deal bigint, text string").filter("n > 0"), "counted")
+    total = rows.agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
+    m = F.expr(f"100 - 90 + (90L * n * {total.docs}L) div {total.terms or 1}L")
+    class_of = F.floor(CLASSES * F.log2(F.col("m").cast("double"))).cast("int")
+    counted = rows.withColumn("m", m).withColumn("class", class_of)
+    # Bytes per class of m (CLASSES to an octave, some thousands at most) tell which segments a class goes to.
+    sizes = sorted(map(tuple, counted.groupBy("class").agg(F.sum("size")).collect()))
+    places, at = [], 0
+    for number, size in sizes:
+        places.append((number, at // segment_bytes, (at + size - 1) // segment_bytes - at // segment_bytes + 1))
+        at += size
+    segments = max(1, math.ceil(at / segment_bytes))
+    table = F.broadcast(docs.sparkSession.createDataFrame(places, "class int, first bigint, several bigint"))
     dealt = (
-        rows.select("doc_id", F.expr(f"100 - 90 + (90L * n * {total.docs}L) div {total.terms or 1}L").alias("m"), "deal", "text")
-        .repartitionByRange(segments, "m", "deal")
-        .select(F.spark_partition_id().alias("segment"), "doc_id", "m", "text")
+        counted.join(table, "class")
+        .select((F.col("first") + F.pmod("deal", "several")).cast("int").alias("segment"), "doc_id", "m", "text")
+        .repartitionById(segments, "segment")
+        .sortWithinPartitions("segment")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary: dict[bytes, int] = {}
-        number, ids, normalisers, lengths, term, tf = 0, [], [], [], array("i"), array("i")
-        for segment, doc_ids, ms, texts in slices(batches):
-            number = segment[0]
-            ids += [NO_ID if i is None else i for i in doc_ids]
-            normalisers += ms
-            for text in texts:
-                counts = Counter(terms(text.encode()))
-                lengths.append(len(counts))
-                term.extend([vocabulary.setdefault(w, len(vocabulary)) for w in counts])
-                tf.extend(counts.values())
-        if ids:
-            arrays = (np.array(ids), np.array(normalisers), np.array(lengths), list(vocabulary), np.array(term, np.int32), np.array(tf, np.int32))
-            yield from _segment(number, *arrays)
+        now = None
+        for segment, *columns in slices(batches):
+            # A slice may hold the end of one segment and the beginning of the next.
+            at = 0
+            while at < len(segment):
+                end = at + segment[at:].count(segment[at])
+                if segment[at] != now:
+                    if now is not None:
+                        yield from held.rows(now)
+                    now, held = segment[at], _Postings()
+                held.add(*(c[at:end] for c in columns))
+                at = end
+        if now is not None:
+            yield from held.rows(now)
 
     return Index(written(dealt.mapInArrow(run, _POSTINGS), "index"), total.docs, segments)
 
