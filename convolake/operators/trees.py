@@ -210,7 +210,7 @@ def subtree_sizes(df: DataFrame) -> DataFrame:
 
 
 def linearised(df: DataFrame) -> DataFrame:
-    """Pre-order ``position`` in the conversation and ``on_last_branch`` (the newest sibling at every level).
+    """Pre-order ``position`` in the conversation, ``level`` (0 at a root) and ``on_last_branch`` (the newest sibling at every level).
 
     A row comes after its ancestors and the subtrees of their earlier siblings, so its position is a sum along its
     path.
@@ -226,10 +226,12 @@ def linearised(df: DataFrame) -> DataFrame:
         {
             "_pos": ("sum", F.col("_upto") - F.col("size") + 1),
             "_off": ("sum", F.when(F.col("sibling") == F.col("_last"), 0).otherwise(1)),
+            "_deep": ("sum", F.lit(1).cast("bigint")),
         },
     )
-    return folded.withColumns({"position": F.col("_pos") - 1, "on_last_branch": F.col("_off") == 0}).drop(
-        "_pos", "_off", "_upto", "_last", "size", "root", "resolved"
+    placed = {"position": F.col("_pos") - 1, "level": F.col("_deep") - 1, "on_last_branch": F.col("_off") == 0}
+    return folded.withColumns(placed).drop(
+        "_pos", "_off", "_deep", "_upto", "_last", "size", "root", "resolved"
     )
 
 

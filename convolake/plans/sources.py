@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convolake.functions.text import clean_text
+from convolake.operators import fragments as Fr
 from convolake.plans.registry import query
 from convolake.plans.text import clean_sql
 from convolake.plans.trees import LINEAR_SQL
@@ -116,11 +117,8 @@ def _(t):
     return t.documents.select("doc_id", I.json_format(document).alias("format"))
 
 
-BLOCK = 64  # messages per written document
-
-
 def node_documents(t):
-    """Node-map exports of conversation blocks."""
+    """Node-map exports, one per conversation."""
     turn = F.col("turn")
     ident = lambda n: F.concat(F.lit("n"), n.cast("string"))
     message = F.struct(
@@ -129,20 +127,16 @@ def node_documents(t):
         F.struct(F.when(turn % 3 == 0, "gpt-4-turbo").when(turn % 3 == 1, "text-model").alias("model_slug")).alias("metadata"),
     )
     node = F.struct(ident(turn).alias("id"), message.alias("message"), F.when(turn > 0, ident(turn - 1)).alias("parent"))
-    docs = t.conversations.groupBy("conv_id", F.floor(turn / BLOCK).alias("block")).agg(
-        F.map_from_entries(F.collect_list(F.struct(ident(turn), node))).alias("mapping")
-    )
-    document = F.to_json(
-        F.array(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("title"), F.lit(1700000000.5).alias("create_time"), "mapping"))
-    )
-    return docs.select(F.concat_ws("-", "conv_id", "block").alias("doc"), document.alias("json"))
+    entry = F.concat(F.lit('"'), ident(turn), F.lit('":'), F.to_json(node))
+    parts = Fr.fragments(t.conversations, ["conv_id"], ["turn"], F.floor(turn / 512), entry)
+    head = F.concat(F.lit('[{"title":"c'), F.col("conv_id").cast("string"), F.lit('","create_time":1700000000.5,"mapping":{'))
+    return Fr.whole(parts, ["conv_id"], ",").select(F.col("conv_id").alias("doc"), F.concat(head, "value", F.lit("}}]")).alias("json"))
 
 
 @query(
     "s10_import_node_map",
-    f"""SELECT conv_id || '-' || turn // {BLOCK} AS doc, 'n' || turn AS source_id,
-          CASE WHEN EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role <> 'system'
-            AND p.turn // {BLOCK} = c.turn // {BLOCK}) THEN 'n' || (turn - 1) END AS source_parent,
+    """SELECT conv_id AS doc, 'n' || turn AS source_id,
+          CASE WHEN EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role <> 'system') THEN 'n' || (turn - 1) END AS source_parent,
           CASE WHEN turn % 3 <> 1 THEN 'GPT-4' WHEN role = 'user' THEN 'user' ELSE 'GPT-3.5' END AS sender,
           ['gpt-4-turbo', 'text-model', 'gpt-4o-mini'][CAST(turn % 3 + 1 AS INTEGER)] AS model, replace(text, '. ', ' ') AS text,
           CAST('2023-11-14 22:13:20.5' AS VARCHAR) AS created
@@ -157,48 +151,64 @@ def _(t):
 
 @query(
     "s11_import_history",
-    f"""WITH s AS (SELECT conv_id, turn // {BLOCK} AS b, role, text, row_number() OVER (PARTITION BY conv_id, turn // {BLOCK} ORDER BY turn) - 1 AS pos
+    f"""WITH s AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
           FROM conversations WHERE role IN ('user', 'assistant'))
-        SELECT conv_id || '-' || b AS doc, pos, conv_id || '-' || b || '-0-' || pos AS message_id,
-          CASE WHEN pos = 0 THEN '{I.NO_PARENT}' ELSE conv_id || '-' || b || '-0-' || (pos - 1) END AS parent_id, role, text FROM s""",
+        SELECT conv_id AS doc, pos, conv_id || '-0-' || pos AS message_id,
+          CASE WHEN pos = 0 THEN '{I.NO_PARENT}' ELSE conv_id || '-0-' || (pos - 1) END AS parent_id, role, text FROM s""",
 )
 def _(t):
-    turns = t.conversations.groupBy("conv_id", F.floor(F.col("turn") / BLOCK).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m")
-    )
-    messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
-    item = F.struct(F.lit("h").alias("id"), F.lit("n").alias("name"), messages.alias("messages"))
-    docs = turns.select(
-        F.concat_ws("-", "conv_id", "block").alias("doc"),
-        F.to_json(F.struct(F.lit(4).alias("version"), F.array(item).alias("history"))).alias("json"),
+    message = F.to_json(F.struct("role", F.col("text").alias("content")))
+    parts = Fr.fragments(t.conversations, ["conv_id"], ["turn"], F.floor(F.col("turn") / 512), message)
+    docs = Fr.whole(parts, ["conv_id"], ",").select(
+        F.col("conv_id").alias("doc"), F.concat(F.lit('{"version":4,"history":[{"id":"h","name":"n","messages":['), "value", F.lit("]}]}")).alias("json")
     )
     return I.import_history(docs, "doc", "json").select("doc", "pos", "message_id", "parent_id", "role", "text")
 
 
 def tree_documents(t):
-    nested = E.nested_documents(t.messages().drop("summary", "tokens"), F.floor(F.col("msg") / BLOCK))
-    return nested.select(
-        F.concat_ws("-", "conv_id", "block").alias("doc"),
-        F.concat(F.lit('{"conversationId":"c","title":"t","messagesTree":'), "json", F.lit("}")).alias("json"),
-    )
+    nested = E.nested_documents(t.messages().drop("summary", "tokens"), F.lit("t"))
+    return nested.select(F.col("conv_id").alias("doc"), "json")
 
 
 @query(
     "g6_flatten_tree",
-    f"""WITH RECURSIVE {LINEAR_SQL} SELECT m.conv_id || '-0' AS doc, CAST(m.msg AS VARCHAR) AS message_id,
-          CASE WHEN m.parent = -1 THEN '{I.NO_PARENT}' ELSE CAST(m.parent AS VARCHAR) END AS parent_id, m.role AS sender, m.text, len(p.path) - 1 AS depth
+    f"""WITH RECURSIVE {LINEAR_SQL} SELECT m.conv_id AS doc, CAST(m.msg AS VARCHAR) AS message_id,
+          CASE WHEN m.parent = -1 THEN '{I.NO_PARENT}' ELSE CAST(m.parent AS VARCHAR) END AS parent_id, m.role AS sender, m.text, len(p.path) - 1 AS depth,
+          m.created_at
         FROM msg m JOIN pre p USING (conv_id, msg)""",
 )
 def _(t):
-    docs = tree_documents(t)
-    _, messages = I.import_tree(docs, "doc", "json")
-    return messages.select("doc", "message_id", "parent_id", "sender", "text", (F.size("path") - 1).cast("bigint").alias("depth"))
+    _, messages = I.import_tree(tree_documents(t), "doc", "json")
+    return messages.drop("node")
+
 
+_GAPS = """gap AS (SELECT * REPLACE (CASE WHEN (conv_id + msg) % 9 = 4 THEN '' ELSE text END AS text, CASE WHEN msg % 3 <> 0 THEN created_at END AS created_at) FROM msg)"""
 
-@query("s12_import_tree", f"SELECT DISTINCT conv_id || '-' || turn // {BLOCK} AS doc, 't' AS title FROM conversations")
+
+def gappy(t):
+    """Messages of which some are empty and some without a date."""
+    m = t.messages().drop("summary", "tokens")
+    return m.withColumns({"text": F.when((F.col("conv_id") + F.col("msg")) % 9 == 4, "").otherwise(F.col("text")), "dated": F.when(F.col("msg") % 3 != 0, F.col("created_at"))})
+
+
+@query(
+    "s12_import_tree",
+    f"""WITH RECURSIVE {LINEAR_SQL}, {_GAPS},
+        kept AS (SELECT conv_id, msg FROM gap WHERE parent = -1 AND text <> ''
+          UNION ALL SELECT g.conv_id, g.msg FROM kept k JOIN gap g ON g.conv_id = k.conv_id AND g.parent = k.msg WHERE g.text <> '')
+        SELECT c.conv_id AS doc, CASE WHEN c.conv_id % 2 = 0 THEN 'Chat "' || c.conv_id || '"' ELSE 'Imported Chat' END AS title,
+          arg_min(g.created_at, l.position) FILTER (g.created_at IS NOT NULL) AS created_at, count(g.msg) AS n_messages
+        FROM (SELECT DISTINCT conv_id FROM msg) c LEFT JOIN kept k ON k.conv_id = c.conv_id LEFT JOIN gap g ON g.conv_id = k.conv_id AND g.msg = k.msg
+        LEFT JOIN lin l ON l.conv_id = g.conv_id AND l.msg = g.msg GROUP BY c.conv_id""",
+)
 def _(t):
-    head, _ = I.import_tree(tree_documents(t), "doc", "json")
-    return head.select("doc", "title")
+    """Exported and imported again: the title's default, the first date of the messages kept, their number."""
+    head = E.message_head(F.date_format("dated", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    title = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('Chat "'), F.col("conv_id").cast("string"), F.lit('"'))).otherwise("")
+    docs = E.nested_documents(gappy(t), title, head).select(F.col("conv_id").alias("doc"), "json")
+    heads, messages = I.import_tree(docs, "doc", "json")
+    n = messages.groupBy("doc").agg(F.count("*").alias("n_messages"))
+    return heads.join(n, "doc", "left").select("doc", "title", "created_at", F.coalesce("n_messages", F.lit(0)).alias("n_messages"))
 
 
 @query(
@@ -224,7 +234,7 @@ def _(t):
 @query(
     "s15_csv_export",
     f"""WITH RECURSIVE {LINEAR_SQL} SELECT conv_id, role AS sender, text, role = 'user' AS "isCreatedByUser", FALSE AS error, FALSE AS unfinished,
-          msg AS "messageId", parent AS "parentMessageId" FROM msg""",
+          msg AS "messageId", parent AS "parentMessageId", strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') AS "createdAt" FROM msg""",
 )
 def _(t):
     path = fresh_path(t.spark, "csv")
@@ -233,22 +243,31 @@ def _(t):
         "conv_id BIGINT, sender STRING, text STRING, isCreatedByUser BOOLEAN, error BOOLEAN, unfinished BOOLEAN, "
         "messageId BIGINT, parentMessageId BIGINT, createdAt STRING"
     )
-    return t.spark.read.csv(path, schema=shape, header=True, multiLine=True, escape='"').drop("createdAt")
+    rows = t.spark.read.csv(path, schema=shape, header=True, multiLine=True, escape='"')
+    return rows.withColumn("createdAt", F.date_format(F.to_timestamp_ntz("createdAt"), "yyyy-MM-dd'T'HH:mm:ss.SSS"))
 
 
 @query(
     "s16_json_export",
-    f"""WITH RECURSIVE {LINEAR_SQL} SELECT conv_id, position, msg, parent, role FROM msg JOIN lin USING (conv_id, msg)""",
+    f"""WITH RECURSIVE {LINEAR_SQL} SELECT conv_id, position, msg, parent, role, text FROM msg JOIN lin USING (conv_id, msg)""",
 )
 def _(t):
     lines = E.json_lines(t.messages(), ["msg", "parent", "role", "text"])
-    shape = "struct<msg:bigint,parent:bigint,role:string>"
+    shape = "struct<msg:bigint,parent:bigint,role:string,text:string>"
     return lines.select("conv_id", "position", F.from_json("json", shape).alias("j")).select("conv_id", "position", "j.*")
 
 
-@query("s16_json_nested")
+@query(
+    "s16_json_nested",
+    f"""WITH RECURSIVE {LINEAR_SQL}, f AS (SELECT m.*, position, len(path) - 1 AS level, path[-1] AS sibling FROM msg m JOIN lin USING (conv_id, msg) JOIN pre USING (conv_id, msg)),
+        g AS (SELECT *, lead(level, 1, 0) OVER (PARTITION BY conv_id ORDER BY position) AS next FROM f)
+        SELECT conv_id, count(*) AS n, md5('{{"conversationId":"' || conv_id || '","title":"t","recursive":true,"messagesTree":[' || string_agg(
+          CASE WHEN sibling > 0 THEN ',' ELSE '' END || '{{"messageId":"' || msg || '","text":' || to_json(text)::VARCHAR || ',"sender":"' || role || '","createdAt":"'
+          || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ') || '","children":[' || repeat(']}}', level - next + 1), '' ORDER BY position) || ']}}') AS json_md5
+        FROM g GROUP BY conv_id""",
+)
 def _(t):
-    return E.nested_documents(t.messages(), F.floor(F.col("msg") / BLOCK))
+    return E.nested_documents(t.messages(), F.lit("t")).select("conv_id", "n", F.md5("json").alias("json_md5"))
 
 
 def transcript_sql(head: str, body: str) -> str:

@@ -54,9 +54,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: the rows are computed once and survive the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a table in the shared folder: computed once, safe against the loss of executors.
+
+    A checkpoint would keep the size estimate of the plan behind it. Joins multiply such estimates, so that a loop of
+    joins ends up with numbers whose arithmetic alone takes minutes; a written table has the size of its files.
+    """
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

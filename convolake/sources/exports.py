@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convolake.operators import fragments, scan
 from convolake.operators.trees import linearised
 from convolake.session import cut_lineage
 
@@ -12,6 +13,11 @@ from convolake.session import cut_lineage
 CSV_COLUMNS = ["sender", "text", "isCreatedByUser", "error", "unfinished", "messageId", "parentMessageId", "createdAt"]
 
 
+# Head lines of the Markdown and of the text transcript, and notes on messages.
+MD_HEAD, MD_HISTORY = "# Conversation\n- conversationId: ", "\n\n## History"
+TEXT_HEAD, TEXT_HISTORY = "Conversation\n########################\nconversationId: ", "\n\nHistory\n########################"
+
+
 def csv_rows(messages: DataFrame, branches: bool = True) -> DataFrame:
     """Export rows with their order; the chosen branch only when ``branches`` is off."""
     rows = linearised(messages)
@@ -48,13 +54,7 @@ def transcript(messages: DataFrame, style: str = "md") -> DataFrame:
     A transcript is the blocks in order; it is never built as one string.
     """
     md = style == "md"
-    head_text = (
-        F.concat(F.lit("# Conversation\n- conversationId: "), F.col("conv_id").cast("string"), F.lit("\n\n## History"))
-        if md
-        else F.concat(
-            F.lit("Conversation\n########################\nconversationId: "), F.col("conv_id").cast("string"), F.lit("\n\nHistory\n########################")
-        )
-    )
+    head_text = F.concat(F.lit(MD_HEAD if md else TEXT_HEAD), F.col("conv_id").cast("string"), F.lit(MD_HISTORY if md else TEXT_HISTORY))
     body = (
         F.concat(F.lit("**"), "role", F.lit("**\n"), "text") if md else F.concat(F.lit(">> "), "role", F.lit(":\n"), "text")
     )
@@ -76,37 +76,33 @@ def json_lines(messages: DataFrame, columns: list[str]) -> DataFrame:
     return linearised(messages).select("conv_id", "position", F.to_json(F.struct(*columns)).alias("json"))
 
 
-def nested_documents(messages: DataFrame, block: Column) -> DataFrame:
-    """(conv_id, block, json): trees of nested ``children`` for blocks of bounded size.
+def nested_fragments(messages: DataFrame, head: Column) -> DataFrame:
+    """(conv_id, position, fragment): the messages as nested ``children``, in pre-order, to be joined without separator.
 
-    Built from the leaves up, one level per round; a message whose parent lies in another block is a root of its own.
+    ``head`` is a message's JSON object without children. A fragment opens its message and closes those that end before the
+    next one, so a tree of any size and depth is written row by row; the joined fragments are the items of one array.
     """
-    from convolake.operators.trees import depths
-
-    cut = messages.withColumn("block", block)
-    inside = cut.select("conv_id", "block", F.col("msg").alias("parent"), F.lit(True).alias("_in"))
-    linked = cut.join(inside, ["conv_id", "block", "parent"], "left").withColumn(
-        "parent", F.when(F.col("_in"), F.col("parent")).otherwise(F.lit(-1))
-    )
-    rows = cut_lineage(depths(linked.drop("_in")).select("conv_id", "block", "msg", "parent", "role", "text", "depth"))
-    level = rows.agg(F.max("depth")).first()[0]
-    below = None
-    while level is not None and level >= 0:
-        here = rows.filter(F.col("depth") == level)
-        if below is not None:
-            here = here.join(below, ["conv_id", "msg"], "left")
-        else:
-            here = here.withColumn("children", F.lit(None).cast("string"))
-        head = F.to_json(F.struct(F.col("msg").cast("string").alias("messageId"), "text", F.col("role").alias("sender")))
-        body = F.concat(
-            F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]}")
-        )
-        below = cut_lineage(
-            here.withColumn("_json", body)
-            .groupBy("conv_id", F.col("parent").alias("msg"), *(["block"] if level == 0 else []))
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("msg", "_json"))), lambda x: x["_json"]), ",").alias("children"))
-        )
-        if level > 0:
-            below = below.select("conv_id", "msg", "children")
-        level -= 1
-    return below.select("conv_id", "block", F.concat(F.lit("["), "children", F.lit("]")).alias("json"))
+    rows = linearised(messages).withColumn("_head", head).select("conv_id", "position", "level", "sibling", "_head")
+    rows = cut_lineage(rows)
+    # positions are read from the end: the row before is the next one in the document
+    after = scan.with_previous(rows, ["conv_id"], ["position"], fragments.block(), {"_next": "level"}, desc=True)
+    opened = F.concat(F.substr("_head", F.lit(1), F.length("_head") - 1), F.lit(',"children":['))
+    closed = F.repeat(F.lit("]}"), (F.col("level") - F.coalesce("_next", F.lit(0)) + 1).cast("int"))
+    comma = F.when(F.col("sibling") > 0, ",").otherwise("")
+    return after.select("conv_id", "position", F.concat(comma, opened, closed).alias("fragment"))
+
+
+def message_head(created: Column | None = None) -> Column:
+    """The JSON object of a message as nested exports write it; null fields are left out."""
+    at = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if created is None else created
+    return F.to_json(F.struct(F.col("msg").cast("string").alias("messageId"), "text", F.col("role").alias("sender"), at.alias("createdAt")))
+
+
+def nested_documents(messages: DataFrame, title: Column, head: Column | None = None) -> DataFrame:
+    """(conv_id, n, json): one recursive export per conversation, null where it is too long for one value."""
+    parts = nested_fragments(messages, message_head() if head is None else head)
+    whole = fragments.whole(parts, ["conv_id"])
+    lead = F.concat(F.lit('{"conversationId":"'), F.col("conv_id").cast("string"), F.lit('","title":'), F.to_json(F.array(title)))
+    # to_json of an array quotes the title; its brackets go
+    lead = F.regexp_replace(lead, r'"title":\[(.*)\]$', '"title":$1')
+    return whole.select("conv_id", "n", F.concat(lead, F.lit(',"recursive":true,"messagesTree":['), "value", F.lit("]}")).alias("json"))

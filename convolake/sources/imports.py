@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from json.decoder import scanstring
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolake.functions.content import splice
+from convolake.operators.trees import fold_to_root
 from convolake.session import cut_lineage
 
 # Fixed value: parent of a first message.
@@ -19,7 +26,6 @@ NODE_MAP = f"""struct<title:string,create_time:double,mapping:map<string,struct<
   content:struct<content_type:string,parts:array<string>,language:string,text:string>,
   metadata:struct<model_slug:string,citations:array<{_CITATION}>>>>>>"""
 HISTORY = "struct<version:int,history:array<struct<id:string,name:string,model:struct<id:string>,messages:array<struct<role:string,content:string>>>>>"
-TREE_LEVEL = "array<struct<messageId:string,text:string,content:string,sender:string,createdAt:string,children:string>>"
 
 
 def json_format(document: Column) -> Column:
@@ -144,60 +150,111 @@ def import_history(documents: DataFrame, doc: str, json: str) -> DataFrame:
     )
 
 
-def flatten_tree(documents: DataFrame, doc: str, json: str) -> DataFrame:
-    """Rows of nested ``children`` arrays with parent pointers; an empty message goes with all below it.
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def document_nodes(text: str) -> tuple[dict, list[tuple[int, int, int, dict]]]:
+    """Fields of an exported conversation and its messages (node, parent node, depth, fields), numbered in document order.
 
-    One pass per level; ``path`` holds the positions from the root and orders rows as written.
+    One walk with a stack of its own, so that neither depth nor size of the nesting is bounded. Raises on broken JSON.
     """
-    level = documents.select(
-        doc, F.array().cast("array<int>").alias("path"), F.lit(NO_PARENT).alias("parent_id"), F.col(json).alias("_json")
-    )
-    out = None
-    while True:
-        rows = (
-            level.select(doc, "path", "parent_id", F.posexplode(F.from_json("_json", TREE_LEVEL)).alias("_i", "_m"))
-            .filter((F.coalesce("_m.text", F.lit("")) != "") | F.col("_m.content").isNotNull())
-            .select(
-                doc,
-                F.concat("path", F.array("_i")).alias("path"),
-                F.col("_m.messageId").alias("message_id"),
-                "parent_id",
-                F.col("_m.sender").alias("sender"),
-                F.col("_m.text").alias("text"),
-                F.to_timestamp_ntz("_m.createdAt").alias("created_at"),
-                F.col("_m.children").alias("_json"),
-            )
-        )
-        rows = cut_lineage(rows)
-        out = rows.drop("_json") if out is None else out.unionByName(rows.drop("_json"))
-        level = rows.filter(F.col("_json").isNotNull() & (F.col("_json") != "[]")).select(
-            doc, "path", F.col("message_id").alias("parent_id"), "_json"
-        )
-        if level.isEmpty():
-            return out
+    decode = json.JSONDecoder().raw_decode
+    skip = lambda at: _SPACE.match(text, at).end()
+    head: dict = {}
+    nodes: list[tuple[int, int, int, dict]] = []
+    open_: list[tuple[int, dict, tuple[str, ...]]] = [(-1, head, ("messagesTree", "messages"))]
+    at, in_object = skip(0), True
+    if text[at : at + 1] != "{":
+        raise ValueError("no conversation")
+    at, count = at + 1, 0
+    while open_:
+        at = skip(at)
+        mark = text[at]
+        if mark == ",":
+            at += 1
+        elif in_object and mark == "}":
+            number, fields, _ = open_.pop()
+            if number >= 0:
+                nodes.append((number, open_[-1][0], len(open_) - 1, fields))
+            at, in_object = at + 1, False
+        elif in_object:
+            if mark != '"':
+                raise ValueError(f"no key at {at}")
+            key, at = scanstring(text, at + 1)
+            at = skip(at)
+            if text[at] != ":":
+                raise ValueError(f"no value at {at}")
+            at = skip(at + 1)
+            if key in open_[-1][2] and text[at] == "[":
+                at, in_object = at + 1, False
+            else:
+                open_[-1][1][key], at = decode(text, at)
+        elif mark == "]":
+            at, in_object = at + 1, True
+        elif mark == "{":
+            open_.append((count, {}, ("children",)))
+            at, in_object, count = at + 1, True, count + 1
+        else:
+            _, at = decode(text, at)
+    return head, nodes
 
 
-def import_tree(documents: DataFrame, doc: str, json: str) -> tuple[DataFrame, DataFrame]:
-    """(conversations, messages) of nested exports; the first date in document order dates the conversation."""
-    shape = "struct<conversationId:string,title:string,messages:string,messagesTree:string>"
-    head = documents.select(doc, F.from_json(json, shape).alias("h")).select(
-        doc, "h.title", F.coalesce("h.messagesTree", "h.messages").alias("_tree")
-    )
-    messages = flatten_tree(head, doc, "_tree")
-    dates = (
-        messages.filter("created_at IS NOT NULL").groupBy(doc).agg(F.min_by("created_at", "path").alias("created_at"))
-    )
-    return head.drop("_tree").join(dates, doc, "left"), messages
+_NODES = "node bigint, parent bigint, depth int, message_id string, parent_message string, sender string, text string, created string, empty boolean, title string, recursive boolean"
 
 
-def remap_parents(messages: DataFrame, doc: str, salt: str) -> DataFrame:
-    """New ids for imported rows; the same rule on both columns keeps the tree."""
-    new = lambda c: F.sha2(F.concat_ws("|", F.lit(salt), F.col(doc).cast("string"), F.col(c)), 256)
-    return messages.withColumns(
-        {
-            "message_id": new("message_id"),
-            "parent_id": F.when(F.col("parent_id") == NO_PARENT, NO_PARENT).otherwise(new("parent_id")),
-        }
-    )
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
 
 
+def document_rows(documents: DataFrame, doc: str, json_column: str) -> DataFrame:
+    """A row per message of each export and one (node -1) for its head; a document that is not JSON gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                try:
+                    head, nodes = document_nodes(batch.column(1)[i].as_py() or "")
+                except (ValueError, IndexError):
+                    continue
+                recursive = bool(head.get("recursive", True))
+                rows = [(-1, -2, -1, None, None, None, None, None, False, _text(head.get("title")), recursive)]
+                for node, parent, depth, m in nodes:
+                    empty = not m.get("text") and not m.get("content")
+                    fields = (_text(m.get(k)) or None for k in ("messageId", "parentMessageId", "sender", "text", "createdAt"))
+                    rows.append((node, parent, depth, *fields, empty, None, recursive))
+                for at in range(0, len(rows), 10_000):
+                    part = rows[at : at + 10_000]
+                    ids = pa.array([batch.column(0)[i].as_py()] * len(part), batch.column(0).type)
+                    columns = [pa.array(c, k) for c, k in zip(zip(*part, strict=True), _KINDS, strict=True)]
+                    yield pa.RecordBatch.from_arrays([ids, *columns], names=[doc, *_NAMES])
+
+    kind = documents.schema[doc].dataType.simpleString()
+    return documents.select(doc, json_column).mapInArrow(run, f"{doc} {kind}, {_NODES}")
+
+
+_NAMES = [c.split()[0] for c in _NODES.split(", ")]
+_KINDS = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in _NODES.split(", ")]
+
+
+def import_tree(documents: DataFrame, doc: str, json: str, title: str = "Imported Chat") -> tuple[DataFrame, DataFrame]:
+    """(conversations, messages) of own exports, nested (``recursive``, also where they do not say) or linear.
+
+    Conversations: (doc, title, created_at), with the first date in document order among the messages kept, null without
+    any. Messages: (doc, node, depth, message_id, parent_id, sender, text, created_at). In a nested export an empty
+    message goes with all below it and the nesting tells the parent; a linear one names the parents itself.
+    """
+    rows = cut_lineage(document_rows(documents, doc, json))
+    nodes = rows.filter("node >= 0")
+    forest = nodes.select(F.col(doc).alias("conv_id"), F.col("node").alias("msg"), "parent", "empty")
+    lost = fold_to_root(forest, {"lost": ("max", F.col("empty").cast("int"))}).filter("lost = 1")
+    lost = lost.select(F.col("conv_id").alias(doc), F.col("msg").alias("node"))
+    kept = nodes.filter("recursive").join(lost, [doc, "node"], "left_anti").unionByName(nodes.filter("NOT recursive"))
+    above = nodes.select(doc, F.col("node").alias("parent"), F.col("message_id").alias("_above"))
+    parent = F.when(F.col("recursive"), F.col("_above")).otherwise(F.col("parent_message"))
+    messages = kept.join(above, [doc, "parent"], "left").select(
+        doc, "node", "depth", "message_id", F.coalesce(parent, F.lit(NO_PARENT)).alias("parent_id"), "sender", "text", F.to_timestamp_ntz("created").alias("created_at")
+    )
+    messages = cut_lineage(messages)
+    dates = messages.filter("created_at IS NOT NULL").groupBy(doc).agg(F.min_by("created_at", "node").alias("created_at"))
+    heads = rows.filter("node = -1").select(doc, F.coalesce(F.nullif("title", F.lit("")), F.lit(title)).alias("title"))
+    return heads.join(dates, doc, "left"), messages
