@@ -11,6 +11,7 @@ host mark, tell which slots are the article's.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -40,6 +41,8 @@ CHROME_WORDS = frozenset(
     "header breadcrumb breadcrumbs cookie cookies consent notice popup modal newsletter subscribe share social related "
     "comment comments reply replies disqus widget toolbar masthead pagination pager copyright".split()
 )
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
+IN_HEAD = frozenset("title base link meta style script noscript template".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 AUTO_CLOSE = {
     "p": frozenset(
@@ -55,16 +58,28 @@ AUTO_CLOSE = {
 }
 
 
+LEAST_OF_PAGE = 4  # an element named by a part of a class name is boilerplate if it has at most 1 / LEAST_OF_PAGE of the page's text
+
+
+def class_names(attributes: list[tuple[str, str | None]]) -> set[str]:
+    return {n for name, value in attributes if name in ("class", "id") and value for n in value.lower().split()}
+
+
 def is_named(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
     """Whether a whole class name or id is a word for boilerplate; only a hint, and none on elements that hold a page or its article."""
-    if tag in HOLDERS:
-        return False
-    return any(name in ("class", "id") and value and CHROME_WORDS.intersection(value.lower().split()) for name, value in attributes)
+    return tag not in HOLDERS and bool(CHROME_WORDS & class_names(attributes))
+
+
+def is_partly_named(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether a part of a class name or id (``site-footer``) is one; a weaker hint."""
+    return tag not in HOLDERS and any(CHROME_WORDS.intersection(re.split("[-_]+", n)) for n in class_names(attributes))
 
 
 def is_chrome(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
     if tag in CHROME:
         return True
+    if tag == "article" and any(COMMENT_WORDS.intersection(re.split("[-_]+", n)) for n in class_names(attributes)):
+        return True
     for name, value in attributes:
         if name == "role" and value and value.lower() in CHROME_ROLES:
             return True
@@ -83,6 +98,8 @@ class Blocks(HTMLParser):
         self.words: list[str] = []
         self.named = 0
         self.around: set[int] = set()  # named elements around an article
+        self.weak: dict[int, int] = {}  # elements named by a part of a class name, with the length of their text
+        self.length = 0
         self.free_article = False  # an article that no named element is around
 
     def flush(self) -> None:
@@ -92,6 +109,10 @@ class Blocks(HTMLParser):
             _, chrome, invisible, article, named = self.stack[-1]
             if not invisible:
                 self.found.append((self.path(), text, chrome, article, named))
+                self.length += len(text)
+                for n in named:
+                    if n in self.weak:
+                        self.weak[n] += len(text)
 
     def path(self) -> str:
         return "/".join(t for t, *_ in self.stack if t not in INLINE)
@@ -107,6 +128,8 @@ class Blocks(HTMLParser):
             self.stack.pop()
 
     def handle_starttag(self, tag, attrs):
+        if self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            self.handle_endtag("head")  # its end tag may be left out
         top = self.stack[-1]
         if tag == "br":
             self.words.append(" ")
@@ -127,10 +150,13 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         _, chrome, invisible, article, named = self.stack[-1]
-        chrome, invisible = chrome or is_chrome(tag, attrs), invisible or tag in INVISIBLE
-        if is_named(tag, attrs):
+        inner = tag == "article" and any(t == "article" for t, *_ in self.stack)  # an article in an article is a comment on it
+        chrome, invisible = chrome or inner or is_chrome(tag, attrs), invisible or tag in INVISIBLE
+        if is_partly_named(tag, attrs):
             self.named += 1
             named = (*named, self.named)
+            if not is_named(tag, attrs):
+                self.weak[self.named] = 0
         if tag in ARTICLE and not chrome and not invisible:
             self.around.update(named)
             self.free_article |= not named
@@ -146,6 +172,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.stack[-1][0] == "head" and data.strip():
+            self.handle_endtag("head")
         self.words.append(data)
 
     def blocks(self, page: str) -> list[tuple[str, str, bool, bool]]:
@@ -153,12 +181,14 @@ class Blocks(HTMLParser):
         self.close()
         self.flush()
         self.close_from(1)
-        kept = set() if self.free_article else self.around  # the page's article is in them
+        kept = set() if self.free_article else set(self.around)  # the page's article is in them
+        kept |= {n for n, length in self.weak.items() if LEAST_OF_PAGE * length > self.length}
+        kept |= self.around & set(self.weak)
         return [(path, text, chrome or any(n not in kept for n in named), article) for path, text, chrome, article, named in self.found]
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """A row per page with its host and its tokens in order, tags with a null text; pages without any have an empty list."""
+    """A row per page with its host and its tokens in order; tags and boilerplate have a null text, pages without tokens an empty list."""
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^\w+://([^/:?#]+)", 1))
     rows = pages.select("page_id", "url", text_key(html).alias("content"), host.alias("host"), html.alias("html"))
@@ -169,7 +199,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
             for page in frame["html"]:
                 out.append(
                     [
-                        {"token": xxhash.xxh64_intdigest(f"{path}\n{text or ''}") - 2**63, "text": text, "chrome": chrome, "article": article}
+                        {"token": xxhash.xxh64_intdigest(f"{path}\n{text or ''}") - 2**63, "text": None if chrome else text, "chrome": chrome, "article": article}
                         for path, text, chrome, article in Blocks().blocks(page)
                     ]
                 )
