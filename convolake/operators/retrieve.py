@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from convolake.functions import fixed
 from convolake.functions.text import SPACE, keywords
+from convolake.session import cut_lineage
 
 try:
     import ahocorasick
@@ -20,6 +22,7 @@ except ImportError:  # the join form needs no library
 # Bounds of the two ways to find nearest vectors: a question set up to this size is sent to every task, a larger one
 # is met block by block; the block sizes bound what one task holds.
 BROADCAST_QUESTIONS = 2000
+QUESTION_BLOCK = 512
 BROADCAST_KEYWORDS = 200_000
 BROADCAST_KEYWORD_CHARS = 4_000_000
 DOCUMENT_BLOCK = 20000
@@ -44,11 +47,11 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def _block_best(q_ids, q_mat, ids, mat, k: int) -> pd.DataFrame:
     scores = np.round(q_mat @ mat.T, SCORE_DIGITS) + 0.0
-    out = []
-    for row, q in enumerate(q_ids):
-        pick = _best(scores[row], ids, k)
-        out.append(pd.DataFrame({"q_id": q, "doc_id": ids[pick], "score": scores[row][pick]}))
-    return pd.concat(out) if out else pd.DataFrame({"q_id": [], "doc_id": [], "score": []})
+    picks = [_best(row, ids, k) for row in scores]
+    sizes = [len(p) for p in picks]
+    flat = np.concatenate(picks) if picks else np.empty(0, np.int64)
+    of = np.repeat(np.arange(len(picks)), sizes)
+    return pd.DataFrame({"q_id": np.asarray(q_ids)[of], "doc_id": ids[flat], "score": scores[of, flat] if len(picks) else []})
 
 
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -64,9 +67,8 @@ def nearest(questions: DataFrame, docs: DataFrame, k: int = fixed.TOP_K) -> Data
     ever shuffled beyond those.
     """
     schema = "q_id bigint, doc_id bigint, score double"
-    n_questions = questions.count()
-    if n_questions <= BROADCAST_QUESTIONS:
-        rows = questions.limit(BROADCAST_QUESTIONS).collect()
+    rows = questions.limit(BROADCAST_QUESTIONS + 1).collect()
+    if len(rows) <= BROADCAST_QUESTIONS:
         shared = questions.sparkSession.sparkContext.broadcast(
             (np.array([r["q_id"] for r in rows]), _matrix([r["vector"] for r in rows]) if rows else None)
         )
@@ -95,35 +97,38 @@ def nearest_by_blocks(
     questions: DataFrame,
     docs: DataFrame,
     k: int,
-    question_block: int = BROADCAST_QUESTIONS,
+    question_block: int = QUESTION_BLOCK,
     document_block: int = DOCUMENT_BLOCK,
 ) -> DataFrame:
-    """Grid of question blocks and document blocks, met by a co-grouped equi-join; k rows per question and cell."""
-    q_blocks = max(1, math.ceil(questions.count() / question_block))
-    d_blocks = max(1, math.ceil(docs.count() / document_block))
-    left = questions.select(
-        "q_id",
-        "vector",
-        F.pmod(F.hash("q_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("db"),
-    )
-    right = docs.select(
-        "doc_id",
-        "vector",
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
-        F.pmod(F.hash("doc_id"), F.lit(d_blocks)).alias("db"),
-    )
+    """The same for question sets of any size: documents are dealt to blocks once, and all questions pass by every block.
+
+    In a block the documents come first and are held; questions follow in batches, of which ``question_block`` are compared at
+    a time, and leave as k rows each. So a task holds one block of documents whatever the number of questions.
+    """
+    blocks = max(1, math.ceil(docs.count() / document_block))
+    held = docs.select(F.pmod(F.hash("doc_id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "vector")
+    asked = questions.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), F.col("q_id").alias("id"), "vector")
 
-    def cell(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(d) == 0:
-            return pd.DataFrame({"q_id": [], "doc_id": [], "score": []})
-        return _block_best(q["q_id"].to_numpy(), _matrix(q["vector"]), d["doc_id"].to_numpy(), _matrix(d["vector"]), k)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ids, parts, mat = None, [], [], None
+        for pdf in batches:
+            for (block, kind), part in pdf.groupby(["block", "kind"], sort=False):
+                if block != now:
+                    now, ids, parts, mat = block, [], [], None
+                if kind == 0:
+                    ids.append(part["id"].to_numpy())
+                    parts.append(_matrix(part["vector"]))
+                    continue
+                if mat is None:
+                    if not parts:
+                        continue
+                    ids, mat, parts = np.concatenate(ids), np.concatenate(parts), []
+                for at in range(0, len(part), question_block):
+                    q = part.iloc[at : at + question_block]
+                    yield _block_best(q["id"].to_numpy(), _matrix(q["vector"]), ids, mat, k)
 
-    return (
-        left.groupBy("qb", "db")
-        .cogroup(right.groupBy("qb", "db"))
-        .applyInPandas(cell, "q_id bigint, doc_id bigint, score double")
-    )
+    rows = held.unionByName(asked).repartitionById(blocks, "block").sortWithinPartitions("block", "kind")
+    return rows.mapInPandas(run, "q_id bigint, doc_id bigint, score double")
 
 
 def _grams(text: Column) -> Column:
@@ -176,7 +181,7 @@ def keyword_hits(questions: DataFrame, docs: DataFrame) -> DataFrame:
     A keyword set of bounded size goes to every task, which scans each document once and emits finished counts, so no
     token is shuffled. A larger set, or one without the automaton library, is met by an equi-join on tokens.
     """
-    words = question_keywords(questions).filter(F.col("keyword") != "")
+    words = cut_lineage(question_keywords(questions).filter(F.col("keyword") != ""))
     size = words.agg(F.count("*"), F.coalesce(F.sum(F.length("keyword")), F.lit(0))).first()
     if ahocorasick is not None and size[0] <= BROADCAST_KEYWORDS and size[1] <= BROADCAST_KEYWORD_CHARS:
         return keyword_hits_by_scan(words, docs)
@@ -186,7 +191,7 @@ def keyword_hits(questions: DataFrame, docs: DataFrame) -> DataFrame:
 def keyword_hits_by_scan(words: DataFrame, docs: DataFrame) -> DataFrame:
     """One pass over the documents with an automaton over all keywords (bounded by the caller)."""
     table = {}
-    for r in words.limit(BROADCAST_KEYWORDS).collect():
+    for r in words.collect():
         table.setdefault(r["keyword"], []).append((r["q_id"], r["times"]))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -247,7 +252,7 @@ def keyword_top(questions: DataFrame, docs: DataFrame, k: int = fixed.TOP_K) ->
     packed = filler.agg(F.collect_list(F.struct("doc_id", "is_long")).alias("rows")).withColumn("one", F.lit(1))
     fill = (
         questions.select("q_id", F.lit(1).alias("one"))
-        .join(packed, "one")
+        .join(F.broadcast(packed), "one")
         .select("q_id", F.explode("rows").alias("r"))
         .select("q_id", "r.doc_id", F.lit(0).cast("bigint").alias("hits"), "r.is_long")
     )

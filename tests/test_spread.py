@@ -98,3 +98,27 @@ def test_reverted(spark):
     assert got == [(1, 1, "a", "x", "unchanged", 3), (2, 1, "q", None, "unchanged", 1), (2, 2, None, None, "missing", 1), (3, 1, None, None, "missing", None)]
     got = M.reverted(versions, spark.createDataFrame([(1, 2)], "k int, wanted int"), ["k"], ["f", "g"]).collect()
     assert [tuple(r) for r in got] == [(1, 2, "b", "x", "appended", 4)]
+
+
+def test_questions_pass_by_resting_documents(spark):
+    """20 000 questions: the documents are dealt once, and every question finds what a plain search finds."""
+    import numpy as np
+
+    from convolake.operators import retrieve
+
+    rng = np.random.default_rng(5)
+    q, d = rng.integers(-3, 4, (20_000, 4)).astype(float), rng.integers(-3, 4, (300, 4)).astype(float)
+    frame = lambda m, key: spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], f"{key} bigint, vector array<double>")
+    found = retrieve.nearest_by_blocks(frame(q, "q_id"), frame(d, "doc_id"), 2, document_block=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    near = retrieve.nearest(frame(q, "q_id"), frame(d, "doc_id"), 2)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r.q_id, {})[r["rank"]] = (r.doc_id, r.score)
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    scores = np.round(unit(q) @ unit(d).T, 9) + 0.0
+    assert len(got) == 20_000
+    for i in range(0, 20_000, 371):
+        best = np.lexsort((np.arange(300), -scores[i]))[:2]
+        assert [got[i][n][0] for n in (1, 2)] == best.tolist()
