@@ -97,6 +97,7 @@ def keep_first_similar(
 ) -> DataFrame:
     """(group, key) of the kept texts: exact greedy result in the order of ``key`` inside each group.
 
+    Texts below ``min_chars`` go, but for the only text of a group, which stays whatever it is.
     Equal word sets collapse to their first text. The rest is indexed under its rarest words. Each round compares the
     first ``front`` texts of every index word, decides those whose earlier candidates are all in view, and compares the
     newly kept ones with the texts further down. A word shared by many near copies therefore costs one comparison per
@@ -124,4 +125,5 @@ def keep_first_similar(
         pivots = index.join(new, ["g", "k"], "left_semi")
         close = _similar(_candidates(pivots, rest, threshold), sets, threshold).select("g", "k").distinct()
         index = cut_lineage(rest.join(close, ["g", "k"], "left_anti"))
-    return kept.select(F.col("g").alias(group), F.col("k").alias(key))
+    only = df.groupBy(group).agg(F.count("*").alias("_n"), F.min(key).alias(key)).filter("_n = 1").select(group, key)
+    return kept.select(F.col("g").alias(group), F.col("k").alias(key)).unionByName(only).distinct()

@@ -96,7 +96,18 @@ def _(t):
     )
 
 
-@query("u5_keep_first_similar")
+@query(
+    "u5_keep_first_similar",
+    f"""WITH RECURSIVE w AS (SELECT source, doc_id, {_WORDS.format('text')} AS words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn
+          FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 20),
+        p AS (SELECT b.source, b.doc_id, list(a.doc_id) AS near FROM w a JOIN w b ON a.source = b.source AND a.rn < b.rn
+          WHERE len(b.words) > 0 AND len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) >= 0.7 GROUP BY ALL),
+        g(source, rn, kept) AS (SELECT DISTINCT source, 0::BIGINT, []::BIGINT[] FROM w
+          UNION ALL SELECT g.source, w.rn, CASE WHEN near IS NULL OR NOT list_has_any(near, kept) THEN list_append(kept, w.doc_id) ELSE kept END
+          FROM g JOIN w ON w.source = g.source AND w.rn = g.rn + 1 LEFT JOIN p ON p.source = w.source AND p.doc_id = w.doc_id)
+        SELECT source, unnest(kept) AS doc_id FROM (SELECT source, arg_max(kept, rn) AS kept FROM g GROUP BY source)
+        UNION SELECT source, min(doc_id) FROM documents GROUP BY source HAVING count(*) = 1""",
+)
 def _(t):
     return keep_first_similar(spread(t.documents.select("doc_id", "source", "text")), "source", "doc_id", "text")
 
