@@ -13,13 +13,14 @@ from convolake.sources.tables import USAGE_SQL
 MODELS = [
     "gpt-4o-mini-2024-07-18", "claude-3-5-sonnet-20241022", "o1-preview-2024", "gpt-3.5-turbo", "unlisted-model",
     "gemini-1.5-flash-8b-001", "gpt-4-turbo-preview", "claude-instant-1", "deepseek-chat", "mistral-large-2407",
-    "claude-3-haiku", "gpt-5-nano-x",
+    "claude-3-haiku", "gpt-5-nano-x", "grok-3-mini-beta", "llama-3.1-70b-instruct", "us.amazon.nova-lite-v1:0", "us.deepseek.r1-v1:0",
+    "ai21.jamba-instruct-v1:0", "openai/gpt-oss-20b", "kimi-k2", "qwen2.5:14b", "claude-opus-4-20250514", "grok-4-0709", "o4-mini-2025", "command-r-plus",
 ]
 TYPE_PATTERNS = ["e", "small", "o", "stan", "dium", "promo", "standard", "large", "arge", "eco", "zz"]
 
 
 def values_sql(name: str, columns: str, rows) -> str:
-    show = lambda v: f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
+    show = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)})"
 
 
@@ -44,6 +45,37 @@ DIMS_SQL = ", ".join(
 )
 
 
+# What every model must be billed and limited by (key, prompt, completion, cache write, cache read, context, output).
+EXPECTED = [
+    ("ai21.jamba-instruct-v1:0", "ai21.jamba-instruct-v1:0", 0.5, 0.7, None, None, 255500, 1024),
+    ("claude-3-5-sonnet-20241022", "claude-3-5-sonnet", 3.0, 15.0, 3.75, 0.3, 200000, 8192),
+    ("claude-3-haiku", "claude-3-haiku", 0.25, 1.25, 0.3, 0.03, 200000, 4096),
+    ("claude-instant-1", "claude-instant", 0.8, 2.4, None, None, 100000, 1024),
+    ("claude-opus-4-20250514", "claude-opus-4", 15.0, 75.0, 18.75, 1.5, 200000, 32000),
+    ("command-r-plus", "command-r-plus", 3.0, 15.0, None, None, 127500, 1024),
+    ("deepseek-chat", "deepseek", 0.14, 0.28, None, None, 63000, 1024),
+    ("gemini-1.5-flash-8b-001", "gemini-1.5-flash-8b", 0.075, 0.3, None, None, 1000000, 1024),
+    ("gpt-3.5-turbo", "4k", 1.5, 2.0, None, None, 16375, 1024),
+    ("gpt-4-turbo-preview", "gpt-4-1106", 10.0, 30.0, None, None, 127500, 1024),
+    ("gpt-4o-mini-2024-07-18", "gpt-4o-mini", 0.15, 0.6, None, None, 127500, 1024),
+    ("gpt-5-nano-x", "gpt-5-nano", 0.05, 0.4, None, None, 400000, 128000),
+    ("grok-3-mini-beta", "grok-3-mini", 0.3, 0.5, None, None, 131072, 1024),
+    ("grok-4-0709", "grok-4", 3.0, 15.0, None, None, 256000, 1024),
+    ("kimi-k2", None, 6.0, 6.0, None, None, 131000, 1024),
+    ("llama-3.1-70b-instruct", "llama-3.1-70b", 0.72, 0.72, None, None, 127500, 1024),
+    ("mistral-large-2407", "mistral-large-2407", 3.0, 9.0, None, None, 127500, 1024),
+    ("o1-preview-2024", "o1-preview", 15.0, 60.0, None, None, 127500, 32268),
+    ("o4-mini-2025", "o4-mini", 1.1, 4.4, None, None, 200000, 1024),
+    ("openai/gpt-oss-20b", "gpt-oss-20b", 0.05, 0.2, None, None, 131000, 131000),
+    ("qwen2.5:14b", None, 6.0, 6.0, None, None, 32000, 1024),
+    ("unlisted-model", None, 6.0, 6.0, None, None, None, 1024),
+    ("us.amazon.nova-lite-v1:0", "amazon.nova-lite-v1:0", 0.06, 0.24, None, None, 295000, 1024),
+    ("us.deepseek.r1-v1:0", "deepseek.r1", 1.35, 5.4, None, None, 127500, 1024),
+]
+EXPECTED_SQL = values_sql("expected", "model, key, prompt, completion, write, read, context, output", EXPECTED)
+SEEN_SQL = f"seen AS (SELECT DISTINCT model FROM part JOIN names ON i = p_partkey % {len(MODELS)})"
+
+
 def model_of(part_key):
     return F.element_at(F.array(*map(F.lit, MODELS)), (part_key % len(MODELS) + 1).cast("int"))
 
@@ -80,7 +112,7 @@ def _(t):
     return counts.join(B.match_patterns(parts, patterns), "model", "left").select("model", "pattern", "n")
 
 
-@query("j16_billing_key", f"WITH {DIMS_SQL} SELECT model, key FROM keys")
+@query("j16_billing_key", f"WITH {DIMS_SQL}, {EXPECTED_SQL}, {SEEN_SQL} SELECT model, key FROM expected JOIN seen USING (model)")
 def _(t):
     return B.model_rates(models(t)).select("model", "key")
 
@@ -107,7 +139,10 @@ def _(t):
     return u.select("conversation_id", "line", "l_partkey", "user", rate.alias("rate"))
 
 
-@query("b2_cache_rates", f"WITH {DIMS_SQL} SELECT model, prompt, completion, write, read FROM rate")
+@query(
+    "b2_cache_rates",
+    f"WITH {DIMS_SQL}, {EXPECTED_SQL}, {SEEN_SQL} SELECT model, prompt, completion, write, read FROM expected JOIN seen USING (model)",
+)
 def _(t):
     return B.model_rates(models(t)).drop("key")
 
@@ -257,9 +292,7 @@ def _(t):
 
 @query(
     "b10_token_limits",
-    f"""WITH {DIMS_SQL}, {values_sql('outs', 'pattern, tokens, ord', [(p, v, i) for i, (p, v) in enumerate(rates.OUTPUT_LIMITS.items())])}
-        SELECT lim.model, limits.tokens AS context, coalesce((SELECT arg_max(tokens, CASE WHEN pattern = model THEN 10000 ELSE ord END)
-          FROM outs WHERE contains(model, pattern)), {rates.OUTPUT_DEFAULT}) AS output FROM lim LEFT JOIN limits ON limits.pattern = hit""",
+    f"WITH {DIMS_SQL}, {EXPECTED_SQL}, {SEEN_SQL} SELECT model, context, output FROM expected JOIN seen USING (model)",
 )
 def _(t):
     limit = lambda table: B.looked_up(B.contained(F.col("model"), list(table)), table)
