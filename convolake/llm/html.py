@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,13 +90,20 @@ def is_chrome(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+@lru_cache(maxsize=100_000)
+def kind(tag: str, attributes: tuple[tuple[str, str | None], ...]) -> tuple[bool, bool, bool]:
+    """(chrome, named, named by a part); the same few start tags open most elements."""
+    return is_chrome(tag, attributes), is_named(tag, attributes), is_partly_named(tag, attributes)
+
+
 class Blocks(HTMLParser):
     """Blocks and tags of a page: (path of tags, text, in boilerplate, in an article); tags have a null text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.found: list[tuple[str, str, bool, bool, tuple]] = []
-        self.stack: list[tuple[str, bool, bool, bool, tuple]] = [("", False, False, False, ())]  # tag, chrome, invisible, article, named elements around
+        # tag, chrome, invisible, article, named elements around, path of tags
+        self.stack: list[tuple[str, bool, bool, bool, tuple, str]] = [("", False, False, False, (), "")]
         self.words: list[str] = []
         self.named = 0
         self.around: set[int] = set()  # named elements around an article
@@ -106,21 +115,18 @@ class Blocks(HTMLParser):
         text = " ".join("".join(self.words).split())
         self.words = []
         if text:
-            _, chrome, invisible, article, named = self.stack[-1]
+            _, chrome, invisible, article, named, path = self.stack[-1]
             if not invisible:
-                self.found.append((self.path(), text, chrome, article, named))
+                self.found.append((path, text, chrome, article, named))
                 self.length += len(text)
                 for n in named:
                     if n in self.weak:
                         self.weak[n] += len(text)
 
-    def path(self) -> str:
-        return "/".join(t for t, *_ in self.stack if t not in INLINE)
-
     def tag(self, sign: str) -> None:
-        tag, chrome, invisible, article, named = self.stack[-1]
+        tag, chrome, invisible, article, named, path = self.stack[-1]
         if tag not in INLINE and not invisible:
-            self.found.append((self.path() + sign, None, chrome, article, named))
+            self.found.append((path + sign, None, chrome, article, named))
 
     def close_from(self, i: int) -> None:
         while len(self.stack) > i:
@@ -134,8 +140,9 @@ class Blocks(HTMLParser):
         if tag == "br":
             self.words.append(" ")
             return
+        is_boilerplate, whole_name, part_name = kind(tag, tuple(attrs))
         if tag in INLINE:
-            if not is_chrome(tag, attrs) and not is_named(tag, attrs):
+            if not is_boilerplate and not whole_name:
                 if tag not in VOID:
                     self.stack.append((tag, *top[1:]))
                 return
@@ -149,18 +156,18 @@ class Blocks(HTMLParser):
                 break
         if tag in VOID:
             return
-        _, chrome, invisible, article, named = self.stack[-1]
-        inner = tag == "article" and any(t == "article" for t, *_ in self.stack)  # an article in an article is a comment on it
-        chrome, invisible = chrome or inner or is_chrome(tag, attrs), invisible or tag in INVISIBLE
-        if is_partly_named(tag, attrs):
+        _, chrome, invisible, article, named, path = self.stack[-1]
+        inner = tag == "article" and any(t[0] == "article" for t in self.stack)  # an article in an article is a comment on it
+        chrome, invisible = chrome or inner or is_boilerplate, invisible or tag in INVISIBLE
+        if part_name:
             self.named += 1
             named = (*named, self.named)
-            if not is_named(tag, attrs):
+            if not whole_name:
                 self.weak[self.named] = 0
         if tag in ARTICLE and not chrome and not invisible:
             self.around.update(named)
             self.free_article |= not named
-        self.stack.append((tag, chrome, invisible, article or tag in ARTICLE, named))
+        self.stack.append((tag, chrome, invisible, article or tag in ARTICLE, named, path if tag in INLINE else f"{path}/{tag}"))
         self.tag("<")
 
     def handle_endtag(self, tag):
@@ -193,21 +200,25 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(url, r"^\w+://([^/:?#]+)", 1))
     rows = pages.select("page_id", "url", text_key(html).alias("content"), host.alias("host"), html.alias("html"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for page in frame["html"]:
-                out.append(
-                    [
-                        {"token": xxhash.xxh64_intdigest(f"{path}\n{text or ''}") - 2**63, "text": None if chrome else text, "chrome": chrome, "article": article}
-                        for path, text, chrome, article in Blocks().blocks(page)
-                    ]
-                )
-            yield frame.drop(columns="html").assign(blocks=out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                columns, ends = ([], [], [], []), [0]
+                for page in part.column(4):
+                    for path, text, chrome, article in Blocks().blocks(page.as_py()):
+                        token = xxhash.xxh64_intdigest(f"{path}\n{text or ''}") - 2**63
+                        for column, value in zip(columns, (token, None if chrome else text, chrome, article), strict=True):
+                            column.append(value)
+                    ends.append(len(columns[0]))
+                kinds = (pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+                tokens = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["token", "text", "chrome", "article"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], lists], names=["page_id", "url", "content", "host", "blocks"])
 
     page = pages.schema["page_id"].dataType.simpleString()
     block = "struct<token: bigint, text: string, chrome: boolean, article: boolean>"
-    return rows.mapInPandas(run, f"page_id {page}, url string, content bigint, host string, blocks array<{block}>")
+    return rows.mapInArrow(run, f"page_id {page}, url string, content bigint, host string, blocks array<{block}>")
 
 
 def page_order(tokens: list[int], classes: dict[int, int]) -> dict[int, tuple[int, ...]]:
