@@ -42,8 +42,9 @@ def fold_to_root(df: DataFrame, folds: dict[str, tuple[str, Column]]) -> DataFra
     state = cut_lineage(
         _linked(df, columns).withColumn("root", F.when(F.col("anc").isNull(), F.col("msg")))
     )
-    open_rows = state.filter("anc IS NOT NULL").count()
+    open_rows, number = state.filter("anc IS NOT NULL").count(), 0
     while open_rows:
+        number += 1
         above = state.select(
             "conv_id",
             F.col("msg").alias("anc"),
@@ -62,7 +63,8 @@ def fold_to_root(df: DataFrame, folds: dict[str, tuple[str, Column]]) -> DataFra
                     for n, (kind, _) in folds.items()
                 ],
                 F.coalesce("root", "_root").alias("root"),
-            )
+            ),
+            number,
         )
         left = state.filter("anc IS NOT NULL").count()
         if left == open_rows:  # a round that closes nothing leaves only cycles
@@ -93,20 +95,21 @@ def paths(df: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("up", F.lit(0).cast("bigint"))
         .select("conv_id", "target", "msg", "up")
     )
-    step, size = 1, seen.count()
+    step, size, number = 1, seen.count(), 0
     while size:
+        number += 1
         further = seen.join(jump, KEY).select(
             "conv_id", "target", F.col("anc").alias("msg"), (F.col("up") + step).alias("up")
         )
         seen = cut_lineage(
-            seen.unionByName(further).groupBy("conv_id", "target", "msg").agg(F.min("up").alias("up"))
+            seen.unionByName(further).groupBy("conv_id", "target", "msg").agg(F.min("up").alias("up")), number
         )
         grown = seen.count()
         if grown == size:
             break
         size, step = grown, step * 2
         above = jump.select("conv_id", F.col("msg").alias("anc"), F.col("anc").alias("_anc"))
-        jump = cut_lineage(jump.join(above, ["conv_id", "anc"]).select(*KEY, F.col("_anc").alias("anc")))
+        jump = cut_lineage(jump.join(above, ["conv_id", "anc"]).select(*KEY, F.col("_anc").alias("anc")), number)
     return seen
 
 
@@ -192,16 +195,17 @@ def subtree_sizes(df: DataFrame) -> DataFrame:
     """(conv_id, msg, size): messages in each subtree, by doubling: log2(depth) joins and partial sums."""
     jump = cut_lineage(_linked(df, []).filter("anc IS NOT NULL"))
     sizes = cut_lineage(df.select(*KEY, F.lit(1).cast("bigint").alias("size")))
-    active = jump.count()
+    active, number = jump.count(), 0
     while active:
+        number += 1
         given = (
             jump.join(sizes, KEY).groupBy("conv_id", F.col("anc").alias("msg")).agg(F.sum("size").alias("_more"))
         )
         sizes = cut_lineage(
-            sizes.join(given, KEY, "left").select(*KEY, (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"))
+            sizes.join(given, KEY, "left").select(*KEY, (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")), number
         )
         above = jump.select("conv_id", F.col("msg").alias("anc"), F.col("anc").alias("_anc"))
-        jump = cut_lineage(jump.join(above, ["conv_id", "anc"]).select(*KEY, F.col("_anc").alias("anc")))
+        jump = cut_lineage(jump.join(above, ["conv_id", "anc"]).select(*KEY, F.col("_anc").alias("anc")), number)
         remaining = jump.count()
         if remaining == active:
             break

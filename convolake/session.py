@@ -53,12 +53,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, safe against the loss of executors.
+WRITTEN_ROUND = 3  # every how many rounds a loop of joins writes its rows
 
-    A checkpoint would keep the size estimate of the plan behind it. Joins multiply such estimates, so that a loop of
-    joins ends up with numbers whose arithmetic alone takes minutes; a written table has the size of its files.
+
+def cut_lineage(df: DataFrame, number: int = 0) -> DataFrame:
+    """The rows, computed once in the shared folder and safe against the loss of executors: by a reliable checkpoint.
+
+    A checkpoint keeps the size estimate of the plan behind it, and joins multiply such estimates: a loop of joins soon has
+    numbers whose arithmetic alone takes minutes. Loops pass the ``number`` of the round, from 1; every third round is
+    written as a table instead, which has the size of its files.
     """
+    if not number or number % WRITTEN_ROUND:
+        shared_folder(df.sparkSession)
+        return df.checkpoint(eager=True)
     path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
