@@ -52,7 +52,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op8_class_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
     held_out = F.coalesce(classlm.remainder(5) == 1, F.lit(False))
-    scored = classlm.scores(docs, docs.filter(~held_out))
+    scored = classlm.scores(docs, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
