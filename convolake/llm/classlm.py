@@ -27,7 +27,8 @@ SWEEPS = 8  # over the most frequent words
 HALF_SWEEPS = 4  # over the other words known to every task
 BACKOFF = 8.0  # weight of a class's overall share in its transition probabilities
 FLUSH = 400_000  # distinct words a task counts before it hands on its counts
-TOKENS = 2_000_000  # tokens whose neighbours are gathered at a time, and per shard of words
+RARE_FLUSH = 80_000  # (rare word, class before it) a task counts: few occur twice there
+TOKENS = 1_000_000  # tokens whose neighbours are gathered at a time, and per shard of words
 NEIGHBOUR_BITS = 21  # of a code that tells word, side and neighbour
 FEW = 8  # gains of counts up to this are looked up
 
@@ -100,7 +101,7 @@ def pair_counts(train: DataFrame, number: np.ndarray, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = shared.value, np.zeros(size * size, np.int64)
-        for s in _sequences(batches, TOKENS // 4):
+        for s in _sequences(batches, TOKENS // 2):
             g = own[s].astype(np.int64)
             code = g[:-1] * size + g[1:]
             if len(code) * 8 > len(total):
@@ -358,7 +359,7 @@ def rare_classes(texts: DataFrame, group: np.ndarray, pairs: np.ndarray, classes
                     learned.update(found)
                 if to_score:
                     met_by.update(found)
-            if len(learned) + len(met_by) > FLUSH:
+            if len(learned) + len(met_by) > RARE_FLUSH:
                 yield flush()
                 learned.clear()
                 met_by.clear()
