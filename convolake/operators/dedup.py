@@ -2,40 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from convolake.functions import fixed
 from convolake.functions.text import jaccard, trim_space, word_set
-from convolake.operators.retrieve import top_per
-from convolake.session import cut_lineage
+from convolake.session import cut_lineage, fresh_path
 
 FRONT = 256  # texts of one index word that are compared among each other in one round
+CELLS = 1 << 22  # counters of word frequencies; they only order the words of a set
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: columns of words and keys take a fraction of a checkpoint's bytes."""
+    path = fresh_path(df.sparkSession, "similar")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def word_sets(df: DataFrame, group: str, key: str, text: str, min_chars: int) -> DataFrame:
-    """(group, key, words, n): one row per distinct word set of a group, under its first key."""
+    """(group, key, words, n): one row per distinct word set of a group, under its first key; words sorted, joined by a space."""
     return (
         df.filter(F.length(trim_space(F.col(text))) >= min_chars)
-        .select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_sort(word_set(F.col(text))).alias("words"))
+        .select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_join(F.sort_array(word_set(F.col(text))), " ").alias("words"))
         # texts without words are similar to nothing, so each of them stays a row of its own
-        .groupBy("g", "words", F.when(F.size("words") == 0, F.col("k")).alias("_own"))
+        .groupBy("g", "words", F.when(F.col("words") == "", F.col("k")).alias("_own"))
         .agg(F.min("k").alias("k"))
-        .select("g", "k", "words", F.size("words").alias("n"))
+        .select("g", "k", "words", F.when(F.col("words") == "", 0).otherwise(F.size(F.split("words", " "))).alias("n"))
     )
 
 
 def prefix_index(sets: DataFrame, threshold: float) -> DataFrame:
-    """(g, k, n, word, pos): the rarest words of each set, enough that two similar sets share at least one."""
-    words = sets.select("g", "k", "n", F.explode("words").alias("word"))
-    rarity = words.groupBy("g", "word").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("g", "k").orderBy("df", "word")
-    return (
-        words.join(rarity, ["g", "word"])
-        .withColumn("pos", F.row_number().over(order))
-        .filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-        .select("g", "k", "n", "word", "pos")
-    )
+    """(g, k, n, word, pos): the rarest words of each set, enough that two similar sets share at least one.
+
+    Words are hashes: equal hashes of different words only add candidates, which full sets decide. Rarity is read from a table
+    of counters that goes to every task, so no word is shuffled to be counted; any order of words that all sets share is right.
+    Words that occur once meet nothing and are left out; a set without other words has one row with a null word.
+    """
+    hashed = sets.select("g", "k", "n", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("hashes"))
+    cells = hashed.select(F.explode("hashes").alias("h")).groupBy(F.pmod("h", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("df"))
+    counted = cells.filter("df > 1").toArrow()
+    table = np.ones(CELLS, np.int64)
+    table[counted["cell"].to_numpy()] = counted["df"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+    schema = StructType([*sets.select("g", "k", "n").schema, StructField("word", LongType()), StructField("pos", IntegerType())])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = shared.value
+        for batch in batches:
+            lists = batch["hashes"]
+            n = batch["n"].to_numpy(zero_copy_only=False).astype(np.int64)
+            h = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)
+            seen = df[h % CELLS]
+            # stable: words whose hashes are equal keep their own order
+            order = np.lexsort((h, seen, row))
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + 1
+            used = (pos <= (n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1)[row]) & (seen[order] > 1)
+            alone = np.setdiff1d(np.arange(len(n)), row[used])
+            take = np.concatenate([row[used], alone])
+            none = np.arange(len(take)) >= used.sum()
+            words = np.concatenate([h[order][used], np.zeros(len(alone), np.int64)])
+            at = np.concatenate([pos[used], np.zeros(len(alone), np.int64)])
+            index = pa.array(take)
+            columns = [batch[c].take(index) for c in ("g", "k", "n")] + [pa.array(words, mask=none), pa.array(at, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "k", "n", "word", "pos"])
+
+    return hashed.mapInArrow(rarest, schema)
 
 
 def _candidates(first: DataFrame, second: DataFrame, threshold: float) -> DataFrame:
@@ -48,11 +86,15 @@ def _candidates(first: DataFrame, second: DataFrame, threshold: float) -> DataFr
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose full sets are similar; only sets that are in a pair are moved."""
+    pairs = _stored(pairs)
+    met = pairs.select("g", "k").unionByName(pairs.select("g", F.col("first").alias("k"))).distinct()
+    sets = sets.join(met, ["g", "k"], "left_semi").select("g", "k", "words")
     other = sets.select("g", F.col("k").alias("first"), F.col("words").alias("_words"))
     return (
-        pairs.join(sets.select("g", "k", "words"), ["g", "k"])
+        pairs.join(sets, ["g", "k"])
         .join(other, ["g", "first"])
-        .filter(jaccard(F.col("words"), F.col("_words")) >= threshold)
+        .filter(jaccard(F.split("words", " "), F.split("_words", " ")) >= threshold)
         .select("g", "k", "first")
     )
 
@@ -103,27 +145,28 @@ def keep_first_similar(
     newly kept ones with the texts further down. A word shared by many near copies therefore costs one comparison per
     text and kept text, never all pairs, and no candidate is left out.
     """
-    sets = cut_lineage(word_sets(df, group, key, text, min_chars))
-    index = cut_lineage(prefix_index(sets.filter("n > 0"), threshold))
-    kept = sets.filter("n = 0").select("g", "k")
+    sets = _stored(word_sets(df, group, key, text, min_chars))
+    index = _stored(prefix_index(sets.filter("n > 0"), threshold))
+    kept = sets.filter("n = 0").select("g", "k").unionByName(index.filter("word IS NULL").select("g", "k"))
+    index = index.filter("word IS NOT NULL")
     while not index.isEmpty():
-        head = cut_lineage(top_per(index, ["g", "word"], [F.asc("k")], front, "_rank"))
+        ranked = _stored(index.withColumn("_rank", F.row_number().over(Window.partitionBy("g", "word").orderBy("k"))))
+        head = ranked.filter(F.col("_rank") <= front)
         edges = cut_lineage(_similar(_candidates(head, head, threshold), sets, threshold))
-        in_head = head.groupBy("g", "k").agg(F.count("*").alias("_h"))
         waiting = cut_lineage(
-            index.groupBy("g", "k")
-            .agg(F.count("*").alias("_n"))
-            .join(in_head, ["g", "k"])
+            ranked.groupBy("g", "k")
+            .agg(F.count("*").alias("_n"), F.count_if(F.col("_rank") <= front).alias("_h"))
+            .filter("_h > 0")
             .select("g", "k", (F.col("_n") == F.col("_h")).alias("ready"))
         )
         decided = cut_lineage(_settle(edges, waiting))
         new = decided.filter("kept").select("g", "k")
         kept = kept.unionByName(new)
-        rest = cut_lineage(index.join(decided.select("g", "k"), ["g", "k"], "left_anti"))
+        rest = _stored(index.join(decided.select("g", "k"), ["g", "k"], "left_anti"))
         if rest.isEmpty():
             break
         pivots = index.join(new, ["g", "k"], "left_semi")
         close = _similar(_candidates(pivots, rest, threshold), sets, threshold).select("g", "k").distinct()
-        index = cut_lineage(rest.join(close, ["g", "k"], "left_anti"))
+        index = _stored(rest.join(close, ["g", "k"], "left_anti"))
     only = df.groupBy(group).agg(F.count("*").alias("_n"), F.min(key).alias(key)).filter("_n = 1").select(group, key)
     return kept.select(F.col("g").alias(group), F.col("k").alias(key)).unionByName(only).distinct()

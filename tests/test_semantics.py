@@ -13,7 +13,7 @@ from convolake.functions import text as X
 from convolake.functions.chunks import chunks, cut_text
 from convolake.functions.vectors import with_hashed_vector
 from convolake.operators import acl, billing, citations, merge, paging, retrieve, scan, sets
-from convolake.operators.dedup import keep_first_similar
+from convolake.operators.dedup import keep_first_similar, prefix_index, word_sets
 from convolake.sources import files, imports
 from convolake.streaming import limits, stateful
 
@@ -259,6 +259,32 @@ def test_keep_first_similar_is_the_greedy_result(spark, front):
     assert sorted((r["grp"], r["id"]) for r in got.collect()) == greedy(rows)
 
 
+def test_index_of_similar_texts_leaves_out_words_that_meet_nothing(spark):
+    rows = [("g", i, " ".join(f"own{i}x{j}" for j in range(40))) for i in range(6)]
+    rows += [("g", 10 + i, " ".join(["common", "shared", *(f"rare{i // 2}x{j}" for j in range(20)), f"last{i}"])) for i in range(4)]
+    sets = word_sets(spark.createDataFrame(rows, "grp string, id bigint, text string"), "grp", "id", "text", 20)
+    index = prefix_index(sets, 0.7).collect()
+    assert sorted(r["k"] for r in index if r["word"] is None) == list(range(6))
+    met = {}
+    for r in index:
+        if r["word"] is not None:
+            assert isinstance(r["word"], int)
+            met.setdefault(r["word"], set()).add(r["k"])
+    assert {10, 11} in met.values() and {12, 13} in met.values() and all(len(ks) > 1 for ks in met.values())
+
+
+def test_word_set_and_terms_on_odd_characters(spark):
+    text = "Ab\u00a0cde\u3000FGH i\u0307jk, \U0001f600xyz-abc\x0bqrs\ufeff_12 \u0130stan \u015fimdi na\u00efve" + "!" * 50_000 + "end"
+    shape = spark.createDataFrame([(text,)], "text string")
+    words = shape.select(X.word_set(F.col("text")).alias("w"))
+    kept = "".join(c for c in text.lower() if (c.isascii() and (c.isalnum() or c in "_ \t\n\x0b\f\r")) or c in "\u00a0\u3000\ufeff")
+    assert words.first()["w"] == list(dict.fromkeys(w for w in kept.split() + [] for w in w.split("\ufeff") if len(w) > 2))
+    assert "[^a-zA-Z0-9_" not in words._jdf.queryExecution().toString()
+    terms = "".join(c if (c.isascii() and (c.isalnum() or c == "_")) or c in "çğıöşü" else " " for c in text.lower()).split()
+    got = shape.select(X.vector_terms(F.col("text")).alias("t")).first()["t"]
+    assert got == [w for w in terms if len(w) > 2]
+
+
 def test_documents_keep_first_similar(spark, tables):
     docs = tables.documents.select("source", "doc_id", "text")
     got = keep_first_similar(docs, "source", "doc_id", "text")
