@@ -537,13 +537,16 @@ def _(t):
     from convolake.operators.citations import apply_annotations
 
     n = F.length("text")
-    at = lambda q: F.floor(n * q).cast("int")
+    place = lambda q: (F.floor(n * q).cast("int").alias("start"), (F.floor(n * q).cast("int") + 1).alias("end"))
+    note = lambda kind, q, ident, file: F.struct(F.lit(kind).alias("type"), *place(q), F.lit(ident).alias("id"), file.alias("file"))
     notes = F.array(
-        F.struct(F.lit("file_citation").alias("type"), at(0.5).alias("start"), (at(0.5) + 1).alias("end"), F.col("source").alias("file")),
-        F.struct(F.lit("file_citation").alias("type"), at(0.25).alias("start"), (at(0.25) + 1).alias("end"), F.col("lang").alias("file")),
-        F.struct(F.lit("file_path").alias("type"), at(0.75).alias("start"), (at(0.75) + 1).alias("end"), F.lit("/f").alias("file")),
+        note("file_citation", 0.5, 1, F.col("source")),
+        note("file_citation", 0.25, 2, F.col("lang")),
+        note("file_path", 0.75, 3, F.lit("/f")),
     )
-    return apply_annotations(docs(t, "text", "source", "lang").select("doc_id", "text", notes.alias("notes")), "doc_id")
+    rows = docs(t, "text", "source", "lang").select("doc_id", "text", notes.alias("notes"))
+    # the two sources are two files whatever their names
+    return apply_annotations(rows, "doc_id", by="id")
 
 
 @query("t40_split_rows")

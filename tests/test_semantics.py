@@ -157,6 +157,20 @@ def test_annotations(spark):
     assert citations.apply_annotations(df, "id").first()["text"] == "see ^1^ and /x\n\n^1.^ f"
 
 
+def test_annotations_of_short_and_odd_texts_as_in_sql(spark, tmp_path):
+    import duckdb
+    from oracle import compare
+
+    texts = [None, "", "a", "ab", "abc", " ", "   ", "a\ue000b\ue001cdefgh", "\ue0002\ue001" * 6, "^1^ ^2^ ^1^ xx", "a b\n" * 9]
+    names = [("src", "en"), ("en", "en"), (None, "en"), ("src", None), ("$1\\2", "e$1")]
+    rows = [(i * 10 + j, text, *name) for i, text in enumerate(texts) for j, name in enumerate(names)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    query = ENTRIES["t39_annotations"]
+    assert compare(query.run(spark, str(tmp_path)), con, query.sql) is None
+
+
 def test_artifact_without_end(spark):
     found = one(spark, citations.artifacts(F.lit("a :::artifact one\n::: b :::artifact open")))
     assert [(a["start"], a["end"]) for a in found] == [(2, 21), (24, 40)]
