@@ -122,3 +122,18 @@ def test_questions_pass_by_resting_documents(spark):
     for i in range(0, 20_000, 371):
         best = np.lexsort((np.arange(300), -scores[i]))[:2]
         assert [got[i][n][0] for n in (1, 2)] == best.tolist()
+
+
+def test_joined_values_are_whole_and_long_keys_are_not_gathered(spark):
+    rows = [(k, i, f"v{i}") for k in (1, 2, None) for i in range(30 if k != 2 else 200)]
+    df = spark.createDataFrame(rows, "k bigint, i bigint, v string").repartition(5)
+    got = {r.k: (r.n, r.chars, r.value) for r in Fr.joined(df, ["k"], ["i"], F.col("v"), ",", most=300).collect()}
+    short = ",".join(f"v{i}" for i in range(30))
+    assert got[1] == got[None] == (30, len(short), short)
+    assert got[2] == (200, len(",".join(f"v{i}" for i in range(200))), None)
+
+
+def test_attachments_move_rows_once(spark):
+    """One exchange of rows; it was a chain of seven that numbered, joined back and gathered."""
+    plan = ENTRIES["a22_attachments_by_call"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
