@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from convolake.functions.fixed import DELETE, EDIT, SHARE, VIEW
 from convolake.operators.predicates import has_bits
+from convolake.session import broadcast_if_small, cut_lineage, spread
 
 
 def principals(users: DataFrame, members: DataFrame) -> DataFrame:
@@ -27,22 +28,61 @@ def principals(users: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def effective(principals_: DataFrame, acl: DataFrame) -> DataFrame:
-    """(user_id, resource_id, bits): all bits granted to any principal of the user, everybody's included.
+BROADCAST_GRANTS = 1_000_000
 
-    What a resource grants to everybody is also given once with a null user, instead of for every user.
+
+def _reached(principals_: DataFrame, entries: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(user_id, resource_id, bits): all bits that ``entries`` grant to any principal of the user, each pair once.
+
+    ``more`` (resource_id, public_bits) is added to the bits of its resources. Users with the same role and groups reach the same
+    resources by them, so grants are gathered per such class of users and then handed to its members. No table of pairs of users and
+    resources is shuffled; the users' own grants, as many as the entries, are taken out of their class by lists of exceptions.
     """
-    entries = acl.filter("principal_type <> 'public'").withColumn("principal_id", F.col("principal_id").cast("string"))
+    entries = entries.withColumn("principal_id", F.col("principal_id").cast("string"))
+    held = principals_.filter(~F.col("principal_type").isin("user", "public"))
+    kinds = (
+        held.groupBy("user_id")
+        .agg(F.sort_array(F.collect_set(F.struct("principal_type", "principal_id"))).alias("held"))
+    )
+    kinds = cut_lineage(kinds)
+    classes = cut_lineage(kinds.groupBy("held").agg(F.min("user_id").alias("class")))
+    members = cut_lineage(kinds.join(classes, "held").select("user_id", "class"))
+    by_class = (
+        classes.select("class", F.inline("held"))
+        .join(entries.filter("principal_type <> 'user'"), ["principal_type", "principal_id"])
+        .groupBy("class", "resource_id")
+        .agg(F.bit_or("perm_bits").alias("bits"))
+    )
     own = (
-        principals_.join(entries, ["principal_type", "principal_id"])
+        principals_.filter("principal_type = 'user'")
+        .join(entries.filter("principal_type = 'user'"), ["principal_type", "principal_id"])
         .groupBy("user_id", "resource_id")
         .agg(F.bit_or("perm_bits").alias("bits"))
     )
-    public = public_bits(acl)
-    met = own.join(public, "resource_id", "left").select(
-        "user_id", "resource_id", F.col("bits").bitwiseOR(F.coalesce("public_bits", F.lit(0))).alias("bits")
+    if more is not None:
+        added = F.col("bits").bitwiseOR(F.coalesce("public_bits", F.lit(0))).alias("bits")
+        by_class = by_class.join(more, "resource_id", "left").select("class", "resource_id", added)
+        own = own.join(more, "resource_id", "left").select("user_id", "resource_id", added)
+    by_class = cut_lineage(by_class)
+    own = cut_lineage(
+        own.join(members, "user_id", "left")
+        .join(by_class.withColumnRenamed("bits", "class_bits"), ["class", "resource_id"], "left")
+        .select("user_id", "class", "resource_id", F.col("bits").bitwiseOR(F.coalesce("class_bits", F.lit(0))).alias("bits"), F.col("class_bits").isNotNull().alias("twice"))
     )
-    user = own.schema["user_id"].dataType
+    taken = own.filter("twice").groupBy("class", "resource_id").agg(F.collect_list("user_id").alias("taken"))
+    handed = broadcast_if_small(by_class.join(taken, ["class", "resource_id"], "left"), BROADCAST_GRANTS)
+    others = spread(members).join(handed, "class").filter(F.coalesce(~F.array_contains("taken", F.col("user_id")), F.lit(True)))
+    return others.select("user_id", "resource_id", "bits").unionByName(own.select("user_id", "resource_id", "bits"))
+
+
+def effective(principals_: DataFrame, acl: DataFrame) -> DataFrame:
+    """(user_id, resource_id, bits): all bits granted to any principal of the user, everybody's included.
+
+    What a resource grants to everybody is also given once with a null user, instead of for every user.
+    """
+    public = public_bits(acl)
+    met = _reached(principals_, acl.filter("principal_type <> 'public'"), public)
+    user = met.schema["user_id"].dataType
     return met.unionByName(
         public.select(F.lit(None).cast(user).alias("user_id"), "resource_id", F.col("public_bits").alias("bits"))
     )
@@ -58,8 +98,7 @@ def accessible(principals_: DataFrame, acl: DataFrame, bits: int) -> tuple[DataF
     A grant counts on its own: one entry must carry all the bits.
     """
     fit = acl.filter(has_bits("perm_bits", bits))
-    entries = fit.filter("principal_type <> 'public'").withColumn("principal_id", F.col("principal_id").cast("string"))
-    personal = principals_.join(entries, ["principal_type", "principal_id"]).select("user_id", "resource_id").distinct()
+    personal = _reached(principals_, fit.filter("principal_type <> 'public'")).select("user_id", "resource_id")
     return personal, fit.filter("principal_type = 'public'").select("resource_id").distinct()
 
 

@@ -137,3 +137,32 @@ def test_attachments_move_rows_once(spark):
     """One exchange of rows; it was a chain of seven that numbered, joined back and gathered."""
     plan = ENTRIES["a22_attachments_by_call"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_reach_is_each_pair_once_without_a_shuffle_of_pairs(spark):
+    from convolake.operators import acl as A
+
+    rng = random.Random(3)
+    pri = [(u, "user", str(u)) for u in range(40)] + [(u, "public", None) for u in range(40)]
+    pri += [(u, "role", f"r{u % 3}") for u in range(40) if u % 4]
+    pri += [(u, "group", str(g)) for u in range(40) for g in rng.sample(range(5), u % 3)]
+    acl = []
+    for _ in range(300):
+        kind = rng.choice(["user", "role", "group", "public"])
+        who = {"user": str(rng.randrange(45)), "role": f"r{rng.randrange(4)}", "group": str(rng.randrange(6)), "public": None}[kind]
+        acl.append((rng.randrange(25), kind, who, 1 << rng.randrange(4)))
+    principals = spark.createDataFrame(pri, "user_id bigint, principal_type string, principal_id string")
+    grants = spark.createDataFrame(acl, "resource_id bigint, principal_type string, principal_id string, perm_bits int")
+    want, public = {}, {}
+    for r, kind, who, bits in acl:
+        if kind == "public":
+            public[r] = public.get(r, 0) | bits
+        for u, k, p in pri:
+            if k == kind != "public" and p == who:
+                want[u, r] = want.get((u, r), 0) | bits
+    want = {(u, r): b | public.get(r, 0) for (u, r), b in want.items()} | {(None, r): b for r, b in public.items()}
+    frame = A.effective(principals, grants)
+    assert sorted(map(repr, map(tuple, frame.collect()))) == sorted(repr((u, r, b)) for (u, r), b in want.items())
+    for name in ("a5_effective_permissions", "j10_accessible"):
+        plan = ENTRIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(user_id" not in plan
