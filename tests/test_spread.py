@@ -181,3 +181,17 @@ def test_gap_fill_gives_one_whole_message_per_conversation(spark):
         elif o.o_orderstatus != "F":
             want[o.o_orderkey] = ("stored", False)
     assert len(got) == len(want) and {r["conv"]: (r["content"], r["synced"]) for r in got} == want
+
+
+def test_keyword_join_shuffles_no_pairs_of_documents_and_questions(spark, monkeypatch):
+    from convolake.operators import retrieve
+
+    docs = spark.createDataFrame([(i, ["alpha beta, gamma", "xalphax beta", None, "", "delta"][i % 5]) for i in range(50)], "doc_id bigint, text string")
+    words = spark.createDataFrame([(q, w, t) for q in range(40) for w, t in (("alpha", 2), ("beta", 1))], "q_id bigint, keyword string, times bigint")
+    hits = retrieve.keyword_hits_by_join(words, docs)
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, hits.collect())) == sorted((q, i, 3, False) for q in range(40) for i in range(50) if i % 5 < 2)
+    monkeypatch.setattr(retrieve, "BROADCAST_KEYWORDS", 1)  # too many keywords to send: by shuffled joins, the same rows
+    joined = retrieve.keyword_hits_by_join(words, docs)
+    assert "Exchange" in joined._jdf.queryExecution().executedPlan().toString()
+    assert hits.exceptAll(joined).count() == 0 and joined.count() == hits.count()
