@@ -71,11 +71,61 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+class PieceCounts:
+    """Counts by the pieces that the pattern parts a text into; the counts of pieces are kept, as most pieces come again."""
+
+    KEPT, KEPT_TEXTS = 200_000, 1_000
+
+    def __init__(self, encoding, pattern: str):
+        import regex
+
+        self.encoding, self.pattern = encoding, regex.compile(pattern)
+        self.known: dict[str, int] = {}
+        self.last: dict[str, int] = {}
+
+    def piece(self, text: str) -> int:
+        n = self.known.get(text)
+        if n is None:
+            n = len(self.encoding.encode_ordinary(text))
+            if len(text) < 64:
+                if len(self.known) >= self.KEPT:
+                    self.known.clear()
+                self.known[text] = n
+        return n
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        return [self.whole(t) for t in texts]
+
+    def whole(self, text: str) -> int:
+        """A chunk is counted where it is closed and again as a result, so the last texts are kept."""
+        n = self.last.get(text)
+        if n is None:
+            n = len(self.encoding.encode_ordinary(text))
+            if len(self.last) >= self.KEPT_TEXTS:
+                self.last.clear()
+            self.last[text] = n
+        return n
+
+    def ends(self, text: str, starts: list[int]) -> Iterator[int]:
+        """The counts of ``text[s:]`` for falling ``starts``: matching goes on as in an earlier one once it meets a place of it."""
+        worth = {len(text): 0}
+        for start in starts:
+            path, at = [], start
+            while at not in worth:
+                match = self.pattern.match(text, at)
+                path.append((at, self.piece(match.group())))
+                at = match.end()
+            total = worth[at]
+            for at, n in reversed(path):
+                total += n
+                worth[at] = total
+            yield total
+
+
 def byte_pairs(path: str, pattern: str) -> Tokenizer:
-    """Counts of a byte-pair vocabulary: a file of base64 tokens and ranks, and the pattern that parts a text."""
+    """Counts of a byte-pair vocabulary: a file of base64 tokens and ranks, and the pattern that parts a text.
 
-    def load() -> Counts:
-        encoding = _encoding(path, pattern)
-        return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+    The pattern must match at every place and look at nothing before it.
+    """
 
-    return arrow_tokenizer(load)
+    return arrow_tokenizer(lambda: PieceCounts(_encoding(path, pattern), pattern))

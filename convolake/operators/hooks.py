@@ -54,6 +54,10 @@ def _tail(text: str, counts: Counts, overlap: int) -> str:
     """The text, or its fewest closing words worth ``overlap`` tokens."""
     if counts([text])[0] <= overlap:
         return text
+    if hasattr(counts, "ends"):  # all endings at the price of one
+        text = text.rstrip(" ")
+        starts = [i + 1 for i in range(len(text) - 1, -1, -1) if text[i] == " "] + [0]
+        return next((text[s:] for s, n in zip(starts, counts.ends(text, starts)) if n >= overlap), text)
     words, tail = text.split(" "), ""
     while words and (not tail or counts([tail])[0] < overlap):
         word = words.pop()

@@ -62,6 +62,34 @@ def test_long_sentence_and_tail():
     assert got == ["a b c d", "c d e f g"]
 
 
+def test_tail_reads_a_long_text_once():
+    pytest.importorskip("tiktoken")
+    import random
+
+    P = pytest.importorskip("public_tokenizers")
+    load = K.byte_pairs(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).load
+    rng = random.Random(4)
+    parts = ["a", "word", "It's", "12345", "\u00e9t\u00e9", "  ", "\t", "\n x", "...", "\U0001f600", "antidisestablishment", "'", ""]
+    texts = [" ".join(rng.choice(parts) for _ in range(400)) for _ in range(30)] + ["a" * 900, "x ", " x" * 300, " " * 50 + "b"]
+    plain, counts = load(), load()
+    for text in texts:
+        for overlap in (0, 1, 7, 100):
+            assert H._tail(text, counts, overlap) == H._tail(text, lambda ts: plain(ts), overlap)  # noqa: PLW0108
+    seen = 0
+    whole = type(counts).__call__
+
+    class Counted(type(counts)):
+        def __call__(self, texts):
+            nonlocal seen
+            seen += sum(map(len, texts))
+            return whole(self, texts)
+
+    counts.__class__ = Counted
+    text = "one two three four " * 300
+    H._tail(text, counts, 1000)
+    assert seen <= 2 * len(text)
+
+
 def test_pages(spark):
     def extractor(path, content):
         for part in content.decode().split("|"):
