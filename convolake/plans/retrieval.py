@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convolake.functions import fixed
 from convolake.functions.text import SPACE_RE2, keywords, text_hash, token_estimate, vector_terms
-from convolake.functions.vectors import cosine, dot, norm, with_hashed_vector
+from convolake.functions.vectors import cosine, dot, norm, term_counts, with_hashed_vector
 from convolake.operators import retrieve as R
 from convolake.plans.registry import query
 from convolake.session import spread
@@ -178,11 +178,7 @@ def _(t):
     "GROUP BY ALL",
 )
 def _(t):
-    return (
-        t.documents.select("doc_id", F.explode(vector_terms(F.col("text"))).alias("term"))
-        .groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    return term_counts(spread(t.documents.select("doc_id", "text")), "doc_id", "text").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
 
 
 @query(

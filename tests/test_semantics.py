@@ -556,3 +556,35 @@ def test_output_limits_of_model_families(spark, tables):
     assert {r.model: r.n for r in rows.select("model", limit.alias("n")).collect()} == expected
     got = {r.model: r.output for r in ENTRIES["b10_token_limits"].run(spark, "/root/testdata/sf0.001").collect()}
     assert got["claude-3-5-sonnet-20241022"] == 8192 and got["claude-3-haiku"] == 4096 and got["gpt-4o-mini-2024-07-18"] == 1024
+
+
+def test_counted_terms_are_those_of_the_expression(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from convolake.functions import vectors as V
+
+    rng = random.Random(9)
+    pieces = ["the", "Word", "çığ", "İstanbul", "naïve", "a_b", "12345", "007", "4294967295", "4294967294", "ab", "ışı", " ", "\n", "\x85", "é", "Ω", "𝒳yz", "-"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "-"]) for _ in range(rng.choice([1, 5, 40]))) for _ in range(200)]
+    texts += ["", None, "c" * 5000, " ".join(f"t{i} {10**6 - i}" for i in range(300)) + " t299 t1 1000000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, text string")
+    want = {r.k: r.d or [] for r in df.select("k", V.term_dims(F.col("text")).alias("d")).collect()}
+    got = {r.k: r.vector for r in with_hashed_vector(df, "k", "text").collect()}
+    for k, dims in want.items():
+        counts = np.bincount(np.array(dims, np.int64), minlength=200)
+        assert np.allclose(got[k], counts / (np.sqrt((counts * counts).sum()) or 1), atol=1e-12), texts[k]
+    terms = df.select("k", F.explode(X.vector_terms(F.col("text"))).alias("term")).groupBy("k", "term").agg(F.count("*").alias("tf"))
+    counted = V.term_counts(df, "k", "text")
+    assert terms.exceptAll(counted).count() == 0 and counted.count() == terms.count()
+    # slices bound what is held: a batch is never looked at whole
+    assert [p.num_rows for p in V.parts(pa.record_batch({"k": [1, 2, 3, 4], "t": ["x" * 100] * 4}), 250)] == [2, 2]
+
+
+def test_keyword_scan_keeps_the_best_of_a_task(spark, tables):
+    questions = tables.benchmark.select(F.col("item_id").alias("q_id"), "text")
+    docs = tables.documents.select("doc_id", "text").coalesce(1)
+    order = [F.desc(F.col("hits") + F.when(F.col("is_long"), 0.5).otherwise(0.0)), F.asc("doc_id")]
+    best = lambda df: sorted(map(tuple, retrieve.top_per(df, ["q_id"], order, 5).collect()))
+    every, few = retrieve.keyword_hits(questions, docs), retrieve.keyword_hits(questions, docs, 5)
+    assert best(every) == best(few) and few.count() < every.count()
