@@ -115,18 +115,21 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, p) - 1 AS chun
 FROM (SELECT doc_id, i, p, {trim_sql('c')} AS content FROM e) WHERE content <> ''"""
 
 
+def chunk_parts(t):
+    """(doc_id, n_chunks, chunk_index, content). The outer form: the other one filters by the chunks below the dealing, in few tasks, and makes them twice."""
+    parts = docs(t, "text").select("doc_id", chunks(F.col("text")).alias("parts"))
+    rows = parts.select("doc_id", F.size("parts").cast("bigint").alias("n_chunks"), F.posexplode_outer("parts").alias("chunk_index", "content"))
+    return rows.filter("content IS NOT NULL")
+
+
 @query("t5_chunks", _CHUNKS_SQL)
 def _(t):
-    return docs(t, "text").select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "content")).withColumn(
-        "tokens", X.token_estimate(F.col("content"))
-    )
+    return chunk_parts(t).select("doc_id", "chunk_index", "content", X.token_estimate(F.col("content")).alias("tokens"))
 
 
 @query("w4_chunk_index", f"SELECT doc_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS n_chunks, md5(content) AS content_md5, tokens FROM ({_CHUNKS_SQL})")
 def _(t):
-    parts = docs(t, "text").select("doc_id", chunks(F.col("text")).alias("parts"))
-    indexed = parts.select("doc_id", F.size("parts").cast("bigint").alias("n_chunks"), F.posexplode("parts").alias("chunk_index", "content"))
-    return indexed.select("doc_id", "chunk_index", "n_chunks", F.md5("content").alias("content_md5"), X.token_estimate(F.col("content")).alias("tokens"))
+    return chunk_parts(t).select("doc_id", "chunk_index", "n_chunks", F.md5("content").alias("content_md5"), X.token_estimate(F.col("content")).alias("tokens"))
 
 
 _OCR_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(

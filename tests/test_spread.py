@@ -195,3 +195,11 @@ def test_keyword_join_shuffles_no_pairs_of_documents_and_questions(spark, monkey
     joined = retrieve.keyword_hits_by_join(words, docs)
     assert "Exchange" in joined._jdf.queryExecution().executedPlan().toString()
     assert hits.exceptAll(joined).count() == 0 and joined.count() == hits.count()
+
+
+@pytest.mark.parametrize("name", ["t5_chunks", "w4_chunk_index"])
+def test_chunks_are_made_once(spark, name):
+    from conftest import DATA
+
+    plan = ENTRIES[name].run(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
