@@ -106,9 +106,9 @@ def _(t):
 
 @query("st3_limit_bans_stream", _BANS)
 def _(t):
-    # the file sink of the first stream is the source of the second
+    # the files of the first stream are the source of the second
     denied = denied_stream(t)
-    path = denied.inputFiles()[0].rsplit("/", 1)[0]
+    path = denied.inputFiles()[0].rsplit("/", 2)[0] + "/batch=*"
     return K.stream_bans(t.spark.readStream.schema(denied.schema).parquet(path))
 
 

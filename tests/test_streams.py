@@ -192,3 +192,16 @@ def test_queries_meet_their_limits(spark, name):
     elif "limiter" in found.columns:
         assert {r.limiter for r in found.select("limiter").distinct().collect()} == {"message", "login", "register"}
     assert found.count() > 20
+
+
+def test_hot_keys_of_limits_and_bans_are_not_gathered_in_python(spark, tmp_path, monkeypatch):
+    """Without a processor that holds a key's rows; late rows stay out."""
+    monkeypatch.setattr(K, "processed", None)
+    shape = "kind string, us bigint, id bigint, user bigint, ip string"
+    parts = [[("m", 100 * MINUTE + i, i, 1, "a") for i in range(40)], [("m", 100 * MINUTE + 50, 50, 1, None), ("m", 80 * MINUTE, 51, 1, "a")], [("m", 100 * MINUTE + 60, 60, 1, None)]]
+    denied = K.stream_denied(K.limited(stream_of(spark, tmp_path / "in", parts, shape), [("m", 3, 1, "t", 1.0)]))
+    got = sorted((r.key_kind, r.id, r.n) for r in denied.collect())
+    assert got == sorted([(k, i, i + 1) for k in ("ip", "user") for i in range(3, 40)] + [("user", 50, 41), ("user", 60, 42)])
+    denied.coalesce(1).write.parquet(str(tmp_path / "denied"))
+    bans = K.stream_bans(spark.readStream.schema(denied.schema).parquet(str(tmp_path / "denied")))
+    assert {r.score for r in bans.collect()} == {20.0, 40.0, 60.0}
