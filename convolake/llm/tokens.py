@@ -22,6 +22,7 @@ from convolake.llm.common import id_and_text, slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEEN = 400_000  # pre-tokens remembered by a task; the memory is emptied when full, results do not depend on it
 LONG = 2_000_000  # characters beyond which a text is cut into pre-tokens piecewise
+WHOLE = 200_000  # characters up to which a text may go to a library whole: tiktoken's split fails on longer runs of white space
 
 
 def byte_characters() -> list[str]:
@@ -100,8 +101,9 @@ def sentencepiece_encoder(ranks: dict[bytes, int], model: bytes) -> Encoder:
     return encode
 
 
-def merging_encoder(path: str) -> tuple[Encoder, dict[str, int]]:
-    """Pre-tokens to packed ids for a tokenizers file of a byte-level BPE, and its special strings.
+def merging_encoder(path: str) -> tuple[Encoder, dict[str, int], Callable[[str], list[int]] | None]:
+    """Pre-tokens to packed ids for a tokenizers file of a byte-level BPE, its special strings, and, where there is one, the
+    library's own way from a whole text without them to ids.
 
     Where merges are numbered like the vocabulary, as in the files of this family, merging by lowest id is what the
     tokenizers library does; any other file goes through that library itself.
@@ -123,23 +125,26 @@ def merging_encoder(path: str) -> tuple[Encoder, dict[str, int]]:
         def encode(words: list[str]) -> list[bytes]:
             return [packed(single(w)) for w in words]
 
-        return encode, special
+        return encode, special, core.encode_ordinary
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    return lambda words: [packed(e.ids) for e in whole.encode_batch(words, add_special_tokens=False)], special
+    return lambda words: [packed(e.ids) for e in whole.encode_batch(words, add_special_tokens=False)], special, None
 
 
 class TextEncoder:
-    """Whole texts to packed ids; remembers a bounded number of pre-tokens."""
+    """Whole texts to packed ids, by ``whole`` where it is given and the text is no longer than WHOLE characters.
 
-    def __init__(self, encode: Encoder, special: dict[str, int] | None = None, seen: int = SEEN):
+    Otherwise by pre-tokens, of which a bounded number is remembered.
+    """
+
+    def __init__(self, encode: Encoder, special: dict[str, int] | None = None, whole: Callable[[str], list[int]] | None = None, seen: int = SEEN):
         import regex
 
         self.pattern = regex.compile(PATTERN)
         self.special = special or {}
         self.cut = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special)) if self.special else None
-        self.encode, self.seen = encode, seen
+        self.encode, self.whole, self.seen = encode, whole, seen
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[list[str]]) -> None:
@@ -159,6 +164,8 @@ class TextEncoder:
         return b"".join(out)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
+        if self.whole is not None:
+            return [packed(self.whole(t)) if len(t) <= WHOLE else self._long(t) for t in texts]
         words = [self.pattern.findall(t) if len(t) <= LONG else [] for t in texts]
         self._learn(words)
         get = self.known.__getitem__

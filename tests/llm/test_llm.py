@@ -134,6 +134,20 @@ def test_tokens_and_packing(spark, corpus):
     assert len(sequences) <= total / 2048 * 1.1 + 1
 
 
+def test_whole_texts_are_encoded_as_the_library_does():
+    """Characters of which the pattern module takes some for letters, long runs of white space, special strings."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    encoder = tokens.TextEncoder(*tokens.merging_encoder(path))
+    texts = ["\U0003f126'm", "a r\U0003f936\u628b b", "", "a \n\t b\u3000 c  ", "x <|endoftext|> y", " " * 1_200_000 + "a", "ab c\n " * 50_000]
+    for text, ids in zip(texts, encoder(texts), strict=True):
+        parts = text.split("<|endoftext|>")  # special strings are ids of their own
+        want = [i for n, part in enumerate(parts) for i in ([50256] if n else []) + library.encode(part, add_special_tokens=False).ids]
+        assert ids == tokens.packed(want)
+
+
 def test_packing_tree(spark):
     rng = random.Random(2)
     pieces = spark.createDataFrame([(rng.randint(1, 100),) for _ in range(2000)], "length int")
