@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from convolake.functions.chunks import last_separator
-from convolake.streaming.runner import run_append
+from convolake.streaming.runner import run_append, run_folded
 
 
 def spend(credits: float, last, rows: pd.DataFrame, amount: float, every: pd.Timedelta):
@@ -69,24 +69,14 @@ def grow(sent: int, unchanged: int, text: str, complete: bool):
     return sent, unchanged, None, False
 
 
+def next_grown(state: tuple[int, int], row: tuple[int, str, bool]) -> tuple[tuple, tuple | None]:
+    """(sent, unchanged) after one look (seq, text, complete), and (seq, chunk, finished) if it gave a chunk."""
+    seq, text, complete = row
+    sent, unchanged, chunk, finished = grow(*state, text, complete)
+    return (sent, unchanged), (seq, chunk, finished) if chunk else None
+
+
 def stream_growing_texts(stream: DataFrame) -> DataFrame:
     """(key, seq, chunk, finished) for a stream of looks (key, seq, text, complete) at growing texts."""
-
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sent, unchanged = state.get if state.exists else (0, 0)
-        out = []
-        for seq, text, complete in pd.concat(list(frames)).sort_values("seq")[["seq", "text", "complete"]].itertuples(index=False):
-            sent, unchanged, chunk, finished = grow(sent, unchanged, text, complete)
-            if chunk:
-                out.append((key[0], seq, chunk, finished))
-        state.update((sent, unchanged))
-        yield pd.DataFrame(out, columns=["key", "seq", "chunk", "finished"])
-
-    chunks = stream.groupBy("key").applyInPandasWithState(
-        update,
-        "key string, seq int, chunk string, finished boolean",
-        "sent int, unchanged int",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-    return run_append(chunks, "growing-texts")
+    rows = stream.select("key", "seq", "text", "complete")
+    return run_folded(rows, ["seq"], next_grown, (0, 0), "sent int, unchanged int", "key string, seq int, chunk string, finished boolean", "growing-texts")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from convolake.streaming import keyed as K
+from convolake.streaming import stateful as St
 from convolake.streaming.index import BucketedIndex
 from convolake.streaming.runner import run_batches
 
@@ -205,3 +206,33 @@ def test_hot_keys_of_limits_and_bans_are_not_gathered_in_python(spark, tmp_path,
     denied.coalesce(1).write.parquet(str(tmp_path / "denied"))
     bans = K.stream_bans(spark.readStream.schema(denied.schema).parquet(str(tmp_path / "denied")))
     assert {r.score for r in bans.collect()} == {20.0, 40.0, 60.0}
+
+
+def test_looks_are_folded_without_a_call_or_store_per_key(spark, tmp_path, monkeypatch):
+    """Sorted rows are folded by tasks; state of keys without rows in a micro-batch is carried, late rows stay out."""
+    monkeypatch.setattr(K, "processed", None)
+    monkeypatch.setattr(St, "run_append", None)
+    rng = random.Random(4)
+    texts = {k: " ".join(rng.choice(["one two.", "three", "four;", "```"]) for _ in range(30)) for k in ["a", "b", "c", None]}
+    rows, seq = [], dict.fromkeys(texts, 0)
+    for i in range(1200):
+        k = rng.choice(list(texts))
+        seq[k] += 1
+        rows.append((k, i * 1000, seq[k], rng.choice([None, texts[k][: 2 * i], texts[k][: 2 * i]]) if k == "a" else texts[k][: i // 3], k == "b" and seq[k] > 100))
+    parts = cut(rows, 4)
+    parts[2] = [r for r in parts[2] if r[0] != "c"]  # a key rests for a micro-batch
+    want, grown = [], []
+    state, sizes = {}, {}
+    for k, _, n, text, complete in [r for part in parts for r in part]:
+        state[k], row = K.next_look(state.get(k, (0, 0, 0, False)), (n, text, complete))
+        want += [(k, *row)] if row else []
+        sent, unchanged, chunk, finished = St.grow(*sizes.get(k, (0, 0)), text or "", complete)
+        sizes[k] = sent, unchanged
+        grown += [(k, n, chunk, finished)] if chunk else []
+    shape = "key string, us bigint, seq int, text string, complete boolean"
+    got = K.stream_looks(stream_of(spark, tmp_path / "looks", [*parts, [("z", 60 * MINUTE, 1, "x", True)], [("late", MINUTE, 1, "x", True)]], shape))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [*want, ("z", 1, "x", "finished")]))
+    whole = [[(k, n, t or "", c) for k, _, n, t, c in part] for part in parts]
+    got = St.stream_growing_texts(stream_of(spark, tmp_path / "grown", whole, "key string, seq int, text string, complete boolean"))
+    assert got.columns == ["key", "seq", "chunk", "finished"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, grown)) and {o for *_, o in want} >= {"chunk", "missing", "finished"}
