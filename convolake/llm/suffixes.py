@@ -2,7 +2,8 @@
 
 Every string of ``LENGTH`` bytes is led to a shard by its smallest ``ANCHOR``-byte part, so that equal strings meet. The
 strings that share an anchor occurrence are one segment of the text. Anchors that a merged sketch takes for single are
-left out, and equal segments collapse before and after they are sent; what remains are segments that agree in part. Their
+left out, and equal segments collapse before and after they are sent; what remains are segments that agree in part. Strings
+that a count among them takes for single are left out of these, and what stays is ordered exactly: the
 shards are sorted apart and merged by iterative interleave refinement: a round parts the interleaving by the preceding
 byte (a stable counting sort) and so orders all suffixes by one byte more, without sorting suffixes again. Where a round
 opens a boundary the common prefix ends; suffixes without a boundary after ``LENGTH`` rounds form a repeated interval,
@@ -26,7 +27,7 @@ from convolake.llm.words import _BYTES, Powers, mix, rolling
 LENGTH = 100
 ANCHOR = 64
 SHARD_BYTES = 2 << 20  # of a shard that is sorted by itself
-MERGE_BYTES = 4 << 20  # of shards merged with each other, more only where a single anchor has more
+MERGE_BYTES = 256 << 10  # of shards merged with each other (they fit a core's cache), more only where a single anchor has more
 SLICE_BYTES = 1_000_000  # of text hashed at once
 SHARD_SEGMENTS = 100_000
 FLUSH_BYTES = 24_000_000
@@ -109,17 +110,21 @@ def merge(left: np.ndarray, right: np.ndarray, n_left: int, n_right: int, rounds
     ``left`` and ``right`` are preceding bytes in suffix order; the first ``n_left`` and ``n_right`` suffixes are ends.
     """
     n, ends = len(left) + len(right), n_left + n_right
+    both, places = np.concatenate([left, right]), np.arange(n, dtype=np.int32)
+    kinds = np.sort(both)[ends:]
+    apart = np.ones(n, bool)  # the first bytes of suffixes are the same in all rounds
+    apart[ends + 1 :] = kinds[1:] != kinds[:-1]
     from_right = np.concatenate([np.zeros(len(left), bool), np.ones(len(right), bool)])
     block = np.zeros(n, np.int32)
     found = None
     end_sides = np.concatenate([np.zeros(n_left, bool), np.ones(n_right, bool)])
-    symbols = np.empty(n, np.uint8)
     for i in range(1, rounds + 1):
-        symbols[~from_right], symbols[from_right] = left, right
+        taken = np.cumsum(from_right, dtype=np.int32)
+        symbols = both[np.where(from_right, taken + np.int32(len(left) - 1), places - taken)]
         order = np.argsort(symbols, kind="stable")[ends:]
-        sorted_symbols, source = symbols[order], block[order]
-        opened = np.ones(n, bool)
-        opened[ends + 1 :] = (sorted_symbols[1:] != sorted_symbols[:-1]) | (source[1:] != source[:-1])
+        source = block[order]
+        opened = apart.copy()
+        opened[ends + 1 :] |= source[1:] != source[:-1]
         now = np.concatenate([end_sides, from_right[order]])
         block = np.cumsum(opened, dtype=np.int32)
         same, from_right = i >= depth and np.array_equal(now, from_right), now
@@ -170,6 +175,32 @@ def repeated_intervals(segments: list[bytes], depth: int, shard_bytes: int = SHA
     yield interval[shared], owner[shared], offset[shared]
 
 
+def may_repeat(segments: list[bytes], depth: int, powers: Powers) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(part, segment, its offset there): of each segment what lies between strings of ``depth`` bytes that may be elsewhere too.
+
+    Strings are counted by hashes in sixteen cells each or more. Equal ones share a cell, so none that repeats is cut off.
+    """
+    none = np.empty(0, np.int64)
+    size = np.array([len(s) for s in segments], np.int64)
+    begins = np.cumsum(size) - size
+    data = b"".join(segments)
+    n = len(data) - depth + 1
+    if n <= 0:
+        return [], none, none
+    sums, down = rolling(_BYTES[np.frombuffer(data, np.uint8)], powers)
+    owner = np.repeat(np.arange(len(segments)), size)
+    at = np.flatnonzero(owner[:n] == owner[depth - 1 :])
+    bits = (16 * len(at)).bit_length()
+    cells = (mix((sums[at + depth] - sums[at]) * down[at]) >> np.uint64(64 - bits)).astype(np.int64) if len(at) else none
+    at = at[np.bincount(cells)[cells] > 1] if len(at) else at
+    if not len(at):
+        return [], none, none
+    new = owner[at[1:]] != owner[at[:-1]]
+    first, last = at[np.concatenate([[True], new])], at[np.concatenate([new, [True]])]
+    parts = [data[a : b + depth] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    return parts, owner[first], first - begins[owner[first]]
+
+
 def anchor_groups(segments: list[tuple[int, bytes, tuple]], size: int = MERGE_BYTES) -> Iterator[list[tuple[tuple, bytes]]]:
     """(place, segment) in lists of about ``size`` bytes; segments, ordered by anchor, stay with all others of their anchor."""
     held, n = [], 0
@@ -285,10 +316,15 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
         partly = sorted((a, segment, place) for (a, segment), place in kept.items() if times[a] > 1)
         kept.clear()
         times.clear()
+        powers = Powers(_ODD[0])
         for group in anchor_groups(partly):
             own = np.array([p[0] for p, _ in group], np.int64)
             first = np.array([p[1] for p, _ in group], np.int64)
-            for interval, owner, offset in repeated_intervals([s for _, s in group], length):
+            parts, of, shift = may_repeat([s for _, s in group], length, powers)
+            if not parts:
+                continue
+            for interval, owner, offset in repeated_intervals(parts, length):
+                owner, offset = of[owner], shift[owner] + offset
                 ids, start = own[owner, 0], first[owner] + offset
                 order = np.lexsort((start, ids, interval))
                 interval, owner, ids, start = interval[order], owner[order], ids[order], start[order]

@@ -134,6 +134,20 @@ def test_tokens_and_packing(spark, corpus):
     assert len(sequences) <= total / 2048 * 1.1 + 1
 
 
+def test_strings_that_may_repeat_are_kept():
+    """What is cut off the segments is single; a segment without a repeated string goes; places are those of the segment."""
+    rng = random.Random(9)
+    letters = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    shared = letters(20)
+    segments = [letters(30) + shared + letters(25), letters(9) + shared, letters(60), b"z" * 14, b"", letters(5)]
+    parts, owner, offset = suffixes.may_repeat(segments, 12, suffixes.Powers(3))
+    whole = lambda rows: sorted({(segments[o][j : j + 12], o, j) for o, j in rows})
+    found = [(owner[o], offset[o] + j) for _, i, at in suffixes.repeated_intervals(parts, 12) for o, j in zip(i.tolist(), at.tolist(), strict=True)]
+    assert whole(found) == whole((o, j) for _, i, at in suffixes.repeated_intervals(segments, 12) for o, j in zip(i.tolist(), at.tolist(), strict=True))
+    assert len(found) == 2 * 9 + 3 and sum(map(len, parts)) < sum(map(len, segments)) - 60
+    assert suffixes.may_repeat([b"abc", b""], 12, suffixes.Powers(3))[0] == [] == suffixes.may_repeat([], 12, suffixes.Powers(3))[0]
+
+
 def test_whole_texts_are_encoded_as_the_library_does():
     """Characters of which the pattern module takes some for letters, long runs of white space, special strings."""
     from tokenizers import Tokenizer
