@@ -112,22 +112,27 @@ def role_label(bits: Column) -> Column:
     return F.coalesce(*given, F.lit("none"))
 
 
+TASK_WAYS = 500_000  # attachments per part whose ways meet in a task
+
+
 def file_access(files: DataFrame, attached: DataFrame, agents: DataFrame, edits: DataFrame) -> DataFrame:
     """(file_id, user_id, reason) of all ways into a file: owner, author of an agent with it, EDIT on such an agent.
 
     ``files`` (file_id, owner), ``attached`` (agent_id, file_id), ``agents`` (agent_id, author), ``edits`` (agent_id,
     user_id). Several ways keep the strongest reason.
     """
-    way = lambda df, user, rank, name: df.select(
-        "file_id", F.col(user).alias("user_id"), F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("reason")).alias("w")
-    )
-    links = attached.select("agent_id", "file_id").distinct()
+    way = lambda df, user, rank: df.select("file_id", F.col(user).alias("user_id"), F.lit(rank).alias("rank"))
     ways = (
-        way(files, "owner", 0, "owner")
-        .unionByName(way(links.join(agents, "agent_id"), "author", 1, "author"))
-        .unionByName(way(links.join(edits, "agent_id"), "user_id", 2, "editor"))
+        way(files, "owner", 0)
+        .unionByName(way(attached.join(agents, "agent_id"), "author", 1))
+        .unionByName(way(attached.join(edits, "agent_id"), "user_id", 2))
     )
-    return ways.groupBy("file_id", "user_id").agg(F.min("w").alias("w")).select("file_id", "user_id", "w.reason")
+    # Repeated attachments fall to the one aggregate. Ways are dealt before it, as few of a task's rows share a file and user; the
+    # number of parts grows with them, so that a task's table of groups does not.
+    parts = max(ways.sparkSession.sparkContext.defaultParallelism, -(-attached.count() // TASK_WAYS))
+    least = ways.repartition(parts, "file_id", "user_id").groupBy("file_id", "user_id").agg(F.min("rank").alias("rank"))
+    reason = F.element_at(F.array(*map(F.lit, ("owner", "author", "editor"))), F.col("rank") + 1)
+    return least.select("file_id", "user_id", reason.alias("reason"))
 
 
 def apply_grants(acl: DataFrame, changes: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -82,8 +82,7 @@ def _(t):
        SELECT file_id, user_id, ['owner', 'author', 'editor'][min(r) + 1] AS reason FROM ways GROUP BY file_id, user_id""",
 )
 def _(t):
-    tools = t.lineitem.groupBy(F.col("l_suppkey").alias("agent_id"), "l_returnflag", F.col("l_partkey").alias("file_id")).count()
-    attached = tools.filter("l_returnflag <> 'A'").select("agent_id", "file_id")
+    attached = t.lineitem.filter("l_returnflag <> 'A'").select(F.col("l_suppkey").alias("agent_id"), F.col("l_partkey").alias("file_id"))
     s = t.supplier
     agents = s.select(F.col("s_suppkey").alias("agent_id"), F.col("s_nationkey").cast("bigint").alias("author"))
     edits = s.filter((1 + F.col("s_suppkey") % 8).bitwiseAND(F.lit(EDIT)) == EDIT).select(

@@ -203,3 +203,22 @@ def test_chunks_are_made_once(spark, name):
 
     plan = ENTRIES[name].run(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_parts_of_file_access_grow_with_the_ways(spark, monkeypatch):
+    """A task's groups stay few; repeated attachments and several ways give one row with the strongest reason."""
+    from convolake.operators import acl
+
+    monkeypatch.setattr(acl, "TASK_WAYS", 10, raising=False)
+    files = spark.createDataFrame([(f, f % 3) for f in range(50)], "file_id bigint, owner bigint")
+    attached = spark.createDataFrame([(a, f) for f in range(50) for a in (f % 4, f % 4, 7)], "agent_id bigint, file_id bigint")
+    agents = spark.createDataFrame([(a, a % 2) for a in range(8)], "agent_id bigint, author bigint")
+    edits = spark.createDataFrame([(7, 1), (7, 90), (2, 91)], "agent_id bigint, user_id bigint")
+    found = acl.file_access(files, attached, agents, edits)
+    want = {}
+    for f in range(50):
+        ways = [(f % 3, "owner"), *[(a % 2, "author") for a in (f % 4, 7)], (1, "editor"), (90, "editor"), *([(91, "editor")] if f % 4 == 2 else [])]
+        for user, reason in ways:
+            want.setdefault((f, user), reason)
+    assert {(r.file_id, r.user_id): r.reason for r in found.collect()} == want and found.count() == len(want)
+    assert found.rdd.getNumPartitions() == 15
