@@ -13,7 +13,7 @@ from convolake.functions import text as X
 from convolake.functions.chunks import chunks, cut_text
 from convolake.functions.vectors import with_hashed_vector
 from convolake.operators import acl, billing, citations, merge, paging, retrieve, scan, sets
-from convolake.operators.dedup import keep_first_similar, prefix_index, word_sets
+from convolake.operators.dedup import _apart, _candidates, _similar, keep_first_similar, prefix_index, signatures, word_sets
 from convolake.sources import files, imports
 from convolake.streaming import limits, stateful
 
@@ -275,6 +275,52 @@ def test_keep_first_similar_is_the_greedy_result(spark, front):
     assert sorted((r["grp"], r["id"]) for r in got.collect()) == greedy(rows)
 
 
+def similar_rows(seed):
+    """Sets of common words, copies of some with words changed, left out or added, and the words of each."""
+    rng = random.Random(seed)
+    words, odds = [f"word{w}" for w in range(900)], [1 / (w + 3) for w in range(900)]
+    texts = [list(dict.fromkeys(rng.choices(words, odds, k=rng.choice([1, 2, 3, 5, 8, 20, 60, 200])))) for _ in range(250)]
+    for base in rng.sample(texts, 80):
+        less, more = rng.choice([(0, 20), (0, 40), (0.05, 20), (0.1, 10), (0.18, 4), (0.3, 20)])
+        kept = [w for w in base if rng.random() > less]
+        texts.append(kept + rng.choices(words, k=rng.randrange(1 + len(base) // more)) or base)
+    return [("g", i, " ".join(sorted(set(t)))) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.7, 0.9])
+def test_index_of_similar_texts_finds_every_pair_and_few_others(spark, threshold):
+    rows = list({t: (g, i, t) for g, i, t in similar_rows(int(threshold * 10))}.values())
+    sets = spark.createDataFrame([(g, i, t, len(t.split())) for g, i, t in rows], "g string, k bigint, words string, n int")
+    index = prefix_index(sets, threshold).filter("word IS NOT NULL").localCheckpoint()
+    pairs = {(r["first"], r["k"]) for r in _candidates(index, index, threshold).collect()}
+    word = {i: set(t.split()) for _, i, t in rows}
+    share = lambda a, b: len(word[a] & word[b]) / len(word[a] | word[b])
+    want = {(a, b) for a in word for b in word if a < b and share(a, b) >= threshold}
+    assert len(want) >= 10 and want <= pairs
+    bits = signatures(sets).localCheckpoint()
+    frame = spark.createDataFrame([("g", b, a) for a, b in pairs], "g string, k bigint, first bigint")
+    assert {(r["first"], r["k"]) for r in _similar(frame, sets, bits, threshold).collect()} == want
+    if threshold == 0.7:
+        near = frame.join(bits, ["g", "k"]).join(bits.select("g", F.col("k").alias("first"), F.col("n").alias("_n"), F.col("bits").alias("_bits")), ["g", "first"])
+        wrong = [r for r in near.select("k", "first", _apart().alias("d")).collect() if r["d"] > len(word[r["k"]] ^ word[r["first"]])]
+        assert not wrong
+
+
+def test_texts_that_share_words_but_not_much_are_no_candidates(spark):
+    rng = random.Random(1)
+    # 60 of 3 000 words each: any word is in 12 of 600 texts
+    rows = [("g", i, " ".join(f"w{x:04d}" for x in sorted(rng.sample(range(3000), 60))), 60) for i in range(600)]
+    index = prefix_index(spark.createDataFrame(rows, "g string, k bigint, words string, n int"), 0.7).filter("word IS NOT NULL").localCheckpoint()
+    assert _candidates(index, index, 0.7).count() < 2000
+
+
+def test_keep_first_similar_without_group_or_key(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [("g", 1, text), ("g", 2, text + " iota"), ("g", None, text + " kappa"), (None, 3, text + " kappa"), (None, 4, text), ("h", 5, text + " iota")]
+    got = keep_first_similar(spark.createDataFrame(rows, "grp string, id bigint, text string"), "grp", "id", "text")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [("g", 1), ("g", None), ("h", 5)]))
+
+
 def test_index_of_similar_texts_leaves_out_words_that_meet_nothing(spark):
     rows = [("g", i, " ".join(f"own{i}x{j}" for j in range(40))) for i in range(6)]
     rows += [("g", 10 + i, " ".join(["common", "shared", *(f"rare{i // 2}x{j}" for j in range(20)), f"last{i}"])) for i in range(4)]
